@@ -1,0 +1,18 @@
+"""Fixed schemas of the tables that operators exchange."""
+from __future__ import annotations
+
+BBOX = "struct<west:double,south:double,east:double,north:double>"
+RING = "array<struct<lon:double,lat:double>>"
+
+AOI = f"aoi_id bigint, bbox {BBOX}, polygon {RING}"
+LAYER_REQUESTS = "job_id bigint, layer_ord int, source_id string, res_m double, mode string"
+CATALOG = (f"item_id bigint, source_id string, item_ord bigint, path string, label string, kind string, "
+           f"bbox {BBOX}, native_res_m double, clip array<{RING}>, service boolean, size_bytes bigint")
+RASTER_TILES = ("item_id bigint, level int, tile_row int, tile_col int, width int, height int, "
+                "a double, c double, e double, f double, crs string, dtype string, nodata double, "
+                "bands array<array<float>>, mask array<boolean>")
+PIXELS = "item_id bigint, row int, col int, lon double, lat double, v double, valid boolean"
+PALETTE = "item_id bigint, idx int, r int, g int, b int, a int"
+FILES = "path string, length bigint, mtime timestamp, content binary"
+SPEED_SAMPLES = "key string, amount double, seconds double, ts timestamp, seq bigint"
+PROGRESS_EVENTS = "job_id bigint, tile int, n_tiles int, frac double, msg string, ts timestamp, seq bigint"
