@@ -14,38 +14,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo
-
 COARSE = 16          # coarse cells per side, in fine cells
 LARGE_CELLS = 16     # boxes touching more fine cells than this are listed in coarse cells
 BROADCAST_CELLS = 300_000
 
 
-def _cells(box: Column, size: float) -> Column:
-    def span(lo, hi):
-        first = F.floor(lo / size).cast("int")
-        return F.sequence(first, F.greatest(first, (F.ceil(hi / size) - 1).cast("int")))
-    return F.flatten(F.transform(span(box.west, box.east), lambda x: F.transform(
-        span(box.south, box.north), lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
-
-
-def _is_large(box: Column, cell: float) -> Column:
-    return (F.ceil(box.east / cell) - F.floor(box.west / cell)) * \
-        (F.ceil(box.north / cell) - F.floor(box.south / cell)) > LARGE_CELLS
-
-
 def _listed(df: DataFrame, box: str, cell: float, side: str) -> DataFrame:
     """One row per (box, cell). The band says which sizes meet there: S/L for left then right."""
-    b = F.col(box)
-    fine, coarse = _cells(b, cell), _cells(b, cell * COARSE)
-    pair = (lambda mine, other: mine + other) if side == "left" else (lambda mine, other: other + mine)
+    small, large = ("'SS','SL'", "'LS','LL'") if side == "left" else ("'SS','LS'", "'SL','LL'")
+    cells = " * ".join(f"(ceil({box}.{hi} / {cell}D) - floor({box}.{lo} / {cell}D))"
+                       for lo, hi in (("west", "east"), ("south", "north")))
 
-    def tag(arr, band):
-        return F.transform(arr, lambda c: F.struct(F.lit(band).alias("band"), c.cx.alias("cx"), c.cy.alias("cy")))
-    small = F.concat(tag(fine, "SS"), tag(coarse, pair("S", "L")))
-    large = F.concat(tag(coarse, pair("L", "S")), tag(coarse, "LL"))
-    cells = F.when(_is_large(b, cell), large).otherwise(small)
-    return df.withColumn("_k", F.explode(cells)).select(*df.columns, "_k.band", "_k.cx", "_k.cy")
+    def span(lo, hi):
+        return (f"explode(sequence(int(floor({box}.{lo} / _size)), "
+                f"greatest(int(floor({box}.{lo} / _size)), int(ceil({box}.{hi} / _size)) - 1)))")
+    return (df.selectExpr("*", f"explode(if({cells} > {LARGE_CELLS}, array({large}), array({small}))) AS band")
+            .selectExpr("*", f"if(band = 'SS', {cell}D, {cell * COARSE}D) AS _size")
+            .selectExpr("*", span("west", "east") + " AS cx")
+            .selectExpr("*", span("south", "north") + " AS cy").drop("_size"))
 
 
 def rect_join(left: DataFrame, right: DataFrame, left_box: str = "bbox", right_box: str = "item_bbox",
@@ -61,24 +47,22 @@ def rect_join(left: DataFrame, right: DataFrame, left_box: str = "bbox", right_b
     ln = _listed(left.select(left_box), left_box, cell, "left").groupBy(*keys).agg(F.count("*").alias("_ln"))
     rn = _listed(right.select(right_box), right_box, cell, "right").groupBy(*keys).agg(F.count("*").alias("_rn"))
 
-    def shares(n):
-        return F.ceil(F.col(n) / rows_per_share).cast("int")
-    plan = ln.join(rn, keys).select(*keys, shares("_ln").alias("_ls"), shares("_rn").alias("_rs"))
+    plan = ln.join(rn, keys).selectExpr(*keys, f"int(ceil(_ln / {rows_per_share})) AS _ls",
+                                        f"int(ceil(_rn / {rows_per_share})) AS _rs")
     # The plan has at most one row per cell and band of the globe; only then is it broadcast.
     if 4 * (360 / cell + 1) * (180 / cell + 1) <= BROADCAST_CELLS:
         plan = F.broadcast(plan)
     # The share number comes from the row itself, so a re-run task sends a row to the same place.
-    lid = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.col("_ls")).cast("int")
-    rid = F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), F.col("_rs")).cast("int")
-    lx = lx.join(plan, keys).withColumn("_i", lid) \
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_rs") - 1))).drop("_ls", "_rs")
-    rx = rx.join(plan, keys).withColumn("_j", rid) \
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_ls") - 1))).drop("_ls", "_rs")
-    l, r = F.col(left_box), F.col(right_box)
-    size = F.when(F.col("band") == "SS", F.lit(cell)).otherwise(F.lit(cell * COARSE))
-    home = (F.floor(F.greatest(l.west, r.west) / size) == F.col("cx")) & \
-           (F.floor(F.greatest(l.south, r.south) / size) == F.col("cy"))
-    cond = geo.intersects(l, r) & home
+    lid = F.pmod(F.xxhash64(*left.columns), F.col("_ls")).cast("int")
+    rid = F.pmod(F.xxhash64(*right.columns), F.col("_rs")).cast("int")
+    lx = (lx.join(plan, keys).withColumn("_i", lid)
+          .selectExpr("*", "explode(sequence(0, _rs - 1)) AS _j").drop("_ls", "_rs"))
+    rx = (rx.join(plan, keys).withColumn("_j", rid)
+          .selectExpr("*", "explode(sequence(0, _ls - 1)) AS _i").drop("_ls", "_rs"))
+    a, b, size = left_box, right_box, f"if(band = 'SS', {cell}D, {cell * COARSE}D)"
+    cond = F.expr(f"{b}.east > {a}.west AND {b}.west < {a}.east AND {b}.north > {a}.south AND {b}.south < {a}.north "
+                  f"AND floor(greatest({a}.west, {b}.west) / {size}) = cx "
+                  f"AND floor(greatest({a}.south, {b}.south) / {size}) = cy")
     if on is not None:
         cond = cond & on
     return lx.join(rx, keys + ["_i", "_j"]).filter(cond).drop("band", "cx", "cy", "_i", "_j")
@@ -101,21 +85,21 @@ def has_data(areas: DataFrame, footprints: DataFrame, area_key: str, known: Data
 def jointly_covered(targets: DataFrame, footprints: DataFrame, key: str, n: int = 21) -> DataFrame:
     """key -> whether every point of an n x n lattice over ``bbox`` lies in some footprint.
 
-    ``footprints`` is (key, item_bbox), for instance the output of ``rect_join``. Each footprint
-    covers a rectangle of lattice indices, so per footprint only those indices are listed.
+    ``footprints`` is (key, item_bbox), for instance the output of ``rect_join``. A footprint covers
+    a block of lattice columns, kept as bits of one number; the blocks of all footprints are or-ed
+    per lattice row, so a target with any number of footprints keeps n numbers and shuffles those.
     """
-    b, f = F.col("bbox"), F.col("item_bbox")
-
-    def lattice(lo, hi):  # the same arithmetic for points and for the containment test
-        step = (hi - lo) / (n - 1)
-        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                           lambda i: F.struct(i.alias("i"), F.when(i == n - 1, hi).otherwise(i * step + lo).alias("v")))
-    pts = targets.select(key, "bbox").join(footprints.select(key, "item_bbox"), key)
-    xs = F.filter(lattice(b.west, b.east), lambda p: (f.west <= p.v) & (p.v <= f.east))
-    ys = F.filter(lattice(b.south, b.north), lambda p: (f.south <= p.v) & (p.v <= f.north))
-    seen = (pts.withColumn("_x", F.explode(xs)).withColumn("_y", F.explode(ys))
-            .groupBy(key, F.col("_x.i").alias("_xi"), F.col("_y.i").alias("_yi")).agg(F.lit(1).alias("_one"))
-            .groupBy(key).agg(F.count("*").alias("points_covered")))
-    return (targets.join(seen, key, "left")
-            .withColumn("points_covered", F.coalesce("points_covered", F.lit(0).cast("long")))
-            .withColumn("covered", F.col("points_covered") == n * n))
+    if not 2 <= n <= 62:
+        raise ValueError("n must be within 2..62")
+
+    def point(lo, hi, i):  # the last point is the far edge itself
+        return f"bbox.{hi}" if i == n - 1 else f"({i} * ((bbox.{hi} - bbox.{lo}) / {n - 1}) + bbox.{lo})"
+    columns = " + ".join(f"if({point('west', 'east', i)} BETWEEN item_bbox.west AND item_bbox.east, {1 << i}L, 0L)"
+                         for i in range(n))
+    rows = [f"bit_or(if({point('south', 'north', i)} BETWEEN item_bbox.south AND item_bbox.north, _cols, 0L)) AS _r{i}"
+            for i in range(n)]
+    seen = (targets.select(key, "bbox").join(footprints.select(key, "item_bbox"), key)
+            .selectExpr("*", f"{columns} AS _cols").groupBy(key).agg(*[F.expr(r) for r in rows])
+            .selectExpr(key, " + ".join(f"bit_count(_r{i})" for i in range(n)) + " AS _points"))
+    return (targets.join(seen, key, "left").selectExpr(
+        *targets.columns, "coalesce(bigint(_points), 0L) AS points_covered", f"coalesce(_points, 0) = {n * n} AS covered"))
