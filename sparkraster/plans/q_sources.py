@@ -106,7 +106,8 @@ def s07(spark, sf):
 
 
 @query("s08_library_items_in_area", _SCAN.replace("WITH ", ctes("aoi") + ", ", 1) + f"""
-SELECT aoi_id, regexp_extract(path,'([^/]*)$',1) AS label, product_id FROM aoi a JOIN keyed c ON {HIT}""")
+SELECT aoi_id, regexp_extract(path,'([^/]*)$',1) AS label, product_id FROM aoi a
+ JOIN (SELECT path, product_id, round(west,8) AS west, round(south,8) AS south, round(east,8) AS east, round(north,8) AS north FROM keyed) c ON {HIT}""")
 def s08(spark, sf):
     items = library_items(spark, sf).select("path", "product_id", F.col("bbox").alias("item_bbox"))
     j = rect_join(derived(spark, sf, "aoi").select("aoi_id", "bbox"), items)
