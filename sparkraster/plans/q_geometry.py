@@ -45,8 +45,8 @@ SELECT a.aoi_id, c.item_id,
 FROM aoi a JOIN catalog c ON c.item_id = (a.aoi_id*7)%(SELECT count(*) FROM supplier)""")
 def p02(spark, sf):
     cat = derived(spark, sf, "catalog").select("item_id", F.col("bbox").alias("item_bbox"))
-    n = table(spark, sf, "supplier").agg(F.count("*").alias("n"))  # one row
-    a = derived(spark, sf, "aoi").join(F.broadcast(n)).withColumn("item_id", (F.col("aoi_id") * 7) % F.col("n"))
+    n = table(spark, sf, "supplier").agg(F.count("*")).scalar()
+    a = derived(spark, sf, "aoi").withColumn("item_id", (F.col("aoi_id") * 7) % n)
     j = a.join(cat, "item_id")
     i = geo.intersection(F.col("bbox"), F.col("item_bbox"))
     return j.select("aoi_id", "item_id", geo.intersects(F.col("bbox"), F.col("item_bbox")).alias("hits"),
@@ -131,8 +131,8 @@ def h06(spark, sf):
 SELECT point_id, round(least(least(lon-west,east-lon)/(east-west), least(lat-south,north-lat)/(north-south)),6) AS depth
 FROM points JOIN catalog ON item_id = point_id%(SELECT count(*) FROM supplier)""")
 def h08(spark, sf):
-    n = table(spark, sf, "supplier").agg(F.count("*").alias("n"))  # one row
-    p = derived(spark, sf, "points").join(F.broadcast(n)).withColumn("item_id", F.col("point_id") % F.col("n"))
+    n = table(spark, sf, "supplier").agg(F.count("*")).scalar()
+    p = derived(spark, sf, "points").withColumn("item_id", F.col("point_id") % n)
     j = p.join(derived(spark, sf, "catalog").select("item_id", "bbox"), "item_id")
     return j.select("point_id", r6(geo.interior_depth(F.col("lon"), F.col("lat"), F.col("bbox")), "depth"))
 
