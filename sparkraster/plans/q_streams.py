@@ -98,8 +98,8 @@ def raw_decoder(data: bytes) -> dict:
 
 
 @query("x03_decoder_hook", """
-WITH h AS (SELECT doc_id, strlen(text) AS n, hex(encode(text)) AS h FROM documents), b AS (SELECT doc_id, ('0x'||substring(h, i*2+1, 2))::INT AS v FROM (SELECT *, unnest(range(n)) AS i FROM h))
-SELECT h.doc_id, 64 AS width, CAST(greatest(1,(n+63)//64) AS INT) AS height, CAST(s AS DOUBLE) AS total FROM h JOIN (SELECT doc_id, sum(v) AS s FROM b GROUP BY 1) USING(doc_id)""")
+SELECT doc_id, 64 AS width, CAST(greatest(1,(strlen(text)+63)//64) AS INT) AS height,
+ CAST(list_sum(list_transform(regexp_extract_all(hex(encode(text)),'..'), lambda x: ('0x'||x)::INT)) AS DOUBLE) AS total FROM documents""")
 def x03(spark, sf):
     f = table(spark, sf, "documents").selectExpr("doc_id", "encode(text, 'UTF-8') AS content")
     return ingest.decode(f, raw_decoder, "doc_id").selectExpr("doc_id", "width", "height", "aggregate(bands[0], 0D, (s, v) -> s + v) AS total")
