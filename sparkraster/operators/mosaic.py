@@ -59,21 +59,26 @@ def sample_nearest(px: DataFrame, values: str = "z", out: str = "v") -> DataFram
 
 
 def sample_bilinear(px: DataFrame, values: str = "z", out: str = "v") -> DataFrame:
-    """Weighted mean of the four nearest source centres, renormalised over the valid ones."""
-    steps = px.selectExpr("*", "fcol - 0.5D AS _x", "frow - 0.5D AS _y") \
-        .selectExpr("*", "int(floor(_x)) AS _i", "int(floor(_y)) AS _j") \
-        .selectExpr("*", "_x - _i AS _dx", "_y - _j AS _dy")
+    """Weighted mean of the four nearest source centres, renormalised over the valid ones.
+
+    Samples without any valid neighbour are dropped. The last step is a generator of none or one row:
+    a plain filter would be pushed below the projections and repeat the whole formula there, past what
+    can be compiled.
+    """
     corners = [(0, 0, "(1D - _dx) * (1D - _dy)"), (1, 0, "_dx * (1D - _dy)"), (0, 1, "(1D - _dx) * _dy"), (1, 1, "_dx * _dy")]
-    vals = []
-    for di, dj, _ in corners:
-        i, j = f"(_i + {di})", f"(_j + {dj})"
-        vals.append(f"if({i} >= 0 AND {i} < width AND {j} >= 0 AND {j} < height, {values}[{j} * width + {i}], NULL) AS _v{di}{dj}")
-    ok = [f"if(_v{di}{dj} <> {NODATA}D AND NOT isnan(_v{di}{dj}) AND abs(_v{di}{dj}) < double('inf'), {w}, 0D) AS _w{di}{dj}"
-          for di, dj, w in corners]
+    vals, weights = [], []
+    for di, dj, w in corners:
+        i, j, v = f"(_i + {di})", f"(_j + {dj})", f"_v{di}{dj}"
+        vals.append(f"if({i} >= 0 AND {i} < width AND {j} >= 0 AND {j} < height, nullif({values}[{j} * width + {i}], {NODATA}D), NULL) AS {v}")
+        weights.append(f"if({v} IS NULL OR isnan({v}) OR abs({v}) = double('inf'), 0D, {w}) AS _w{di}{dj}")
     ws = " + ".join(f"_w{di}{dj}" for di, dj, _ in corners)
     wv = " + ".join(f"if(_w{di}{dj} > 0, _w{di}{dj} * _v{di}{dj}, 0D)" for di, dj, _ in corners)
-    return (steps.selectExpr("*", *vals).selectExpr("*", *ok)
-            .selectExpr(*px.columns, f"if(({ws}) > 0, ({wv}) / ({ws}), NULL) AS {out}"))
+    keep = px.columns
+    return (px.selectExpr(*keep, "fcol - 0.5D AS _x", "frow - 0.5D AS _y")
+            .selectExpr(*keep, "int(floor(_x)) AS _i", "int(floor(_y)) AS _j", "_x - floor(_x) AS _dx", "_y - floor(_y) AS _dy")
+            .selectExpr(*keep, "_dx", "_dy", *vals).selectExpr("*", *weights)
+            .selectExpr(*keep, f"{ws} AS _ws", f"{wv} AS _wv")
+            .selectExpr(*keep, f"explode(if(_ws > 0, array(_wv / _ws), CAST(array() AS array<double>))) AS {out}"))
 
 
 def with_depth(px: DataFrame, footprint: str = "bbox", clip: str | None = None) -> DataFrame:
@@ -90,8 +95,8 @@ def with_depth(px: DataFrame, footprint: str = "bbox", clip: str | None = None)
 
 def composite(candidates: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     """keys, py, px -> winning value, its item and depth. Equal depths go to the earlier item."""
-    return (candidates.filter(f"{value} IS NOT NULL").groupBy(*keys, "py", "px")
-            .agg(F.expr(f"max_by(struct({value} AS v, item_id, depth), struct(depth, -item_ord))").alias("_m"))
+    best = f"max_by(struct({value} AS v, item_id, depth), struct(depth, -item_ord)) FILTER (WHERE {value} IS NOT NULL)"
+    return (candidates.groupBy(*keys, "py", "px").agg(F.expr(best).alias("_m")).filter("_m IS NOT NULL")
             .select(*keys, "py", "px", "_m.v", "_m.item_id", "_m.depth"))
 
 

@@ -154,24 +154,22 @@ def palette_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(idx, "item_id")
 
 
-def chart_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """42 x 42 palette charts of half a minute per pixel, one per vector: a white collar on the
-    west and south, a one-pixel dark neatline, then the chart face."""
-    df = derived(spark, sf_dir, "chips").select("item_id", "embedding")
+def chart_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """42 x 42 charts of half a minute per pixel, one per vector, with their georeferencing."""
     k = F.col("item_id")
     west = -100 + ((k * 7) % 1200).cast("double") / 60
     south = 30 + ((k * 11) % 500).cast("double") / 60
-    cw, cs = 3 + k % 6, 3 + k % 4
-
-    def pixel(i):
-        row, col = F.floor(i / 42), i % 42
-        v = F.element_at("embedding", ((row * 7 + col) % 64 + 1).cast("int")).cast("double")
-        face = F.greatest(F.lit(1), F.least(F.lit(8), F.floor((v + 0.6) * 8).cast("int")))
-        return (F.when((col < cw) | (row > 41 - cs), F.lit(9)).when((col == cw) | (row == 41 - cs), F.lit(0)).otherwise(face))
-    return df.select("item_id", F.lit(42).alias("width"), F.lit(42).alias("height"),
-                     (F.lit(0.5) / 60).alias("a"), west.alias("c"), (F.lit(-0.5) / 60).alias("e"),
-                     (south + F.lit(21.0) / 60).alias("f"),
-                     F.transform(F.sequence(F.lit(0), F.lit(42 * 42 - 1)), pixel).alias("idx"))
+    return derived(spark, sf_dir, "chips").select(
+        "item_id", F.lit(42).alias("width"), F.lit(42).alias("height"), (F.lit(0.5) / 60).alias("a"), west.alias("c"),
+        (F.lit(-0.5) / 60).alias("e"), (south + F.lit(21.0) / 60).alias("f"))
+
+
+def chart_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, row, col, idx: a white collar (9) on the west and south, a one-pixel ink line (0), then the face."""
+    px = (spread(derived(spark, sf_dir, "chips").select("item_id", "embedding"))
+          .selectExpr("item_id", "embedding", "explode(sequence(0, 41)) AS row").selectExpr("*", "explode(sequence(0, 41)) AS col"))
+    face = "greatest(1, least(8, int(floor((double(embedding[(row * 7 + col) % 64]) + 0.6D) * 8))))"
+    return px.selectExpr("item_id", "row", "col", f"CASE WHEN col < 3 + item_id % 6 OR row > 38 - item_id % 4 THEN 9 WHEN col = 3 + item_id % 6 OR row = 38 - item_id % 4 THEN 0 ELSE {face} END AS idx")
 
 
 CHART_CTE = _sql("chips") + """,
