@@ -74,19 +74,19 @@ def unconverted_summary(files: DataFrame, key: str, what: str) -> DataFrame:
 
 def layer_order(layers: DataFrame, key: str, res: str, ord_: str) -> DataFrame:
     """Position of each good layer, coarsest first, in the given order among equals."""
-    return bucketed_row_number(layers.filter("status = 'ok'"), [key], [F.col(res).desc(), F.col(ord_)], F.floor(F.col(res) / 10), "position", descending=True)
+    return bucketed_row_number(layers.filter("status = 'ok'"), [key], [F.col(res).desc(), F.col(ord_)], F.struct(-F.col(res), F.floor(F.col(ord_) / 100_000)), "position")
 
 
 def compact_log(events: DataFrame, key: str, keep: int = LOG_KEEP) -> DataFrame:
     """Log entries: phase changes only (no fraction, or 0, or 1), without repeats, the last ``keep`` per job."""
     told = events.filter("frac IS NULL OR frac IN (0D, 1D)")
-    prev = bucketed_lag(told, [key], ["ts", "seq"], F.date_trunc("hour", "ts"), "msg", "prev_msg")
+    prev = bucketed_lag(told, [key], ["ts", "seq"], F.date_trunc("minute", "ts"), "msg", "prev_msg")
     return top_k(prev.filter("prev_msg IS NULL OR prev_msg <> msg").drop("prev_msg"), [key], [F.col("ts").desc(), F.col("seq").desc()], keep).drop("rn")
 
 
 def progress_steps(events: DataFrame, keys: list[str]) -> DataFrame:
     """Each reported fraction with the one before it and whether the series went backwards there."""
-    prev = bucketed_lag(events.filter("frac IS NOT NULL"), keys, ["ts", "seq"], F.date_trunc("hour", "ts"), "frac", "prev_frac")
+    prev = bucketed_lag(events.filter("frac IS NOT NULL"), keys, ["ts", "seq"], F.date_trunc("minute", "ts"), "frac", "prev_frac")
     return prev.withColumn("backwards", F.coalesce(F.col("frac") < F.col("prev_frac"), F.lit(False)))
 
 

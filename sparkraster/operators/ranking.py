@@ -32,7 +32,7 @@ def bucketed_lag(df: DataFrame, keys: list[str], order: list[str], bucket: Colum
             .withColumn(out, F.coalesce("_in", "_prev").getField("v")).drop("_b", "_prev", "_in"))
 
 
-def top_k(df: DataFrame, keys: list[str], order: list, k: int, shares: int = 32, out: str = "rn") -> DataFrame:
+def top_k(df: DataFrame, keys: list[str], order: list, k: int, shares: int = 1024, out: str = "rn") -> DataFrame:
     """First k rows of every key. Shares of a key are cut to k rows each before they meet, so the
     final window sees at most shares * k rows of a key, and the result is exact."""
     share = F.pmod(F.xxhash64(*df.columns), F.lit(shares))

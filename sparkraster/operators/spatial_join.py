@@ -1,57 +1,66 @@
-"""Rectangle joins by grid cells.
+"""Rectangle joins by grid cells of matching size.
 
-Every box is listed in the one-degree cells it touches (large boxes in sixteen-degree cells), the
-two sides meet on the cell, and a pair is kept only in the cell that holds the south-west corner
-of the common box, so nothing has to be de-duplicated afterwards.
+Every box has a level: the finest of six cell sizes (16 degrees down to 1/64) that is still as wide and
+high as the box, so it touches at most four cells. A pair meets at the coarser of its two levels, and is
+kept only in the cell that holds the south-west corner of the common box, so nothing has to be
+de-duplicated afterwards. Because cells fit the boxes, the pairs looked at stay near the pairs found,
+also where a large part of all boxes lies in one small place.
 
-Two small per-cell count tables steer the shuffle. Cells without partners are dropped before it,
-and a cell with many boxes on either side is cut into a rectangle of sub-keys: each left row picks
-one left share and is copied to all right shares, and the other way round, so every pair still
-meets exactly once however full one cell is.
+A table of counts per cell steers the shuffle. Cells without partners are dropped, and a cell with many
+boxes on either side is cut into a rectangle of sub-keys: each left row picks one left share and is
+copied to all right shares, and the other way round, so every pair still meets exactly once.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COARSE = 16          # coarse cells per side, in fine cells
-LARGE_CELLS = 16     # boxes touching more fine cells than this are listed in coarse cells
-BROADCAST_CELLS = 300_000
+TOP_CELL = 16.0   # degrees; each further level halves the cell twice
+LEVELS = 6
 
 
-def _listed(df: DataFrame, box: str, cell: float, side: str) -> DataFrame:
-    """One row per (box, cell). The band says which sizes meet there: S/L for left then right."""
-    small, large = ("'SS','SL'", "'LS','LL'") if side == "left" else ("'SS','LS'", "'SL','LL'")
-    cells = " * ".join(f"(ceil({box}.{hi} / {cell}D) - floor({box}.{lo} / {cell}D))"
-                       for lo, hi in (("west", "east"), ("south", "north")))
+def _level(box: str) -> str:
+    size = f"greatest({box}.east - {box}.west, {box}.north - {box}.south, 1e-9D)"
+    return f"greatest(0, least({LEVELS - 1}, int(floor(log2({TOP_CELL}D / {size}) / 2))))"
+
+
+def _listed(df: DataFrame, box: str, side: str, partners: DataFrame, partner_box: str) -> DataFrame:
+    """One row per (box, level, cell). The band tells who is the coarser one there: B both, L or R.
+
+    A box is listed at its own level for partners of the same size (B) and smaller ones, and at each
+    coarser level for larger partners, as far as the other side has boxes of such a level at all; the
+    levels in use are six bits.
+    """
+    mine, theirs = ("L", "R") if side == "left" else ("R", "L")
+    used = partners.agg(F.expr(f"bit_or(shiftleft(1, {_level(partner_box)}))")).scalar()
 
     def span(lo, hi):
         return (f"explode(sequence(int(floor({box}.{lo} / _size)), "
                 f"greatest(int(floor({box}.{lo} / _size)), int(ceil({box}.{hi} / _size)) - 1)))")
-    return (df.selectExpr("*", f"explode(if({cells} > {LARGE_CELLS}, array({large}), array({small}))) AS band")
-            .selectExpr("*", f"if(band = 'SS', {cell}D, {cell * COARSE}D) AS _size")
-            .selectExpr("*", span("west", "east") + " AS cx")
-            .selectExpr("*", span("south", "north") + " AS cy").drop("_size"))
+    return (df.withColumn("_used", F.coalesce(used, F.lit(0))).selectExpr("*", f"{_level(box)} AS _own")
+            .selectExpr("*", "explode(sequence(0, _own)) AS level")
+            .selectExpr("*", f"explode(if(level = _own, array('B', '{mine}'), array('{theirs}'))) AS band")
+            .filter(f"if(band = '{mine}', shiftright(_used, level + 1) <> 0, (shiftright(_used, level) & 1) = 1)")
+            .selectExpr("*", f"{TOP_CELL}D / pow(4D, level) AS _size")
+            .selectExpr("*", span("west", "east") + " AS cx").selectExpr("*", span("south", "north") + " AS cy")
+            .select(*df.columns, "level", "band", "cx", "cy"))
 
 
 def rect_join(left: DataFrame, right: DataFrame, left_box: str = "bbox", right_box: str = "item_bbox",
-              cell: float = 1.0, rows_per_share: int = 200_000, on: Column | None = None) -> DataFrame:
+              rows_per_share: int = 200_000, on: Column | None = None) -> DataFrame:
     """All pairs of rows whose boxes intersect (touching edges do not count).
 
-    Column names of the two sides must differ. ``on`` adds a further condition on the pair.
+    Column names of the two sides must differ. Rows are copied per cell, so pass narrow rows and join
+    pixel arrays to the pairs afterwards. ``on`` adds a further condition on the pair.
     """
     if set(left.columns) & set(right.columns):
         raise ValueError(f"columns on both sides: {set(left.columns) & set(right.columns)}")
-    lx, rx = _listed(left, left_box, cell, "left"), _listed(right, right_box, cell, "right")
-    keys = ["band", "cx", "cy"]
-    ln = _listed(left.select(left_box), left_box, cell, "left").groupBy(*keys).agg(F.count("*").alias("_ln"))
-    rn = _listed(right.select(right_box), right_box, cell, "right").groupBy(*keys).agg(F.count("*").alias("_rn"))
-
+    keys = ["level", "band", "cx", "cy"]
+    lx, rx = _listed(left, left_box, "left", right, right_box), _listed(right, right_box, "right", left, left_box)
+    ln, rn = lx.groupBy(*keys).agg(F.count("*").alias("_ln")), rx.groupBy(*keys).agg(F.count("*").alias("_rn"))
+    # One row per cell with partners. It is broadcast only if its measured size allows.
     plan = ln.join(rn, keys).selectExpr(*keys, f"int(ceil(_ln / {rows_per_share})) AS _ls",
                                         f"int(ceil(_rn / {rows_per_share})) AS _rs")
-    # The plan has at most one row per cell and band of the globe; only then is it broadcast.
-    if 4 * (360 / cell + 1) * (180 / cell + 1) <= BROADCAST_CELLS:
-        plan = F.broadcast(plan)
     # The share number comes from the row itself, so a re-run task sends a row to the same place.
     lid = F.pmod(F.xxhash64(*left.columns), F.col("_ls")).cast("int")
     rid = F.pmod(F.xxhash64(*right.columns), F.col("_rs")).cast("int")
@@ -59,13 +68,13 @@ def rect_join(left: DataFrame, right: DataFrame, left_box: str = "bbox", right_b
           .selectExpr("*", "explode(sequence(0, _rs - 1)) AS _j").drop("_ls", "_rs"))
     rx = (rx.join(plan, keys).withColumn("_j", rid)
           .selectExpr("*", "explode(sequence(0, _ls - 1)) AS _i").drop("_ls", "_rs"))
-    a, b, size = left_box, right_box, f"if(band = 'SS', {cell}D, {cell * COARSE}D)"
+    a, b, size = left_box, right_box, f"({TOP_CELL}D / pow(4D, level))"
     cond = F.expr(f"{b}.east > {a}.west AND {b}.west < {a}.east AND {b}.north > {a}.south AND {b}.south < {a}.north "
                   f"AND floor(greatest({a}.west, {b}.west) / {size}) = cx "
                   f"AND floor(greatest({a}.south, {b}.south) / {size}) = cy")
     if on is not None:
         cond = cond & on
-    return lx.join(rx, keys + ["_i", "_j"]).filter(cond).drop("band", "cx", "cy", "_i", "_j")
+    return lx.join(rx, keys + ["_i", "_j"]).filter(cond).drop(*keys, "_i", "_j")
 
 
 def has_data(areas: DataFrame, footprints: DataFrame, area_key: str, known: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from ..functions import geo, text, tiles
 from ..operators import estimate as est
 from ..operators.spatial_join import rect_join
+from ..session import cut_lineage
 from ..sources import cells, exports, registry, xyz
 from .inputs import ctes, derived, r6, spread, table
 from .q_joins import HIT
-from .q_sources import SRC_CTE, _STAC_CTE, stac_documents
+from .q_sources import SRC_CTE, _STAC_CTE, event_tiles_in
 from .registry import query
 
 FRAC = "(least(a.east,c.east)-greatest(a.west,c.west))*(least(a.north,c.north)-greatest(a.south,c.south))"
@@ -123,10 +124,7 @@ def s20(spark, sf):
 hit AS (SELECT a.aoi_id, c.s_suppkey, {FRAC}/((c.east-c.west)*(c.north-c.south)) AS frac FROM aoi a JOIN st0 c ON {HIT})""" + (_FRACEST).replace("FROM st)", """
  FROM (SELECT aoi_id, frac, CASE WHEN s_suppkey%11=0 THEN 20000000.0::DOUBLE ELSE CAST(1000000*(1+s_suppkey%25) AS DOUBLE) END AS size, s_suppkey%3=0 AS cached FROM hit))""") + f" SELECT aoi_id, {ENV()} FROM ef")
 def a04(spark, sf):
-    from ..sources import stac
-    root, docs = stac_documents(spark, sf)
-    evs = stac.events(root, docs)
-    t = stac.tiles_for(areas(spark, sf), evs, stac.event_tiles(evs, docs)).withColumn("k", F.regexp_extract("tile_url", r"/v(\d+)\.tif$", 1).cast("long"))
+    t = event_tiles_in(spark, sf, areas(spark, sf)).withColumn("k", F.regexp_extract("tile_url", r"/v(\d+)\.tif$", 1).cast("long"))
     s = table(spark, sf, "supplier")
     sizes = s.filter("s_suppkey % 11 <> 0").selectExpr("s_suppkey AS k", "double(1000000 * (1 + s_suppkey % 25)) AS size")
     cached = s.filter("s_suppkey % 3 = 0").selectExpr("s_suppkey AS k", "true AS cached")
@@ -181,7 +179,8 @@ def export_cache(spark, sf):
     s0 = key(c0).selectExpr("key", f"CASE {k} WHEN 0 THEN 'tif' WHEN 1 THEN 'split' END AS state")
     s1 = key(q1).selectExpr("key", "CASE (aoi_id + q) % 4 WHEN 0 THEN 'tif' WHEN 1 THEN 'split' END AS state")
     s2 = key(q2).selectExpr("key", "if((aoi_id + q + p) % 2 = 0, 'tif', NULL) AS state")
-    return s0.unionByName(s1).unionByName(s2).filter("state IS NOT NULL")
+    # A cache listing is a stored table; it is read once per quad level.
+    return cut_lineage(s0.unionByName(s1).unionByName(s2).filter("state IS NOT NULL"), "export-cache")
 
 
 _GOT = """gt AS (SELECT *, CASE (aoi_id+r*3+c)%3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN (SELECT sum(CASE (aoi_id+q)%4 WHEN 0 THEN 0.25 WHEN 1 THEN 0.125 ELSE 0 END) FROM range(4) t(q))::DOUBLE ELSE 0.0 END AS got FROM ck)"""

@@ -81,11 +81,12 @@ def area_layers(spark, sf):
     chips = elevation_chips(spark, sf).withColumnRenamed("bbox", "item_bbox")
     chips = chips.withColumn("native_res_m", geo.native_res_m(F.lit("geographic"), F.col("a"), geo.center_lat(F.col("item_bbox"))))
     areas = spread(derived(spark, sf, "aoi").select("aoi_id", F.col("bbox").alias("aoi_bbox")))
-    pairs = rect_join(areas, chips, "aoi_bbox", "item_bbox")
+    pairs = rect_join(areas, chips.select("item_id", "item_bbox", "native_res_m"), "aoi_bbox", "item_bbox")
     res = mo.plan_resolution(pairs.selectExpr("aoi_id", "aoi_bbox", "CAST(NULL AS DOUBLE) AS wanted", "native_res_m", "30D AS dflt"),
                              ["aoi_id", "aoi_bbox"], "wanted", "native_res_m", "dflt")
     grids = res.withColumn("grid", geo.make_grid(F.col("aoi_bbox"), F.col("res_m")))
-    fitted = pairs.join(grids.select("aoi_id", "grid"), "aoi_id").withColumnRenamed("item_bbox", "bbox")
+    tiles = chips.drop("native_res_m").withColumnRenamed("item_bbox", "bbox")
+    fitted = pairs.select("aoi_id", "item_id").join(grids.select("aoi_id", "grid"), "aoi_id").join(tiles, "item_id")
     px = mo.with_target_pixels(mo.touching_grid(fitted))
     cand = mo.with_depth(mo.sample_nearest(px.select("aoi_id", "item_id", "item_ord", "bbox", "width", "z", "py", "px", "lon", "lat", "fcol", "frow")))
     return pairs, grids, mo.composite(cand, ["aoi_id"])

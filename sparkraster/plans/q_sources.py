@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators.spatial_join import rect_join
+from ..session import cut_lineage
 from ..sources import charts, library, registry, stac
 from .inputs import ctes, derived, flat, table
 from .q_joins import HIT
@@ -109,7 +110,8 @@ def s07(spark, sf):
 SELECT aoi_id, regexp_extract(path,'([^/]*)$',1) AS label, product_id FROM aoi a
  JOIN (SELECT path, product_id, round(west,8) AS west, round(south,8) AS south, round(east,8) AS east, round(north,8) AS north FROM keyed) c ON {HIT}""")
 def s08(spark, sf):
-    items = library_items(spark, sf).select("path", "product_id", F.col("bbox").alias("item_bbox"))
+    # The library index is a stored table, as a scan is not repeated for every lookup.
+    items = cut_lineage(library_items(spark, sf).select("path", "product_id", F.col("bbox").alias("item_bbox")), "library-index")
     j = rect_join(derived(spark, sf, "aoi").select("aoi_id", "bbox"), items)
     return j.select("aoi_id", text.file_name(F.col("path")).alias("label"), "product_id")
 
@@ -201,34 +203,42 @@ _STAC_ROWS = "s_suppkey, n_nationkey, n_regionkey FROM supplier JOIN nation ON s
 
 
 def stac_documents(spark, sf):
-    """Catalogue documents: regions as events, nations as acquisitions, suppliers as items."""
+    """Catalogue documents: regions as events, up to a thousand suppliers of a nation as one acquisition."""
     base = "https://example.org/events/"
     n, s, r = table(spark, sf, "nation"), table(spark, sf, "supplier"), table(spark, sf, "region")
     ev = "concat('ev', {k}, '/collection.json')"
     root = r.agg(F.expr(f"to_json(struct(collect_list(struct('child' AS rel, concat('./', {ev.format(k='r_regionkey')}) AS href)) AS links)) AS body")) \
         .selectExpr(f"'{base}catalog.json' AS url", "body")
-    evd = n.groupBy("n_regionkey").agg(F.expr("to_json(struct(collect_list(struct('child' AS rel, concat('./acq', n_nationkey, '/c.json') AS href)) AS links, "
+    j = s.join(n, F.expr("s_nationkey = n_nationkey")).withColumn("acq", F.expr("concat(n_nationkey, '-', s_suppkey div 1000)"))
+    evd = j.select("n_regionkey", "acq").distinct().groupBy("n_regionkey").agg(F.expr("to_json(struct(collect_list(struct('child' AS rel, concat('./acq', acq, '/c.json') AS href)) AS links, "
                                               "struct(struct(if(n_regionkey = 4, array(array(-100D, 30D)), array(array(-100D + 5 * n_regionkey, 30D, -94D + 5 * n_regionkey, 43D))) AS bbox) AS spatial) AS extent)) AS body")) \
         .selectExpr(f"concat('{base}', {ev.format(k='n_regionkey')}) AS url", "body")
-    j = s.join(n, F.expr("s_nationkey = n_nationkey"))
-    acq = j.groupBy("n_regionkey", "n_nationkey").agg(F.expr("to_json(struct(collect_list(struct(if(s_suppkey % 8 = 0, 'self', 'item') AS rel, concat('../acq', n_nationkey, '/i', s_suppkey, '.json') AS href)) AS links)) AS body")) \
-        .selectExpr(f"concat('{base}ev', n_regionkey, '/acq', n_nationkey, '/c.json') AS url", "body")
+    acq = j.groupBy("n_regionkey", "acq").agg(F.expr("to_json(struct(collect_list(struct(if(s_suppkey % 8 = 0, 'self', 'item') AS rel, concat('../acq', acq, '/i', s_suppkey, '.json') AS href)) AS links)) AS body")) \
+        .selectExpr(f"concat('{base}ev', n_regionkey, '/acq', acq, '/c.json') AS url", "body")
     cat = derived(spark, sf, "catalog").select(F.col("item_id").alias("s_suppkey"), "bbox")
     item = j.join(cat, "s_suppkey").selectExpr(
-        f"concat('{base}ev', n_regionkey, '/acq', n_nationkey, '/i', s_suppkey, '.json') AS url",
+        f"concat('{base}ev', n_regionkey, '/acq', acq, '/i', s_suppkey, '.json') AS url",
         "to_json(struct(if(s_suppkey % 10 = 0, NULL, array(bbox.west, bbox.south, bbox.east, bbox.north)) AS bbox, "
         "struct(if(s_suppkey % 9 = 0, NULL, struct(concat('./v', s_suppkey, '.tif') AS href)) AS visual) AS assets)) AS body")
     docs = stac.parse(evd.unionByName(acq).unionByName(item))
     return stac.parse(root), docs
 
 
-@query("s16_catalog_events", """SELECT concat('ev', CAST(n_regionkey AS STRING)) AS name, -100.0::DOUBLE+5*n_regionkey AS west, -94.0::DOUBLE+5*n_regionkey AS east FROM nation WHERE n_regionkey<>4 GROUP BY n_regionkey""")
+def event_tiles_in(spark, sf, areas):
+    """Imagery tiles touching each area, from the crawled catalogue stored as two tables."""
+    root, docs = stac_documents(spark, sf)
+    evs = stac.events(root, docs)
+    tiles = cut_lineage(stac.event_tiles(evs, docs), "event-tiles")
+    return stac.tiles_for(areas, cut_lineage(evs.select("name", "bbox"), "events"), tiles)
+
+
+@query("s16_catalog_events", """SELECT concat('ev', CAST(n_regionkey AS STRING)) AS name, -100.0::DOUBLE+5*n_regionkey AS west, -94.0::DOUBLE+5*n_regionkey AS east FROM nation WHERE n_regionkey<>4 AND n_nationkey IN (SELECT s_nationkey FROM supplier) GROUP BY n_regionkey""")
 def s16(spark, sf):
     root, docs = stac_documents(spark, sf)
     return stac.events(root, docs).select("name", "bbox.west", "bbox.east")
 
 
-_STAC_CTE = f""", st AS (SELECT s_suppkey, concat('ev', CAST(n_regionkey AS STRING)) AS name, n_regionkey, concat('https://example.org/events/ev', CAST(n_regionkey AS STRING), '/acq', CAST(n_nationkey AS STRING), '/v', CAST(s_suppkey AS STRING), '.tif') AS tile_url,
+_STAC_CTE = f""", st AS (SELECT s_suppkey, concat('ev', CAST(n_regionkey AS STRING)) AS name, n_regionkey, concat('https://example.org/events/ev', CAST(n_regionkey AS STRING), '/acq', CAST(n_nationkey AS STRING), '-', CAST(s_suppkey//1000 AS STRING), '/v', CAST(s_suppkey AS STRING), '.tif') AS tile_url,
  west, south, east, north FROM (SELECT {_STAC_ROWS}) JOIN catalog ON item_id=s_suppkey WHERE s_suppkey%8<>0 AND s_suppkey%9<>0 AND s_suppkey%10<>0 AND n_regionkey<>4)"""
 
 
@@ -237,10 +247,7 @@ ev AS (SELECT DISTINCT name, -100.0::DOUBLE+5*n_regionkey AS west, 30.0::DOUBLE
 near AS (SELECT DISTINCT name FROM aoi a JOIN ev c ON {HIT})
 SELECT aoi_id, tile_url FROM aoi a JOIN (SELECT * FROM st WHERE name IN (SELECT name FROM near)) c ON {HIT}""")
 def s17(spark, sf):
-    root, docs = stac_documents(spark, sf)
-    evs = stac.events(root, docs)
-    t = stac.tiles_for(derived(spark, sf, "aoi").select("aoi_id", "bbox"), evs, stac.event_tiles(evs, docs))
-    return t.select("aoi_id", "tile_url")
+    return event_tiles_in(spark, sf, derived(spark, sf, "aoi").select("aoi_id", "bbox")).select("aoi_id", "tile_url")
 
 
 @query("t07_ttl_refresh", """SELECT user_id AS key, max(ts) AS fetched_at, arg_max(event_id, ts) AS version, epoch(TIMESTAMP '2024-01-15 00:00:00')::BIGINT - floor(epoch(max(ts)))::BIGINT > 21600 AS stale FROM events GROUP BY 1""")

@@ -32,7 +32,7 @@ def admit(samples: DataFrame, file_samples: bool = False) -> DataFrame:
 def fold(samples: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """key, value, n, updated after all samples (key, value, ts, seq), starting from ``state`` if given."""
     ranked = bucketed_row_number(samples.select("key", "value", "ts", "seq"), ["key"], [F.col("ts").desc(), F.col("seq").desc()],
-                                 F.date_trunc("hour", "ts"), "_r", descending=True)
+                                 F.date_trunc("minute", "ts"), "_r", descending=True)
     new = ranked.groupBy("key").agg(F.expr(f"sum({ALPHA}D * pow({1 - ALPHA}D, _r - 1) * value) AS _sum"), F.count("*").alias("_n"),
                                     F.expr("min_by(value, struct(ts, seq)) AS _first"), F.max("ts").alias("_ts"))
     old = state if state is not None else new.selectExpr("key", "double(NULL) AS value", "0L AS n", "_ts AS updated").filter("false")
