@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import mosaic as mo
 from ..operators.spatial_join import rect_join
+from ..session import deal
 from .inputs import ELEV_CTE, ctes, derived, elevation_chips, flat, r6, spread, table
 from .registry import query
 
@@ -86,7 +87,8 @@ def area_layers(spark, sf):
                              ["aoi_id", "aoi_bbox"], "wanted", "native_res_m", "dflt")
     grids = res.withColumn("grid", geo.make_grid(F.col("aoi_bbox"), F.col("res_m")))
     tiles = chips.drop("native_res_m").withColumnRenamed("item_bbox", "bbox")
-    fitted = pairs.select("aoi_id", "item_id").join(grids.select("aoi_id", "grid"), "aoi_id").join(tiles, "item_id")
+    sized = pairs.select("aoi_id", "item_id").join(grids.select("aoi_id", "grid"), "aoi_id")
+    fitted = deal(sized, "aoi_id", "item_id").join(tiles, "item_id")
     px = mo.with_target_pixels(mo.touching_grid(fitted))
     cand = mo.with_depth(mo.sample_nearest(px.select("aoi_id", "item_id", "item_ord", "bbox", "width", "z", "py", "px", "lon", "lat", "fcol", "frow")))
     return pairs, grids, mo.composite(cand, ["aoi_id"])

@@ -49,3 +49,14 @@ def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deal(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash ``df`` over all shuffle partitions ahead of work that multiplies its rows by hundreds.
+
+    Narrow pairs look small to adaptive coalescing, which sizes tasks by bytes, not by what they become.
+    Dealing by pair also spreads the pairs of one hot area or raster.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
