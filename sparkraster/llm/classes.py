@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 from sparkraster.session import cut_lineage
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for broadcast if it has no more than ``BROADCAST_ROWS`` of them."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every id in ``links`` (a, b): root is the smallest id of its connected component.
 
@@ -48,14 +56,15 @@ def components(links: DataFrame) -> DataFrame:
     return cut_lineage(out.select(F.col("v").alias("id"), F.col("p").alias("root")).union(roots).distinct(), "roots")
 
 
-def linked_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_classes(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """(id, root) of all ids that some verified link joins to another id.
 
-    ``members``: (bucket, id), bigint both, one row for each bucket an id is in. ``verify`` takes distinct pairs
-    (a, b) and returns those that are links. Buckets of one id cost nothing beyond one count.
+    ``members``: (bucket, id), bigint both, one row for each bucket an id is in. ``prepare`` takes the ids (id) that have
+    bucket mates at all and returns the check, which takes distinct pairs (a, b) of them and returns those that are links.
     """
-    seen = members.groupBy("bucket").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep <> last")
-    live = cut_lineage(members.join(seen.select("bucket", "rep"), "bucket").select("bucket", "id", "rep", F.lit(False).alias("done")).distinct(), "members")
+    seen = cut_lineage(members.groupBy("bucket").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep <> last").select("bucket", "rep"), "buckets")
+    live = cut_lineage(members.join(small(seen), "bucket").select("bucket", "id", "rep", F.lit(False).alias("done")).distinct(), "members")
+    verify = prepare(cut_lineage(live.select("id").distinct(), "mates"))
     pairs = live.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
     links = cut_lineage(verify(pairs).select("a", "b"), "verified")
     roots = components(links)

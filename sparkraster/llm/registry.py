@@ -1,7 +1,7 @@
 """Registered queries of this subpackage and their SQL twins."""
 from __future__ import annotations
 
-from sparkraster.llm import mixing, warc
+from sparkraster.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity, warc
 
-QUERIES = {f.__name__: f for f in (mixing.op5_mix_sources, warc.op10_warc_normalise)}
+QUERIES = {f.__name__: f for f in (line_dedup.op1_line_dedup, mixing.op5_mix_sources, near_dedup.op6_near_dedup, toxicity.op7_toxicity, decontaminate.op9_decontaminate, warc.op10_warc_normalise)}
 ORACLES = {"op10_warc_normalise": warc.OP10_SQL}
