@@ -17,13 +17,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
-def shingle_hashes(w: Column, size: int) -> Column:
-    """64-bit hashes of all runs of ``size`` words; a shorter text is one run, an empty one has none."""
-    h = F.transform(w, lambda x: F.xxhash64(x))
-    n = F.size(h)
-    runs = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(*[F.element_at(h, i + k) for k in range(size)]))
-    return (F.when(n >= size, runs).when(n > 0, F.array(F.xxhash64(F.concat_ws(" ", w)))).otherwise(F.array().cast("array<bigint>")))
-
-
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def with_shingles(df: DataFrame, text: Column, size: int, name: str) -> DataFrame:
+    """Adds ``name``, 64-bit hashes of all runs of ``size`` words; a shorter text is one run, an empty one has none.
+
+    The word hashes are a column of their own first: inside the lambda an expression would be evaluated for every run.
+    """
+    d = df.withColumn("_h", F.transform(words(text), lambda x: F.xxhash64(x))).withColumn("_n", F.size("_h"))
+    runs = F.transform(F.sequence(F.lit(1), F.col("_n") - size + 1), lambda i: F.xxhash64(*[F.element_at("_h", i + k) for k in range(size)]))
+    return d.withColumn(name, F.when(F.col("_n") >= size, runs).when(F.col("_n") > 0, F.array(F.xxhash64("_h"))).otherwise(F.array().cast("array<bigint>"))).drop("_h", "_n")
