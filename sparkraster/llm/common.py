@@ -1,6 +1,8 @@
 """Helpers the training-data operators share."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` names it and wherever the optimizer moves the whole."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def with_shingles(df: DataFrame, text: Column, size: int, name: str) -> DataFrame:
     """Adds ``name``, 64-bit hashes of all runs of ``size`` words; a shorter text is one run, an empty one has none.
 
