@@ -172,10 +172,10 @@ def document_classes(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each class, and all with a null text."""
     c = cut_lineage(document_classes(docs.select("doc_id", "text")).filter("stays and key is not null")
-                    .groupBy("doc_id", "key").agg(F.count("*").alias("rows")).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "rows"), "stay")
+                    .groupBy("doc_id", "key").agg(F.count("*").alias("_rows")).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "_rows"), "stay")
     cols = [F.col(f"`{x}`") for x in docs.columns]
     on = F.expr("doc_id <=> _d and md5(cast(text as binary)) = _k")
-    once, repeated = cut_lineage(c.filter("rows = 1"), "stay-once"), cut_lineage(c.filter("rows > 1"), "stay-repeated")
+    once, repeated = cut_lineage(c.filter("_rows = 1"), "stay-once"), cut_lineage(c.filter("_rows > 1"), "stay-repeated")
     kept = docs.join(small(once), on, "left_semi").union(docs.filter("text is null"))
     more = docs.join(small(repeated), on)
     return kept.select(*cols).union(more.dropDuplicates(["_d", "_k"]).select(*cols))

@@ -8,7 +8,7 @@ swapped for another of its set; the squared change of the score between a text a
 Nulls: a null or empty text has no features and scores the intercept; a null doc_id counts as an empty string for the split.
 Labels that are null or repeated: nulls are left out, the largest of a doc_id counts. Without positive or without negative
 labels the model has no weights and scores the share of positives (0 if there are no labels). An empty table gives an empty result. Other
-columns of the documents are kept by ``score``; only ``score`` itself is replaced.
+columns of the documents are kept by ``score``; only the one it is told to add is replaced.
 """
 from __future__ import annotations
 
@@ -127,8 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_label: int = SA
     return Model(vocab[big], w[big], b + float(np.log(prior)))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds ``score``, the probability of label 1 of the whole text."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """Adds ``name``, the probability of label 1 of the whole text."""
     vocab, weights, b = model.vocabulary, model.weights, model.intercept
     mask = np.zeros(1 << 16, bool)
     mask[vocab & 0xFFFF] = True
@@ -147,7 +147,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))), pa.float64())
 
     value.__annotations__ = {"f": pa.Array, "return": pa.Array}
-    return docs.withColumn("score", F.arrow_udf(value, "double")(features(tokens(F.col("text")))))
+    return docs.withColumn(name, F.arrow_udf(value, "double")(features(tokens(F.col("text")))))
 
 
 def is_held_out(doc_id: Column) -> Column:
