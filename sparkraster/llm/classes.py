@@ -1,15 +1,15 @@
 """Classes of linked rows: candidates from shared buckets, a given exact check, and distributed union-find.
 
 Nothing here lists all pairs of a bucket. A bucket's members are held against one representative first; what that
-links falls into one class. Members of other classes become pivots, 4, 16, 64, ... a round, and are held against
-every member of another class, until each two members of a bucket are either in one class or compared. So no link
-between bucket mates is lost, and a bucket of near copies costs about as many checks as it has members.
+links falls into one class. Members of other classes become pivots, 8, 64, 512, ... a round, and are held against
+every member of another class with which a link is possible, until each two members of a bucket are either in one class or
+compared. So no link between bucket mates is lost, and a bucket of near copies costs about as many checks as it has members.
 """
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkraster.session import cut_lineage
@@ -56,35 +56,44 @@ def components(links: DataFrame) -> DataFrame:
     return cut_lineage(out.select(F.col("v").alias("id"), F.col("p").alias("root")).union(roots).distinct(), "roots")
 
 
-def linked_classes(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def linked_classes(members: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame, Callable[[str, str], Column], Callable[[DataFrame], DataFrame]]]) -> DataFrame:
     """(id, root) of all ids that some verified link joins to another id.
 
-    ``members``: (bucket, id), bigint both, one row for each bucket an id is in. ``prepare`` takes the ids (id) that have
-    bucket mates at all and returns the check, which takes distinct pairs (a, b) of them and returns those that are links.
+    ``members``: (bucket, id), bigint both, one row for each bucket an id is in. ``prepare`` takes the ids (id) that have bucket mates at all and
+    returns their traits (id and narrow columns), a condition on the traits of two ids, given the prefixes of their columns, that holds for every
+    link and is cheap, and the check, which takes distinct pairs (a, b) and returns those that are links.
+    The representative of a bucket is the member with most mates in all its buckets, in a group of near copies the one nearest to all.
     """
-    seen = cut_lineage(members.groupBy("bucket").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep <> last").select("bucket", "rep"), "buckets")
-    live = cut_lineage(members.join(small(seen), "bucket").select("bucket", "id", "rep", F.lit(False).alias("done")).distinct(), "members")
-    verify = prepare(cut_lineage(live.select("id").distinct(), "mates"))
-    pairs = live.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    seen = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("mates")).filter("mates > 1"), "buckets")
+    live = cut_lineage(members.join(small(seen), "bucket").select("bucket", "id", "mates").distinct(), "members")
+    degree = live.groupBy("id").agg(F.sum("mates").alias("degree"))
+    reps = (live.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("i"))).alias("m"))
+            .select("bucket", (-F.col("m.i")).alias("rep")))
+    live = cut_lineage(live.drop("mates").join(reps, "bucket").withColumn("done", F.lit(False)), "members")
+    traits, may, verify = prepare(cut_lineage(live.select("id").distinct(), "mates"))
+    named = traits.columns[1:]
+    pairs = live.filter("id <> rep").select(F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b")).distinct()
     links = cut_lineage(verify(pairs).select("a", "b"), "verified")
     roots = components(links)
-    pivots = 4
+    pivots = 8
     while True:
-        of = roots.select("id", "root")
-        live = (live.drop("root").join(of, "id", "left").withColumn("root", F.coalesce("root", "id"))
-                .join(roots.select(F.col("id").alias("rep"), F.col("root").alias("main")), "rep", "left").withColumn("main", F.coalesce("main", "rep")))
-        todo = (live.filter("root <> main and not done").groupBy("bucket").agg(F.count("*").alias("others")))
+        of = small(roots)
+        live = (live.drop("root").join(of.select("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+                .join(of.select(F.col("id").alias("rep"), F.col("root").alias("main")), "rep", "left").withColumn("main", F.coalesce("main", "rep")))
+        todo = live.filter("root <> main and not done").groupBy("bucket").agg(F.count("*").alias("others"))
         live = cut_lineage(live.join(todo, "bucket").withColumn(
             "pivot", F.expr(f"root <> main and not done and pmod(xxhash64(id, bucket, {pivots}), cast(ceil(others / {pivots}) as bigint)) = 0"))
             .drop("main", "others"), "members")
         if live.isEmpty():
             return roots
-        p = live.filter("pivot").select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
-        pairs = (live.filter("not done and id <> rep").join(p, "bucket").filter("root <> ra and (not pivot or id > a)")
+        full = live.join(traits, "id")
+        p = full.filter("pivot").select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"), *[F.col(c).alias(f"a_{c}") for c in named])
+        q = full.filter("not done and id <> rep").select(F.col("bucket").alias("at"), "id", "root", "pivot", *[F.col(c).alias(f"b_{c}") for c in named])
+        pairs = (q.join(p, (F.col("at") == F.col("bucket")) & F.expr("root <> ra and (not pivot or id > a)") & may("a_", "b_"))
                  .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
         new = cut_lineage(verify(pairs).select("a", "b"), "verified")
         live = live.withColumn("done", F.expr("done or pivot")).drop("pivot")
         if not new.isEmpty():
             links = links.union(new)
             roots = components(links)
-        pivots *= 4
+        pivots *= 8

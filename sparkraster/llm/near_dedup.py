@@ -24,7 +24,7 @@ from sparkraster.llm.classes import linked_classes, small
 from sparkraster.llm.common import table, words
 from sparkraster.session import cut_lineage
 
-KMER, SKETCHES, PICKED, SIMILARITY = 5, 10, 3, 0.8
+KMER, SKETCHES, PICKED, SIMILARITY, MAP_WORDS = 5, 10, 3, 0.8, 16
 
 
 def word_hashes(text: Column) -> Column:
@@ -48,19 +48,23 @@ def kmers(w: np.ndarray) -> np.ndarray:
     return h
 
 
-def sketch(w: np.ndarray) -> np.ndarray:
-    """The ``SKETCHES`` hashes of ordered picks of a text with words ``w``."""
-    h = kmers(w)
+def labelled(h: np.ndarray) -> np.ndarray:
+    """Each k-mer hashed with its occurrence number among equal ones."""
     order = np.argsort(h, kind="stable")
     new = np.r_[True, h[order][1:] != h[order][:-1]]
     start = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
     nth = np.empty(len(h), np.uint64)
     nth[order] = (np.arange(len(h)) - start).astype(np.uint64)
-    label = mixed(h + nth * np.uint64(0x9E3779B97F4A7C15))
+    return mixed(h + nth * np.uint64(0x9E3779B97F4A7C15))
+
+
+def sketch(w: np.ndarray) -> np.ndarray:
+    """The ``SKETCHES`` hashes of ordered picks of a text with words ``w``."""
+    label = labelled(kmers(w))
     seeds = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64))
     rank = mixed(label[None, :] ^ seeds[:, None])
-    n = min(PICKED, len(h))
-    at = np.sort(np.argpartition(rank, n - 1, axis=1)[:, :n], axis=1) if n < len(h) else np.broadcast_to(np.arange(n), (SKETCHES, n))
+    n = min(PICKED, len(label))
+    at = np.sort(np.argpartition(rank, n - 1, axis=1)[:, :n], axis=1) if n < len(label) else np.broadcast_to(np.arange(n), (SKETCHES, n))
     out = seeds.copy()
     for i in range(n):
         out = mixed(out * np.uint64(5) + label[at[:, i]])
@@ -137,6 +141,29 @@ def aligned(content: DataFrame, pairs: DataFrame) -> DataFrame:
     return j.filter(F.least(na, nb) >= SIMILARITY * F.greatest(na, nb)).select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint")
 
 
+def traits(content: DataFrame) -> DataFrame:
+    """(id, n, x0 .. ): the number of labelled k-mers and a bitmap of them; two texts' bitmaps differ in no more bits than their k-mers do."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            flat, ends = t["w"].flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(t["w"].value_lengths().to_numpy(zero_copy_only=False))]
+            maps, n = np.zeros((t.num_rows, MAP_WORDS * 64), bool), []
+            for i in range(t.num_rows):
+                lab = labelled(kmers(flat[ends[i]:ends[i + 1]]))
+                maps[i, (lab % np.uint64(MAP_WORDS * 64)).astype(int)] = True
+                n.append(len(lab))
+            x = np.packbits(maps, axis=1).view(np.int64).reshape(t.num_rows, MAP_WORDS)
+            yield pa.RecordBatch.from_arrays([t["id"], pa.array(n, pa.int32()), *[pa.array(x[:, k]) for k in range(MAP_WORDS)]], names=["id", "n", *[f"x{k}" for k in range(MAP_WORDS)]])
+    return content.select("id", "w").mapInArrow(run, "id bigint, n int, " + ", ".join(f"x{k} bigint" for k in range(MAP_WORDS)))
+
+
+def may_link(a: str, b: str) -> Column:
+    """Whether sizes and bitmaps leave room for the similarity."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    apart = sum((F.bit_count(F.col(f"{a}x{k}").bitwiseXOR(F.col(f"{b}x{k}"))) for k in range(1, MAP_WORDS)), F.bit_count(F.col(f"{a}x0").bitwiseXOR(F.col(f"{b}x0"))))
+    need = F.ceil(SIMILARITY / (1 + SIMILARITY) * (na + nb) - 1e-9)
+    return (F.least(na, nb) >= need) & (apart <= na + nb - 2 * need)
+
+
 def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct texts (id, text, first: smallest doc_id) and the classes (id, class_id, keeper) of those that are not alone.
 
@@ -149,7 +176,7 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def prepare(ids: DataFrame):
         content = cut_lineage(texts.join(small(ids), "id", "left_semi").select("id", word_hashes(F.col("text")).alias("w")), "mates-words")
-        return lambda pairs: aligned(content, pairs)
+        return cut_lineage(traits(content), "mates-traits"), may_link, lambda pairs: aligned(content, pairs)
 
     roots = linked_classes(members, prepare)
     of = roots.join(texts.select("id", "first"), "id")
