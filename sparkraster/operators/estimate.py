@@ -8,8 +8,7 @@ from ..functions import geo, tiles
 from ..sources.cells import DOWNLOAD_FRACTION
 
 # Seconds to prepare a new chart, typical archive and imagery tile bytes, windowed-read
-# overhead, bytes added per export, megabytes of one elevation cell by level, JPEG bytes per pixel,
-# and the largest tile count whose cache is looked up.
+# overhead, bytes added per export, megabytes of one elevation cell by level and JPEG bytes per pixel.
 SECONDS_PER_NEW_CHART = 3.0
 TYPICAL_ZIP_BYTES = 60e6
 TYPICAL_IMAGE_BYTES = 20e6
@@ -19,7 +18,6 @@ CELL_MB = {0: 0.04, 1: 2.9, 2: 26.0}
 OTHER_CELL_MB = 3.0
 JPEG_BYTES_PER_PX = 0.35
 WMS_BLOCK = 1024
-MAX_COUNTED_TILES = 50_000
 
 
 def envelope(df: DataFrame, keys: list[str], download: str = "todo_bytes", cached: str = "cached_pct", requests: str = "requests",
@@ -87,7 +85,7 @@ def tile_estimate(areas: DataFrame, counts: DataFrame, key: str, tile_bytes: flo
     x1, y1 = tiles.lonlat_to_tile(F.col("bbox.east"), F.col("bbox.south"), F.col("z"))
     n = (F.abs(x1 - x0) + 1) * (F.abs(y1 - y0) + 1)
     return (areas.withColumn("n", n).join(counts.select(key, "cached"), key, "left")
-            .selectExpr(key, "n", f"if(n <= {MAX_COUNTED_TILES}, coalesce(cached, 0L), 0L) AS have")
+            .selectExpr(key, "n", "coalesce(cached, 0L) AS have")
             .selectExpr(key, f"(n - have) * {tile_bytes}D AS todo_bytes", "100D * have / n AS cached_pct", "n AS requests",
                         f"(n - have) / {rate}D AS seconds", f"n * {tile_bytes}D * 1.1D AS source_bytes", f"n * {tile_bytes}D * 1.1D AS clipped_bytes"))
 

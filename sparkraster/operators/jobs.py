@@ -25,7 +25,7 @@ def validate(jobs: DataFrame, layers: DataFrame, sources: DataFrame) -> DataFram
     checked in order for an unknown source, a source seen before, and a resolution that is not positive.
     """
     first = layers.groupBy("job_id", "source_no").agg(F.min("ord").alias("_first"))
-    checked = (layers.join(first, ["job_id", "source_no"]).join(F.broadcast(sources.select("source_no", "source_id")), "source_no", "left")
+    checked = (layers.join(first, ["job_id", "source_no"]).join(sources.select("source_no", "source_id"), "source_no", "left")
                .selectExpr("job_id", "ord", "CASE WHEN source_id IS NULL THEN concat('unknown source ', source_no) WHEN ord > _first THEN concat(source_id, ' selected twice') "
                            "WHEN NOT res_m > 0 THEN concat(source_id, ': resolution not positive') END AS why"))
     bad = checked.groupBy("job_id").agg(F.expr("min_by(why, ord) FILTER (WHERE why IS NOT NULL) AS _why"))
@@ -35,13 +35,13 @@ def validate(jobs: DataFrame, layers: DataFrame, sources: DataFrame) -> DataFram
                         "WHEN mode = 'mosaic' AND formats = 0 THEN 'no output format' END AS reason"))
 
 
-def input_summary(inputs: DataFrame, key: str, label: str) -> DataFrame:
-    """key -> distinct sorted labels; beyond twelve only ten and how many more there are."""
+def input_summary(inputs: DataFrame, key: str, label: str, most: int = 12, shown: int = 10) -> DataFrame:
+    """key -> distinct sorted labels; beyond ``most`` only ``shown`` and how many more there are."""
     distinct = inputs.groupBy(key, label).agg(F.lit(1).alias("_one")).select(key, label)
     n = distinct.groupBy(key).agg(F.count("*").alias("n_labels"))
-    first = top_k(distinct, [key], [F.col(label)], 12).groupBy(key).agg(F.array_sort(F.collect_list(label)).alias("_l"))
-    more = F.concat(F.slice("_l", 1, 10), F.array(F.format_string("… and %d more", F.col("n_labels") - 10)))
-    return n.join(first, key).select(key, "n_labels", F.array_join(F.when(F.col("n_labels") <= 12, F.col("_l")).otherwise(more), "; ").alias("inputs"))
+    first = top_k(distinct, [key], [F.col(label)], most).groupBy(key).agg(F.array_sort(F.collect_list(label)).alias("_l"))
+    more = F.concat(F.slice("_l", 1, shown), F.array(F.format_string("… and %d more", F.col("n_labels") - shown)))
+    return n.join(first, key).select(key, "n_labels", F.array_join(F.when(F.col("n_labels") <= most, F.col("_l")).otherwise(more), "; ").alias("inputs"))
 
 
 def merge_tiles(tiles: DataFrame, key: str) -> DataFrame:
@@ -56,7 +56,7 @@ def merge_tiles(tiles: DataFrame, key: str) -> DataFrame:
 
 def merged_files(tiles: DataFrame, key: str) -> DataFrame:
     """Files of the good tiles under their tile folder, one row each, so a layer of any size is fine."""
-    return tiles.filter("status = 'ok'").selectExpr(key, "tile", "posexplode(files) AS (pos, f)").selectExpr(key, "tile", "pos", "concat('tile_', lpad(tile, 2, '0'), '/', f) AS file")
+    return tiles.filter("status = 'ok'").selectExpr(key, "tile", "posexplode(files) AS (pos, f)").selectExpr(key, "tile", "pos", "concat('tile_', lpad(tile, greatest(2, length(string(tile))), '0'), '/', f) AS file")
 
 
 def job_status(layers: DataFrame, key: str) -> DataFrame:
@@ -90,19 +90,23 @@ def progress_steps(events: DataFrame, keys: list[str]) -> DataFrame:
     return prev.withColumn("backwards", F.coalesce(F.col("frac") < F.col("prev_frac"), F.lit(False)))
 
 
-def timing(events: DataFrame, key: str) -> DataFrame:
-    """key -> seconds since first sighting and seconds left, from the progress made since then."""
+def timing(events: DataFrame, jobs: DataFrame, key: str, as_of: Column) -> DataFrame:
+    """key -> run time and seconds left. A running job counts to ``as_of``, and its time left follows from the progress made since it was
+    first seen; one that has ended took the time between its first and last event. ``jobs`` is (key, status)."""
     e = events.filter("frac IS NOT NULL").groupBy(key).agg(F.expr("min_by(struct(ts, frac), struct(ts, seq)) AS a"), F.expr("max_by(struct(ts, frac), struct(ts, seq)) AS b"))
-    e = e.selectExpr(key, "(unix_micros(timestamp(b.ts)) - unix_micros(timestamp(a.ts))) / 1e6D AS run_s", "a.frac AS p0", "b.frac AS p")
-    return e.selectExpr(key, "run_s", "if(run_s > 5 AND p > p0, (1 - p) * run_s / (p - p0), NULL) AS eta_s")
+    e = (e.join(jobs.select(key, (F.col("status") == "running").alias("_on")), key).withColumn("_now", as_of)
+         .selectExpr(key, "_on", "(unix_micros(timestamp(if(_on, _now, b.ts))) - unix_micros(timestamp(a.ts))) / 1e6D AS run_s", "a.frac AS p0", "b.frac AS p"))
+    return e.selectExpr(key, "run_s", "if(_on AND run_s > 5 AND p > p0, (1 - p) * run_s / (p - p0), NULL) AS eta_s")
 
 
-def stalled(events: DataFrame, key: str, as_of: Column) -> DataFrame:
-    """key -> age of the last update at ``as_of`` (session time zone UTC) and whether that is a stall."""
+def stalled(events: DataFrame, jobs: DataFrame, key: str, as_of: Column) -> DataFrame:
+    """key -> age of the last update at ``as_of`` (session time zone UTC) and whether that is a stall, which only a running job
+    can have. ``jobs`` is (key, status)."""
     def micros(c):
         return F.unix_micros(c.cast("timestamp"))
-    last = events.groupBy(key).agg(F.max("ts").alias("last"))
-    return last.withColumn("age_s", (micros(as_of) - micros(F.col("last"))) / 1e6).withColumn("stalled", F.col("age_s") >= STALL_S)
+    last = events.groupBy(key).agg(F.max("ts").alias("last")).join(jobs.select(key, "status"), key)
+    return (last.withColumn("age_s", (micros(as_of) - micros(F.col("last"))) / 1e6)
+            .withColumn("stalled", (F.col("status") == "running") & (F.col("age_s") >= STALL_S)).drop("status"))
 
 
 def unique_names(files: DataFrame, key: str, name: str, ord_: str, bucket: int = 10_000) -> DataFrame:

@@ -20,26 +20,24 @@ MAX_MINUTES = 90
 
 def edge_profiles(pixels: DataFrame, headers: DataFrame) -> DataFrame:
     """item_id, side, i, frac: white share of each column (row) over the middle 60 percent, counted
-    inward from each side; sides longer than 3000 are decimated."""
-    h = headers.selectExpr("item_id", "width", "height", "greatest(1, int(least(width, height) div 3000)) AS dec") \
-        .selectExpr("item_id", "dec", "int(ceil(width / dec)) AS w", "int(ceil(height / dec)) AS h")
-    p = (pixels.join(h, "item_id").filter("row % dec = 0 AND col % dec = 0")
-         .selectExpr("item_id", "dec", "w", "h", "int(row div dec) AS r", "int(col div dec) AS c", "if(white, 1D, 0D) AS white"))
+    inward from each side, over all pixels: the average is summed map-side."""
+    h = headers.selectExpr("item_id", "int(width) AS w", "int(height) AS h")
+    p = pixels.join(h, "item_id").selectExpr("item_id", "w", "h", "row AS r", "col AS c", "if(white, 1D, 0D) AS white")
     both = p.selectExpr("*", "inline(array(struct('col' AS axis, c AS pos, r >= int(h * 0.2D) AND r < int(h * 0.8D) AS inside, w AS n), "
                              "struct('row' AS axis, r AS pos, c >= int(w * 0.2D) AND c < int(w * 0.8D) AS inside, h AS n)))").filter("inside")
-    frac = both.groupBy("item_id", "axis", "pos").agg(F.avg("white").alias("frac"), F.first("n").alias("n"), F.first("dec").alias("dec"))
-    return frac.selectExpr("item_id", "dec", "n", "frac", "inline(array(struct(if(axis = 'col', 'W', 'N') AS side, pos AS i), "
+    frac = both.groupBy("item_id", "axis", "pos").agg(F.avg("white").alias("frac"), F.first("n").alias("n"))
+    return frac.selectExpr("item_id", "n", "frac", "inline(array(struct(if(axis = 'col', 'W', 'N') AS side, pos AS i), "
                            "struct(if(axis = 'col', 'E', 'S') AS side, n - 1 - pos AS i)))")
 
 
 def collar_cuts(profiles: DataFrame) -> DataFrame:
-    """item_id, side, cut (full-resolution pixels): where the face begins, 0 without clear evidence."""
-    arr = profiles.groupBy("item_id", "side").agg(F.expr("transform(array_sort(collect_list(struct(i, frac))), x -> x.frac) AS fr"), F.first("n").alias("n"), F.first("dec").alias("dec"))
+    """item_id, side, cut (pixels): where the face begins, 0 without clear evidence."""
+    arr = profiles.groupBy("item_id", "side").agg(F.expr("transform(array_sort(collect_list(struct(i, frac))), x -> x.frac) AS fr"), F.first("n").alias("n"))
     mean = "aggregate({0}, 0D, (s, x) -> s + x) / size({0})"
     return (arr.selectExpr("*", "greatest(3, int(n * 0.02D)) AS k")
             .selectExpr("*", "if(int(n * 0.3D) < 1, NULL, try_element_at(filter(sequence(0, greatest(0, int(n * 0.3D) - 1)), i -> array_max(slice(fr, i + 1, k)) < 0.3D), 1)) AS at")
             .selectExpr("*", "slice(fr, 1, greatest(0, coalesce(at, 0))) AS collar", "slice(fr, coalesce(at, 0) + 1, greatest(k, int(n * 0.1D))) AS face")
-            .selectExpr("item_id", "side", f"if(coalesce(at, 0) > 0 AND {mean.format('collar')} >= 0.6D AND {mean.format('face')} <= 0.1D, at * dec, 0) AS cut"))
+            .selectExpr("item_id", "side", f"if(coalesce(at, 0) > 0 AND {mean.format('collar')} >= 0.6D AND {mean.format('face')} <= 0.1D, at, 0) AS cut"))
 
 
 def pixel_clip(cuts: DataFrame, headers: DataFrame) -> DataFrame:
@@ -49,16 +47,16 @@ def pixel_clip(cuts: DataFrame, headers: DataFrame) -> DataFrame:
     return headers.join(c, "item_id").select("item_id", F.when(F.expr("cut_W + cut_N + cut_E + cut_S > 0"), px).alias("px"))
 
 
-def _lines(headers: DataFrame) -> DataFrame:
+def _lines(headers: DataFrame, max_minutes: int = MAX_MINUTES, share: float = 0.3) -> DataFrame:
     """Candidate lines: item_id, side, k, v with the chart's extent; whole minutes stepping inward."""
     h = headers.selectExpr("*", "c AS wm", "f AS nm", "c + width * a AS em", "f + height * e AS sm") \
-        .selectExpr("*", f"int(least({MAX_MINUTES}D, 60 * 0.3D * least(nm - sm, em - wm))) AS lim").filter("lim > 0")
+        .selectExpr("*", f"int(least({max_minutes}D, 60 * {share}D * least(nm - sm, em - wm))) AS lim").filter("lim > 0")
     return (h.selectExpr("*", "explode(sequence(0, lim - 1)) AS k").selectExpr("*", "explode(array('W', 'S', 'E', 'N')) AS side")
             .selectExpr("*", "CASE side WHEN 'W' THEN ceil(wm * 60) / 60 + k / 60D WHEN 'E' THEN floor(em * 60) / 60 - k / 60D "
                              "WHEN 'S' THEN ceil(sm * 60) / 60 + k / 60D ELSE floor(nm * 60) / 60 - k / 60D END AS v"))
 
 
-def graticule_hits(pixels: DataFrame, headers: DataFrame, probes: int = PROBES) -> DataFrame:
+def graticule_hits(pixels: DataFrame, headers: DataFrame, probes: int = PROBES, max_minutes: int = MAX_MINUTES, share: float = 0.3) -> DataFrame:
     """item_id, side, v: outermost whole-minute line that is dark along its central span and has white
     paper two minutes outside it.
 
@@ -66,7 +64,7 @@ def graticule_hits(pixels: DataFrame, headers: DataFrame, probes: int = PROBES)
     distinct pixel and neighbour instead of one per probe.
     """
     step = probes - 1
-    span = _lines(headers).selectExpr("*", "if(side IN ('W', 'E'), sm, wm) AS lo", "if(side IN ('W', 'E'), nm, em) AS hi") \
+    span = _lines(headers, max_minutes, share).selectExpr("*", "if(side IN ('W', 'E'), sm, wm) AS lo", "if(side IN ('W', 'E'), nm, em) AS hi") \
         .selectExpr("*", "lo + 0.15D * (hi - lo) AS s0", "hi - 0.15D * (hi - lo) AS s1") \
         .selectExpr("*", f"explode(sequence(0, {step})) AS i").selectExpr("*", f"if(i = {step}, s1, i * ((s1 - s0) / {step}) + s0) AS along") \
         .selectExpr("*", "inline(array(struct('dark' AS test, 2 AS rad, v AS at), struct('white' AS test, 0 AS rad, if(side IN ('W', 'S'), v - 2D / 60, v + 2D / 60) AS at)))") \

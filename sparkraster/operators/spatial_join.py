@@ -94,7 +94,7 @@ def has_data(areas: DataFrame, footprints: DataFrame, area_key: str, known: Data
 def jointly_covered(targets: DataFrame, footprints: DataFrame, key: str, n: int = 21) -> DataFrame:
     """key -> whether every point of an n x n lattice over ``bbox`` lies in some footprint.
 
-    ``footprints`` is (key, item_bbox), for instance the output of ``rect_join``. A footprint covers
+    ``footprints`` is (key, item_bbox); with the target's bbox too, as ``rect_join`` gives it, no join is needed. A footprint covers
     a block of lattice columns, kept as bits of one number; the blocks of all footprints are or-ed
     per lattice row, so a target with any number of footprints keeps n numbers and shuffles those.
     """
@@ -107,7 +107,8 @@ def jointly_covered(targets: DataFrame, footprints: DataFrame, key: str, n: int
                          for i in range(n))
     rows = [f"bit_or(if({point('south', 'north', i)} BETWEEN item_bbox.south AND item_bbox.north, _cols, 0L)) AS _r{i}"
             for i in range(n)]
-    seen = (targets.select(key, "bbox").join(footprints.select(key, "item_bbox"), key)
+    pairs = footprints if "bbox" in footprints.columns else targets.select(key, "bbox").join(footprints.select(key, "item_bbox"), key)
+    seen = (pairs.select(key, "bbox", "item_bbox")
             .selectExpr("*", f"{columns} AS _cols").groupBy(key).agg(*[F.expr(r) for r in rows])
             .selectExpr(key, " + ".join(f"bit_count(_r{i})" for i in range(n)) + " AS _points"))
     return (targets.join(seen, key, "left").selectExpr(

@@ -105,7 +105,7 @@ def a03(spark, sf):
 
 @query("s18_s19_cell_objects", ctes("aoi") + """,
 n AS (SELECT *, CAST((ceil(east)-floor(west))*(ceil(north)-floor(south)) AS BIGINT) AS n FROM aoi),
-c AS (SELECT aoi_id, lat, unnest(range(CAST(floor(west) AS BIGINT), CAST(ceil(east) AS BIGINT))) AS lon FROM (SELECT *, unnest(range(CAST(floor(south) AS BIGINT), CAST(ceil(north) AS BIGINT))) AS lat FROM n WHERE n<=400))
+c AS (SELECT aoi_id, lat, unnest(range(CAST(floor(west) AS BIGINT), CAST(ceil(east) AS BIGINT))) AS lon FROM (SELECT *, unnest(range(CAST(floor(south) AS BIGINT), CAST(ceil(north) AS BIGINT))) AS lat FROM n))
 SELECT aoi_id, CAST(lat AS INT) AS lat, CAST(lon AS INT) AS lon, 'copernicus-dem-30m/'||o||'/'||o||'.tif' AS object FROM (SELECT *, printf('Copernicus_DSM_COG_10_%s%02d_00_%s%03d_00_DEM', CASE WHEN lat>=0 THEN 'N' ELSE 'S' END, abs(lat), CASE WHEN lon>=0 THEN 'E' ELSE 'W' END, abs(lon)) AS o FROM c)""")
 def s18(spark, sf):
     c = cells.cells(areas(spark, sf))
@@ -188,7 +188,7 @@ _GOT = """gt AS (SELECT *, CASE (aoi_id+r*3+c)%3 WHEN 0 THEN 1.0::DOUBLE WHEN 1
 
 @query("a06_cached_fraction", ctes("aoi") + f", {_CHUNKS}, {_GOT} SELECT aoi_id, CAST(r AS INT) AS chunk_row, CAST(c AS INT) AS chunk_col, got FROM gt")
 def a06(spark, sf):
-    return exports.cached_fraction(export_chunks(spark, sf), export_cache(spark, sf), ["aoi_id", "chunk_row", "chunk_col"])
+    return exports.cached_fraction(export_chunks(spark, sf), export_cache(spark, sf), ["aoi_id", "chunk_row", "chunk_col"]).drop("cut_off")
 
 
 @query("a05_export_estimate", ctes("aoi") + f", {_CHUNKS}, {_GOT}" + f""",

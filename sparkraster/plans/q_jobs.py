@@ -36,8 +36,17 @@ def a16(spark, sf):
 
 @query("a16_merged_files", f"WITH {_TILES} SELECT layer, tile, CAST(pos AS INT) AS pos, concat('tile_', CAST(tile AS STRING), '/f', CAST((tile//100000)%10000000 AS STRING), CASE WHEN pos=0 THEN '.tif' ELSE '.tfw' END) AS file FROM t, range(2) r(pos) WHERE status='ok'")
 def a16b(spark, sf):
-    t = tile_results(spark, sf)
-    return jb.merged_files(t, "layer").selectExpr("layer", "tile", "pos", "concat('tile_', tile, '/', split(file, '/')[1]) AS file")
+    return jb.merged_files(tile_results(spark, sf), "layer")
+
+
+_SMALL = "SELECT l_orderkey%40 AS layer, l_partkey%130 AS tile, 'f'||CAST(l_suppkey AS STRING)||'.tif' AS f FROM lineitem WHERE l_returnflag='A'"
+
+
+@query("a16_merged_files_numbers", f"SELECT layer, tile, 0 AS pos, 'tile_'||CASE WHEN tile<10 THEN '0' ELSE '' END||CAST(tile AS STRING)||'/'||f AS file FROM ({_SMALL})")
+def a16c(spark, sf):
+    """Tile numbers of one, two and three digits."""
+    t = table(spark, sf, "lineitem").selectExpr("l_orderkey % 40 AS layer", "l_partkey % 130 AS tile", "if(l_returnflag = 'A', 'ok', 'failed') AS status", "array(concat('f', l_suppkey, '.tif')) AS files")
+    return jb.merged_files(t, "layer")
 
 
 @query("a17_job_status", _MERGED + """, j AS (SELECT layer//4 AS job, count(*) FILTER (status='ok') AS o, count(*) FILTER (status='failed') AS f FROM m GROUP BY 1)
@@ -106,17 +115,23 @@ def w07(spark, sf):
     return jb.unique_names(f, "folder", "name", "ord").select("folder", "ord", "name", "unique_name")
 
 
+def job_states(progress):
+    """Half of the jobs have ended, by rule."""
+    return progress.select("job_id").distinct().selectExpr("job_id", "CASE job_id % 4 WHEN 0 THEN 'done' WHEN 3 THEN 'failed' ELSE 'running' END AS status")
+
+
 @query("w09_job_eta", ctes("progress") + """,
 e AS (SELECT job_id, arg_min({'ts': ts, 'p': frac}, {'a': ts, 'b': seq}) AS a, arg_max({'ts': ts, 'p': frac}, {'a': ts, 'b': seq}) AS b FROM progress WHERE frac IS NOT NULL GROUP BY 1),
-s AS (SELECT job_id, (epoch_us(b.ts)-epoch_us(a.ts))/1e6 AS run, a.p AS p0, b.p AS p FROM e) SELECT job_id, round(run,3) AS run_s, round(CASE WHEN run>5 AND p>p0 THEN (1-p)*run/(p-p0) END,3) AS eta_s FROM s""")
+s AS (SELECT job_id, job_id%4 IN (1,2) AS live, (CASE WHEN job_id%4 IN (1,2) THEN (SELECT epoch_us(max(ts)) FROM progress) ELSE epoch_us(b.ts) END-epoch_us(a.ts))/1e6 AS run, a.p AS p0, b.p AS p FROM e) SELECT job_id, round(run,3) AS run_s, round(CASE WHEN live AND run>5 AND p>p0 THEN (1-p)*run/(p-p0) END,3) AS eta_s FROM s""")
 def w09(spark, sf):
-    return jb.timing(derived(spark, sf, "progress"), "job_id").select("job_id", r6("run_s", "run_s", 3), r6("eta_s", "eta_s", 3))
+    p = derived(spark, sf, "progress")
+    return jb.timing(p, job_states(p), "job_id", p.agg(F.max("ts")).scalar()).select("job_id", r6("run_s", "run_s", 3), r6("eta_s", "eta_s", 3))
 
 
-@query("w10_stalled_jobs", ctes("progress") + ", n AS (SELECT max(ts) AS t FROM progress) SELECT job_id, round((epoch_us(any_value(t))-epoch_us(max(ts)))/1e6,3) AS age_s, (epoch_us(any_value(t))-epoch_us(max(ts)))/1e6>=120 AS stalled FROM progress, n GROUP BY 1")
+@query("w10_stalled_jobs", ctes("progress") + ", n AS (SELECT max(ts) AS t FROM progress) SELECT job_id, round((epoch_us(any_value(t))-epoch_us(max(ts)))/1e6,3) AS age_s, job_id%4 IN (1,2) AND (epoch_us(any_value(t))-epoch_us(max(ts)))/1e6>=120 AS stalled FROM progress, n GROUP BY 1")
 def w10(spark, sf):
     p = derived(spark, sf, "progress")
-    return jb.stalled(p, "job_id", p.agg(F.max("ts")).scalar()).select("job_id", r6("age_s", "age_s", 3), "stalled")
+    return jb.stalled(p, job_states(p), "job_id", p.agg(F.max("ts")).scalar()).select("job_id", r6("age_s", "age_s", 3), "stalled")
 
 
 @query("w11_monotonic_progress", ctes("progress") + " SELECT job_id, tile, seq, frac, lag(frac) OVER w AS prev_frac, coalesce(frac < lag(frac) OVER w, false) AS backwards FROM progress WHERE frac IS NOT NULL WINDOW w AS (PARTITION BY job_id, tile ORDER BY ts, seq)")

@@ -74,9 +74,9 @@ def t04s(spark, sf):
     return progress.overall(progress.current(spark.read.parquet(out))).select("job_id", r6("progress", "progress", 9), "reported")
 
 
-@query("t06_stall_alert_stream", "SELECT user_id AS job_id, epoch_us(max(ts))//1000 AS last_ms FROM events GROUP BY 1 HAVING epoch_us(max(ts))//1000+120000 <= (SELECT epoch_us(max(ts))//1000 FROM events)")
+@query("t06_stall_alert_stream", "SELECT user_id AS job_id, epoch_us(max(ts))//1000 AS last_ms FROM events GROUP BY 1 HAVING arg_max(event_type, {'a': ts, 'b': event_id})<>'purchase' AND epoch_us(max(ts))//1000+120000 <= (SELECT epoch_us(max(ts))//1000 FROM events)")
 def t06(spark, sf):
-    ev = events_as_stream(spark, sf).selectExpr("user_id AS job_id", "ts")
+    ev = events_as_stream(spark, sf).selectExpr("user_id AS job_id", "ts", "event_id AS seq", "if(event_type = 'purchase', 'done', 'running') AS status")
     out, ck = shared_dir(spark, "stalls"), shared_dir(spark, "stalls-ck")
     progress.alert_stream(ev, out, ck).awaitTermination()
     return spark.read.schema("job_id bigint, last_ms bigint").parquet(out)

@@ -6,26 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 
-MAX_CELLS = 400
 DOWNLOAD_FRACTION = 0.25   # cells covered at least this far are fetched whole
 TYPICAL_BYTES = 15e6
 
 
-def cell_count(b: Column) -> Column:
-    return ((F.ceil(b.east) - F.floor(b.west)) * (F.ceil(b.north) - F.floor(b.south))).cast("long")
-
-
 def cells(areas: DataFrame, box: str = "bbox") -> DataFrame:
-    """areas x (lat, lon) south-west corners; areas over 400 cells are left out (see ``rejected``)."""
-    return (areas.filter(cell_count(F.col(box)) <= MAX_CELLS)
-            .selectExpr("*", f"explode(sequence(int(floor({box}.south)), int(ceil({box}.north)) - 1)) AS lat")
+    """areas x (lat, lon) south-west corners of every cell they touch, however many."""
+    return (areas.selectExpr("*", f"explode(sequence(int(floor({box}.south)), int(ceil({box}.north)) - 1)) AS lat")
             .selectExpr("*", f"explode(sequence(int(floor({box}.west)), int(ceil({box}.east)) - 1)) AS lon"))
 
 
-def rejected(areas: DataFrame, box: str = "bbox") -> DataFrame:
-    return areas.filter(cell_count(F.col(box)) > MAX_CELLS)
-
-
 def cell_box(lat: Column, lon: Column) -> Column:
     return geo.make_bbox(lon, lat, lon + 1, lat + 1)
 

@@ -8,7 +8,6 @@ from ..functions import tiles
 from ..operators.ranking import top_k
 
 KEEP_MOSAICS = 5
-MAX_TILES = 250_000
 
 
 def enumerate_tiles(areas: DataFrame, zoom: str = "z", box: str = "bbox") -> DataFrame:

@@ -37,46 +37,54 @@ def current(updates: DataFrame) -> DataFrame:
 
 
 class _Stall(StatefulProcessor):
-    """Remembers a job's last update and fires when nothing follows for STALL_S seconds."""
+    """Remembers a job's last update and fires when a running job gets no other for STALL_S seconds."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ms bigint")
+        self.last = handle.getValueState("last", "ms bigint, seq bigint, running boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = max(int(pdf["ms"].max()) for pdf in rows)
+        ms, seq, running = max((int(r.ms), int(r.seq), bool(r.running)) for pdf in rows for r in pdf[["ms", "seq", "running"]].sort_values(["ms", "seq"]).tail(1).itertuples())
         if self.last.exists():
-            old = self.last.get()[0]
-            if newest <= old:
+            old = self.last.get()
+            if (ms, seq) <= (old[0], old[1]):
                 return iter(())
-            self.handle.deleteTimer(old + STALL_S * 1000)
-        self.last.update((newest,))
-        self.handle.registerTimer(newest + STALL_S * 1000)
+            if old[2]:
+                self.handle.deleteTimer(old[0] + STALL_S * 1000)
+        self.last.update((ms, seq, running))
+        if running:
+            self.handle.registerTimer(ms + STALL_S * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.last.exists():
-            last = self.last.get()[0]
-            if expiredTimerInfo.getExpiryTimeInMs() == last + STALL_S * 1000:
-                yield pd.DataFrame({"job_id": [key[0]], "last_ms": [last]})
+            last = self.last.get()
+            if last[2] and expiredTimerInfo.getExpiryTimeInMs() == last[0] + STALL_S * 1000:
+                yield pd.DataFrame({"job_id": [key[0]], "last_ms": [last[0]]})
 
     def close(self) -> None:
         pass
 
 
 def stall_alerts(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """Stream of (job_id, last_ms): jobs whose last update lies STALL_S before the watermark.
+    """Stream of (job_id, last_ms): running jobs whose last update lies STALL_S before the watermark.
 
-    Only the newest time of each batch is kept per job, so a busy job needs no more state than a quiet one.
+    ``events`` is (job_id, ts, seq, status); the newest event tells whether a job still runs, and the end of a job cancels its timer.
+    Only the newest event is kept per job, so a busy job needs no more state than a quiet one.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
-                                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    timed = (events.select("job_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
-             .withColumn("ms", F.unix_millis("ts")))
+    timed = (events.select("job_id", F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("bigint").alias("seq"), (F.col("status") == "running").alias("running"))
+             .withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts")))
     return timed.groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=_Stall(), outputStructType="job_id bigint, last_ms bigint", outputMode="Append", timeMode="EventTime")
 
 
 def alert_stream(events: DataFrame, out_dir: str, checkpoint: str) -> StreamingQuery:
-    return (stall_alerts(events).writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    """Starts the alerts. Timers need the RocksDB state store; the session's own choice is put back once the query has started."""
+    conf, name = events.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return (stall_alerts(events).writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start())
+    finally:
+        conf.set(name, before)
