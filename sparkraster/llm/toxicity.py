@@ -77,7 +77,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column, per_label
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, per_label: int = SAMPLE_PER_LABEL, fairness: float = FAIRNESS,
-        l2: float = 2e-3, rounds: int = 150) -> Model:
+        l2: float = 2e-3, rounds: int = 600) -> Model:
     t, n = training_rows(docs, labels, allowed, per_label)
     total = sum(n.values())
     y = np.array(t["toxic"].to_pylist(), dtype=float)
