@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkraster.llm.classes import small
 from sparkraster.llm.common import table
 from sparkraster.session import cut_lineage
 
@@ -36,7 +37,8 @@ def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
     p = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumn("digest", F.sha1("payload"))
     slim = p.filter((F.length("payload") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
-    p = p.join(slim.filter("n > 1").select("digest", "kept"), "digest", "left")
+    twice = cut_lineage(slim.filter("n > 1").select("digest", "kept"), "repeated-payloads")
+    p = p.join(small(twice), "digest", "left")
     return p.withColumn("refers_to", F.when(F.col("kept") != F.col("page_id"), F.col("kept"))).drop("kept")
 
 
