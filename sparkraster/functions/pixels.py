@@ -26,10 +26,10 @@ def band_roles(roles: Column, kind: Column) -> Column:
     return F.struct(mode.alias("mode"), F.when(alpha > 0, alpha.cast("int")).alias("alpha_band"), bands.alias("bands"))
 
 
-def to_uint8(values: Column, dtype: Column) -> Column:
-    """Eight-bit values of one window. Sixteen-bit data is scaled by 4095 when the whole window
-    stays within it, else by 65535, in single precision and truncated."""
-    top = F.when(F.coalesce(F.array_max(values), F.lit(0)) <= 4095, F.lit(4095.0)).otherwise(F.lit(65535.0))
+def to_uint8(values: Column, dtype: Column, window: Column | None = None) -> Column:
+    """Eight-bit values of one band. Sixteen-bit data is scaled by 4095 when the whole ``window``, the
+    values of all bands together, stays within it, else by 65535, in single precision and truncated."""
+    top = F.when(F.coalesce(F.array_max(values if window is None else window), F.lit(0)) <= 4095, F.lit(4095.0)).otherwise(F.lit(65535.0))
     ratio = (F.lit(255.0) / top).cast("float")
 
     def clip(x):
@@ -39,6 +39,11 @@ def to_uint8(values: Column, dtype: Column) -> Column:
             .otherwise(F.transform(values, clip)))
 
 
+def bands_to_uint8(bands: Column, dtype: Column) -> Column:
+    """All bands of one window (an array of arrays) with one scale."""
+    return F.transform(bands, lambda b: to_uint8(b, dtype, F.flatten(bands)))
+
+
 def gray_to_rgb(values: Column) -> Column:
     return F.array(values, values, values)
 

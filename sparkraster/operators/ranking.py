@@ -43,9 +43,14 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int, shares: int = 102
 
 
 def upper_median(df: DataFrame, key: str, value: str) -> DataFrame:
-    """key -> the element at position n div 2 of the sorted values, from counts per distinct value."""
-    counts = df.groupBy(key, value).agg(F.count("*").alias("_n"))
+    """key -> the element at position n div 2 of the sorted values, from counts per distinct value.
+
+    Values are counted in buckets of one unit first; only the bucket that holds the position is ranked value by value.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n")).withColumn("_b", F.floor(value))
     w = Window.partitionBy(key)
-    run = counts.withColumn("_cum", F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))) \
-        .withColumn("_total", F.sum("_n").over(w))
-    return run.filter("_cum > _total div 2").groupBy(key).agg(F.min(value).alias("median"))
+    sizes = counts.groupBy(key, "_b").agg(F.sum("_n").alias("_m"))
+    at = (sizes.withColumn("_upto", F.sum("_m").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_half", F.expr("sum(_m) OVER (PARTITION BY " + f"`{key}`" + ") div 2"))
+          .filter("_upto > _half").groupBy(key).agg(F.min_by(F.struct("_b", (F.col("_upto") - F.col("_m")).alias("_before"), "_half"), "_b").alias("_x")).select(key, "_x.*"))
+    run = counts.join(at, [key, "_b"]).withColumn("_cum", F.col("_before") + F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    return run.filter("_cum > _half").groupBy(key).agg(F.min(value).alias("median"))

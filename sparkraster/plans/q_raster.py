@@ -65,6 +65,18 @@ def r02(spark, sf):
     return df.selectExpr("item_id", "aggregate(rgb[2], 0L, (s, v) -> s + v) AS band_sum", "array_max(rgb[0]) AS band_max", "size(rgb) AS bands")
 
 
+@query("r02_window_scale", "WITH " + ELEV_CTE + """,
+w AS (SELECT item_id, list_transform([1500, 3000, 20000], lambda m: list_transform(embedding, lambda v: CAST(floor((CAST(v AS DOUBLE)+0.6)*CASE WHEN item_id%2=0 THEN m/10 ELSE m END) AS INT))) AS b FROM chips),
+t AS (SELECT *, CASE WHEN list_max(flatten(b))<=4095 THEN 4095.0::DOUBLE ELSE 65535.0::DOUBLE END AS top FROM w),
+o AS (SELECT item_id, list_transform(b, lambda u: list_sum(list_transform(u, lambda v: greatest(0, least(255, CAST(trunc(CAST(v AS FLOAT)*CAST(255.0::DOUBLE/top AS FLOAT)) AS INT)))))) AS s FROM t)
+SELECT item_id, CAST(s[1] AS BIGINT) AS red, CAST(s[2] AS BIGINT) AS green, CAST(s[3] AS BIGINT) AS blue FROM o""")
+def r02b(spark, sf):
+    """One scale for the three bands of a window, of which only the last may exceed twelve bits."""
+    df = derived(spark, sf, "chips").selectExpr("item_id", "transform(array(1500, 3000, 20000), m -> transform(embedding, v -> int(floor((double(v) + 0.6D) * if(item_id % 2 = 0, m / 10, m))))) AS b")
+    df = df.withColumn("o", px.bands_to_uint8(F.col("b"), F.lit("uint16")))
+    return df.selectExpr("item_id", *[f"aggregate(o[{i}], 0L, (s, v) -> s + v) AS {c}" for i, c in enumerate(("red", "green", "blue"))])
+
+
 @query("r05_valid_colour_mask", "WITH " + PAL_CTE + """
 SELECT item_id, CASE WHEN max(a)>0 THEN count(*) FILTER (a>0) ELSE count(*) END AS n_valid FROM rgba GROUP BY 1""")
 def r05(spark, sf):
