@@ -56,21 +56,24 @@ def components(links: DataFrame) -> DataFrame:
     return cut_lineage(out.select(F.col("v").alias("id"), F.col("p").alias("root")).union(roots).distinct(), "roots")
 
 
-def linked_classes(members: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame, Callable[[str, str], Column], Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+def linked_classes(members: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame, DataFrame, Callable[[str, str], Column], Callable[[DataFrame], DataFrame]]]) -> DataFrame:
     """(id, root) of all ids that some verified link joins to another id.
 
     ``members``: (bucket, id), bigint both, one row for each bucket an id is in. ``prepare`` takes the ids (id) that have bucket mates at all and
-    returns their traits (id and narrow columns), a condition on the traits of two ids, given the prefixes of their columns, that holds for every
-    link and is cheap, and the check, which takes distinct pairs (a, b) and returns those that are links.
-    The representative of a bucket is the member with most mates in all its buckets, in a group of near copies the one nearest to all.
+    returns their traits (id and narrow columns), their marks (id, mark), a condition on the traits of two ids, given the prefixes of their columns,
+    that holds for every link and is cheap, and the check, which takes distinct pairs (a, b) and returns those that are links.
+    Like ids share many marks, so the representative of a bucket is the member whose marks are the most frequent: in a group of near copies the
+    one nearest to all. Which one it is decides how many checks are made, not what they find.
     """
     seen = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("mates")).filter("mates > 1"), "buckets")
     live = cut_lineage(members.join(small(seen), "bucket").select("bucket", "id", "mates").distinct(), "members")
-    degree = live.groupBy("id").agg(F.sum("mates").alias("degree"))
-    reps = (live.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("i"))).alias("m"))
+    traits, marks, may, verify = prepare(cut_lineage(live.select("id").distinct(), "mates"))
+    crowd = live.filter("mates > 4").select("id").distinct()
+    marks = marks.join(crowd, "id", "left_semi")
+    degree = cut_lineage(marks.join(marks.groupBy("mark").agg(F.count("*").alias("n")), "mark").groupBy("id").agg(F.sum("n").alias("degree")), "degrees")
+    reps = (live.join(small(degree), "id", "left").groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), (-F.col("id")).alias("i"))).alias("m"))
             .select("bucket", (-F.col("m.i")).alias("rep")))
     live = cut_lineage(live.drop("mates").join(reps, "bucket").withColumn("done", F.lit(False)), "members")
-    traits, may, verify = prepare(cut_lineage(live.select("id").distinct(), "mates"))
     named = traits.columns[1:]
     pairs = live.filter("id <> rep").select(F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b")).distinct()
     links = cut_lineage(verify(pairs).select("a", "b"), "verified")

@@ -57,7 +57,7 @@ def test_bucket_mates_lose_no_link(spark):
         def verify(pairs):
             seen.append(pairs.count())
             return pairs.join(yes, ["a", "b"], "left_semi")
-        return ids.withColumn("n", F.lit(1)), lambda a, b: F.col(f"{a}n") == F.col(f"{b}n"), verify
+        return ids.withColumn("n", F.lit(1)), ids.withColumn("mark", F.lit(5).cast("long")), lambda a, b: F.col(f"{a}n") == F.col(f"{b}n"), verify
     got = {r["id"]: r["root"] for r in linked_classes(members, prepare).collect()}
     assert got == dict(enumerate(groups(n, true)))
     assert sum(seen) <= n * (n - 1) / 2
