@@ -78,8 +78,8 @@ items AS (SELECT root, path, product, kind, res_m, west, south, east, north FROM
 keyed AS (SELECT *, concat('local-', trim(regexp_replace(lower(product),'[^a-z0-9]+','-','g'),'-')) AS product_id FROM items)"""
 
 
-def library_items(spark, sf):
-    files = derived(spark, sf, "files")
+def library_items(spark, sf, files=None):
+    files = derived(spark, sf, "files") if files is None else files
     toc = files.filter("name = 'A.TOC' OR (name = 'TOC.xml' AND doc_id % 200 <> 113)").selectExpr(
         "path AS index_path", "if(name = 'A.TOC', concat('NITF_TOC_ENTRY:CADRG_ONC_', doc_id % 3, ':1M_1_1:', path), "
         "concat('ECRG_TOC_ENTRY:ECRG', doc_id % 2, '::1-500K:', path)) AS sub", "dtype", "count", "palette", "has_crs", "geographic", "pixel", "bbox")

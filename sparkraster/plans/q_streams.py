@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from ..streaming import ingest, progress, speeds
 from .inputs import STEPS, ctes, derived, r6, table
+from .q_sources import _SCAN, library_items
 from .registry import query
 
 _EWMA = ctes("samples") + """,
@@ -89,6 +90,26 @@ def t10(spark, sf):
     return ingest.library_items(spark, out).selectExpr("element_at(split(path, '/'), -1) AS name", "length")
 
 
+def rescanned(spark, sf):
+    """Two passes over a library: index files and a quarter of the files arrive late, a sixth change, a ninth go."""
+    files = derived(spark, sf, "files").withColumn("modificationTime", F.expr("timestamp_seconds(doc_id)"))
+    first = files.filter("doc_id % 4 <> 1 AND name NOT IN ('A.TOC', 'TOC.xml')")
+    second = files.filter("doc_id % 9 <> 0").withColumn("length", F.expr("if(doc_id % 6 = 0, length + 7, length)"))
+    stored = ingest.rescan(first, None, lambda f: f.withColumn("pass", F.lit(1)))
+    return ingest.rescan(second, stored, lambda f: f.withColumn("pass", F.lit(2)))
+
+
+@query("t10_library_rescan", ctes("files") + """ SELECT path, length+CASE WHEN doc_id%6=0 THEN 7 ELSE 0 END AS length,
+ CASE WHEN doc_id%4<>1 AND name NOT IN ('A.TOC','TOC.xml') AND doc_id%6<>0 THEN 1 ELSE 2 END AS pass FROM files WHERE doc_id%9<>0""")
+def t10r(spark, sf):
+    return rescanned(spark, sf).select("path", "length", "pass")
+
+
+@query("t10_library_rescan_products", _SCAN.replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id%9<>0)") + "SELECT path, product, product_id, kind FROM keyed")
+def t10p(spark, sf):
+    return library_items(spark, sf, rescanned(spark, sf)).select("path", "product", "product_id", "kind")
+
+
 def raw_decoder(data: bytes) -> dict:
     """Plain bytes as one band of 64 columns, the last row padded with zeros."""
     height = max(1, math.ceil(len(data) / 64))

@@ -32,6 +32,19 @@ def library_items(spark: SparkSession, out_dir: str) -> DataFrame:
     return rows.groupBy("path").agg(F.max_by(F.struct("length", "modificationTime"), "modificationTime").alias("_f")).select("path", "_f.*")
 
 
+def rescan(listing: DataFrame, stored: DataFrame | None, describe: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The stored file table brought up to date with a listing (path, modificationTime, length and what ``describe`` needs).
+
+    Files that are listed as they are stored keep their row; new and changed files are described; files that are no longer listed go. Products
+    are grouped over the whole table afterwards, so an index file that arrives after its files, or goes, is taken into account.
+    """
+    same = ["path", "modificationTime", "length"]
+    if stored is None:
+        return describe(listing)
+    kept = stored.join(listing.select(*same), same, "left_semi").select(*stored.columns)
+    return kept.unionByName(describe(listing.join(stored.select(*same), same, "left_anti")))
+
+
 def decode(files: DataFrame, decoder: Callable[[bytes], dict], key: str = "item_id", content: str = "content") -> DataFrame:
     """Rasters from file contents by a caller's decoder, batch by batch.
 

@@ -6,11 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkraster.functions import geo
+from sparkraster.operators import estimate as est
+from sparkraster.operators import jobs as jb
 from sparkraster.operators import mosaic as mo
 from sparkraster.operators import ranking as rk
 from sparkraster.operators import resample as rs
 from sparkraster.operators.spatial_join import rect_join
 from sparkraster.plans.inputs import elevation_chips
+from sparkraster.sources import cells
 from sparkraster.streaming import ingest, progress, speeds
 
 SF = "/root/testdata/sf0.001"
@@ -145,6 +148,28 @@ def test_library_ingest_is_incremental(spark, tmp_path):
     assert sorted(r.length for r in ingest.library_items(spark, str(tmp_path / "out")).collect()) == [10, 20]
 
 
+def test_rescan_of_changed_and_deleted_files(spark):
+    def listing(*rows):
+        return spark.createDataFrame([(p, n, t) for p, n, t in rows], "path string, length bigint, t bigint").selectExpr("path", "length", "timestamp_seconds(t) AS modificationTime")
+    first = ingest.rescan(listing(("a", 1, 1), ("b", 2, 2), ("c", 3, 3)), None, lambda f: f.withColumn("n", F.lit(1)))
+    second = ingest.rescan(listing(("a", 1, 1), ("b", 5, 2), ("c", 3, 9), ("d", 4, 4)), first, lambda f: f.withColumn("n", F.lit(2)))
+    assert sorted((r.path, r.length, r.n) for r in second.collect()) == [("a", 1, 1), ("b", 5, 2), ("c", 3, 2), ("d", 4, 2)]
+    assert ingest.rescan(listing(("d", 4, 4)), second, lambda f: f.withColumn("n", F.lit(3))).select("path", "n").collect() == [("d", 2)]
+
+
+def test_large_areas_and_long_tile_numbers(spark):
+    big = spark.sql("SELECT 1 AS aoi_id, struct(0D AS west, 10D AS south, 30D AS east, 35D AS north) AS bbox")
+    assert cells.cells(big).count() == 750
+    sizes, cached = spark.sql("SELECT 10 AS lat, 0 AS lon, 1000000 AS size"), spark.sql("SELECT 11 AS lat, 0 AS lon")
+    e = est.fraction_estimate(big, cells.with_state(cells.cells(big), sizes, cached), "aoi_id", 1e6).first()
+    assert e.requests == 750 and e.todo_bytes == 748 * 15e6 + 1e6
+    tiles = spark.sql("SELECT 1 AS layer, explode(array(1, 10, 100, 104)) AS tile, 'ok' AS status, array('a.tif') AS files")
+    assert sorted(r.file for r in jb.merged_files(tiles, "layer").collect()) == ["tile_01/a.tif", "tile_10/a.tif", "tile_100/a.tif", "tile_104/a.tif"]
+    wide = spark.sql("SELECT 1 AS aoi_id, struct(-120D AS west, 20D AS south, -60D AS east, 60D AS north) AS bbox, 12 AS z")
+    n = est.tile_estimate(wide, spark.sql("SELECT 1 AS aoi_id, 1000L AS cached"), "aoi_id", 1.0, 1.0).first()
+    assert n.requests > 50_000 and n.todo_bytes == n.requests - 1000
+
+
 def test_decoder_skips_unreadable_files(spark):
     f = spark.createDataFrame([(1, bytearray(b"\x01\x02")), (2, bytearray(b""))], "item_id bigint, content binary")
     got = ingest.decode(f, lambda d: {"width": 2, "height": 1, "dtype": "uint8", "bands": [list(map(float, d))]} if d else None).collect()

@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 from tools.check import compare, connect
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +15,9 @@ def duck():
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_matches_sql(spark, duck, name):
     ok, info = compare(spark, duck, SF, name)
-    assert ok or info.endswith("EMPTY"), info
+    if info.endswith("EMPTY"):  # the smallest tables are too small for some
+        ok, info = compare(spark, connect(LARGER), LARGER, name)
+    assert ok, info
 
 
 def test_twins_belong_to_queries():
