@@ -30,14 +30,14 @@ def _or(s: Column, default: str) -> Column:
     return F.when(F.coalesce(s, F.lit("")) == "", F.lit(default)).otherwise(s)
 
 
-def safe_name(s: Column) -> Column:
-    """Folder-safe name of at most 60 characters, 'area' when nothing is left."""
-    return _or(F.substring(F.regexp_replace(F.regexp_replace(s, "[^A-Za-z0-9._-]+", "_"), "^_+|_+$", ""), 1, 60), "area")
+def safe_name(s: Column, most: int = 60) -> Column:
+    """Folder-safe name of at most ``most`` characters, 'area' when nothing is left. Names that the cut makes equal are told apart by W07."""
+    return _or(F.substring(F.regexp_replace(F.regexp_replace(s, "[^A-Za-z0-9._-]+", "_"), "^_+|_+$", ""), 1, most), "area")
 
 
-def safe_stem(s: Column) -> Column:
-    """File-safe stem of at most 80 characters; letters of any script are kept."""
-    return _or(F.substring(F.regexp_replace(F.regexp_replace(s, r"(?U)[^\w .,()+-]+", "_"), "^[ ._]+|[ ._]+$", ""), 1, 80), "file")
+def safe_stem(s: Column, most: int = 80) -> Column:
+    """File-safe stem of at most ``most`` characters; letters of any script are kept."""
+    return _or(F.substring(F.regexp_replace(F.regexp_replace(s, r"(?U)[^\w .,()+-]+", "_"), "^[ ._]+|[ ._]+$", ""), 1, most), "file")
 
 
 def file_name(path: Column) -> Column:
@@ -50,6 +50,7 @@ def stem(name: Column) -> Column:
 
 def item_stem(path: Column, label: Column, service: Column) -> Column:
     """Output name of a raster: services by label, index entries by product, hashed names by label."""
+    # Fixed value: how index entries are named.
     entry = r"(?i)^(?:NITF|ECRG)_TOC_ENTRY:(.*):[^:]*(?:A\.TOC|TOC\.xml)$"
     base = stem(file_name(path))
     remote = stem(file_name(F.split(path, r"\?").getItem(0)))

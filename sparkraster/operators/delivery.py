@@ -102,8 +102,8 @@ def drop_superseded(deliveries: DataFrame, new: DataFrame) -> DataFrame:
             .filter("_new IS NULL OR delivery_id = _new OR NOT (type = 'split' AND status <> 'running')").drop("_new"))
 
 
-def admit_archives(members: DataFrame, free_bytes: str = "free_bytes") -> DataFrame:
+def admit_archives(members: DataFrame, free_bytes: str = "free_bytes", max_members: int = MAX_MEMBERS, min_free: int = MIN_FREE_BYTES) -> DataFrame:
     """archive -> reason it is refused, or null; from its member list (archive, path, size, free_bytes)."""
     unsafe = "path LIKE '/%' OR array_contains(split(path, '/'), '..') OR contains(split(path, '/')[0], ':')"
     agg = members.groupBy("archive").agg(F.expr(f"bool_or({unsafe}) AS bad"), F.count("*").alias("n"), F.sum("size").alias("total"), F.max(free_bytes).alias("free"))
-    return agg.selectExpr("archive", "n", "total", f"CASE WHEN bad THEN 'unsafe path' WHEN n > {MAX_MEMBERS} THEN 'too many members' WHEN total + {MIN_FREE_BYTES} > free THEN 'not enough space' END AS reason")
+    return agg.selectExpr("archive", "n", "total", f"CASE WHEN bad THEN 'unsafe path' WHEN n > {max_members} THEN 'too many members' WHEN total + {min_free} > free THEN 'not enough space' END AS reason")

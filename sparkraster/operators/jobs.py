@@ -109,6 +109,16 @@ def stalled(events: DataFrame, jobs: DataFrame, key: str, as_of: Column) -> Data
             .withColumn("stalled", (F.col("status") == "running") & (F.col("age_s") >= STALL_S)).drop("status"))
 
 
+def first_wins(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """One row for each key: the least ``order`` and the ``value`` that came with it."""
+    return rows.groupBy(*keys).agg(F.min(order).alias(order), F.min_by(value, order).alias(value))
+
+
+def trees_to_copy(wanted: DataFrame, layer: str, tree: str) -> DataFrame:
+    """Every tree of files once for each layer that shares it."""
+    return wanted.select(layer, tree).dropDuplicates([layer, tree])
+
+
 def unique_names(files: DataFrame, key: str, name: str, ord_: str, bucket: int = 10_000) -> DataFrame:
     """Collision-free names inside a folder: repeats get ' (2)', ' (3)' ... before the first dot.
 

@@ -7,7 +7,7 @@ from ..functions import geo, text, tiles
 from ..operators import estimate as est
 from ..operators.spatial_join import rect_join
 from ..session import cut_lineage
-from ..sources import cells, exports, registry, xyz
+from ..sources import cells, charts, exports, registry, xyz
 from .inputs import ctes, derived, r6, spread, table
 from .q_joins import HIT
 from .q_sources import SRC_CTE, _STAC_CTE, event_tiles_in
@@ -44,11 +44,9 @@ def chart_hits(spark, sf):
 @query("j09_cache_status", ctes("catalog") + f", {_CHARTS} SELECT item_id, url, CAST(zip_bytes AS DOUBLE) AS zip_bytes, extracted, zip_local FROM ch")
 def j09(spark, sf):
     cat = derived(spark, sf, "catalog").selectExpr("item_id", "item_id % 40 AS z")
-    zips = cat.select("z").distinct().filter("z % 5 = 0").withColumn("zip_local", F.lit(True))
     sizes = cat.select("z").distinct().filter("z % 6 <> 0").selectExpr("z", "1000000D * (1 + z) AS zip_bytes")
-    done = cat.filter("item_id % 4 = 0").select("item_id").withColumn("extracted", F.lit(True))
-    j = cat.join(sizes, "z", "left").join(zips, "z", "left").join(done, "item_id", "left")
-    return j.selectExpr("item_id", "concat('https://x/z', z, '.zip') AS url", "zip_bytes", "extracted IS NOT NULL AS extracted", "zip_local IS NOT NULL AS zip_local")
+    j = charts.cache_status(cat, sizes, cat.filter("z % 5 = 0"), cat.filter("item_id % 4 = 0"), "z", "item_id")
+    return j.selectExpr("item_id", "concat('https://x/z', z, '.zip') AS url", "zip_bytes", "extracted", "zip_local")
 
 
 _A01 = ctes("aoi", "catalog") + f""", {_CHARTS},

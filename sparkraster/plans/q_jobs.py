@@ -141,13 +141,13 @@ def w11(spark, sf):
 
 @query("u05_first_wins", "SELECT p_size%7 AS layer, p_brand AS file, min(p_partkey) AS ord, arg_min(p_name, p_partkey) AS item FROM part GROUP BY 1,2")
 def u05(spark, sf):
-    return table(spark, sf, "part").groupBy((F.col("p_size") % 7).alias("layer"), F.col("p_brand").alias("file")).agg(
-        F.min("p_partkey").alias("ord"), F.min_by("p_name", "p_partkey").alias("item"))
+    rows = table(spark, sf, "part").selectExpr("p_size % 7 AS layer", "p_brand AS file", "p_partkey AS ord", "p_name AS item")
+    return jb.first_wins(rows, ["layer", "file"], "ord", "item")
 
 
 @query("u07_copied_trees", "SELECT DISTINCT l_suppkey%50 AS layer, concat('/lib/', CAST(l_partkey%30 AS STRING)) AS tree FROM lineitem")
 def u07(spark, sf):
-    return table(spark, sf, "lineitem").selectExpr("l_suppkey % 50 AS layer", "concat('/lib/', l_partkey % 30) AS tree").dropDuplicates(["layer", "tree"])
+    return jb.trees_to_copy(table(spark, sf, "lineitem").selectExpr("l_suppkey % 50 AS layer", "concat('/lib/', l_partkey % 30) AS tree"), "layer", "tree")
 
 
 @query("p06_job_validation", f"""WITH {SRC_CTE},

@@ -81,7 +81,7 @@ def r02b(spark, sf):
 SELECT item_id, CASE WHEN max(a)>0 THEN count(*) FILTER (a>0) ELSE count(*) END AS n_valid FROM rgba GROUP BY 1""")
 def r05(spark, sf):
     p = rs.palette_lookup(palette_pixels(spark, sf), palette_table(spark, sf))
-    return p.groupBy("item_id").agg(F.expr("if(max(a) > 0, count_if(a > 0), count(*))").alias("n_valid"))
+    return rs.valid_colours(p, "item_id").groupBy("item_id").agg(F.count_if("valid").alias("n_valid"))
 
 
 @query("r06_resampling_policy", ctes("requests") + """,

@@ -196,7 +196,7 @@ def s13(spark, sf):
 @query("s14_chart_coverage", ctes("catalog") + " SELECT item_id, concat(label, ' (', lpad(CAST(1+item_id%12 AS STRING),2,'0'), '-03-2026)') AS label, round(west,6) AS west, round(south,6) AS south, round(east,6) AS east, round(north,6) AS north FROM catalog")
 def s14(spark, sf):
     df = derived(spark, sf, "catalog").withColumn("edition", F.expr("concat(lpad(1 + item_id % 12, 2, '0'), '-03-2026')"))
-    return df.select("item_id", F.format_string("%s (%s)", "label", "edition").alias("label"), *flat())
+    return charts.coverage(df).select("item_id", "label", *flat())
 
 
 _STAC_ROWS = "s_suppkey, n_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey=n_nationkey"

@@ -50,6 +50,18 @@ def pair_metadata(members: DataFrame) -> DataFrame:
     return charts.join(htm, ["archive", "_stem"], "left").select("archive", "name", "ord", "htm")
 
 
+def coverage(charts: DataFrame, label: str = "label", edition: str = "edition") -> DataFrame:
+    """Charts with the label shown on a coverage map: the name and, in brackets, the edition."""
+    return charts.withColumn(label, F.format_string("%s (%s)", label, edition))
+
+
+def cache_status(charts: DataFrame, sizes: DataFrame, archives: DataFrame, extracted: DataFrame, archive: str, chart: str) -> DataFrame:
+    """Charts with what is on disk: ``sizes`` (archive, zip_bytes), ``archives`` (archive) that are local, ``extracted`` (chart) done."""
+    there, done = (d.select(k).distinct().withColumn(c, F.lit(True)) for d, k, c in ((archives, archive, "zip_local"), (extracted, chart, "extracted")))
+    j = charts.join(sizes.select(archive, "zip_bytes"), archive, "left").join(there, archive, "left").join(done, chart, "left")
+    return j.withColumn("extracted", F.coalesce("extracted", F.lit(False))).withColumn("zip_local", F.coalesce("zip_local", F.lit(False)))
+
+
 def refresh_index(index: DataFrame, live: DataFrame, probed: DataFrame) -> DataFrame:
     """New index: entries of live URLs already indexed, plus probed entries of URLs that were not.
 
