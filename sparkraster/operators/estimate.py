@@ -35,11 +35,18 @@ def envelope(df: DataFrame, keys: list[str], download: str = "todo_bytes", cache
                      mb(source).alias("source_mb"), mb(clipped).alias("clipped_mb"))
 
 
+def _rated(areas: DataFrame, key: str, rate: float | str) -> tuple[DataFrame, str]:
+    """The areas' keys with ``speed_basis``, and the rate as SQL text: a number, or a column of ``areas`` that comes with its basis."""
+    if isinstance(rate, str):
+        return areas.select(key, F.col(rate).alias("_rate"), "speed_basis"), "_rate"
+    return areas.select(key, F.lit("default").alias("speed_basis")), f"{rate}D"
+
+
 def _pct(todo: str, total: str) -> str:
     return f"if({total} > 0, 100D * (1 - {todo} / {total}), 100D)"
 
 
-def chart_estimate(areas: DataFrame, hits: DataFrame, key: str, rate: float) -> DataFrame:
+def chart_estimate(areas: DataFrame, hits: DataFrame, key: str, rate: float | str) -> DataFrame:
     """Charts in shared archives. ``hits`` is (key, bbox, item_bbox, url, zip_bytes, member_bytes, extracted, zip_local).
 
     An archive counts once per area however many of its charts are hit, so the sum runs in two steps.
@@ -50,33 +57,36 @@ def chart_estimate(areas: DataFrame, hits: DataFrame, key: str, rate: float) ->
            .groupBy(key, "url").agg(F.expr("max(_zip) AS zip"), F.expr("max(if(NOT extracted AND NOT zip_local, _zip, 0D)) AS get_bytes"),
                                     F.expr("max(int(NOT extracted AND NOT zip_local)) AS get_one"), F.expr("count_if(NOT extracted) AS new_charts"),
                                     F.expr("count(*) AS n"), F.expr("sum(_mem) AS mem"), F.expr("sum(_mem * frac) AS cut")))
+    base, speed = _rated(areas, key, rate)
     tot = per.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("zip", "get_bytes", "get_one", "new_charts", "mem", "cut")])
-    return (areas.select(key).join(tot, key, "left")
-            .selectExpr(key, "coalesce(get_bytes, 0D) AS todo_bytes", f"if(zip IS NULL, 100D, {_pct('get_bytes', 'zip')}) AS cached_pct", "get_one AS requests",
-                        f"coalesce(get_bytes / {rate}D + new_charts * {SECONDS_PER_NEW_CHART}D, 0D) AS seconds", "mem AS source_bytes", "cut AS clipped_bytes"))
+    return (base.join(tot, key, "left")
+            .selectExpr(key, "speed_basis", "coalesce(get_bytes, 0D) AS todo_bytes", f"if(zip IS NULL, 100D, {_pct('get_bytes', 'zip')}) AS cached_pct", "get_one AS requests",
+                        f"coalesce(get_bytes / {speed} + new_charts * {SECONDS_PER_NEW_CHART}D, 0D) AS seconds", "mem AS source_bytes", "cut AS clipped_bytes"))
 
 
-def fraction_estimate(areas: DataFrame, parts: DataFrame, key: str, rate: float) -> DataFrame:
+def fraction_estimate(areas: DataFrame, parts: DataFrame, key: str, rate: float | str) -> DataFrame:
     """Cells or image tiles read whole when mostly covered and by window otherwise.
 
     ``parts`` is (key, size, frac, cached). ``partial`` counts windowed reads of uncached parts.
     """
+    base, speed = _rated(areas, key, rate)
     need = f"if(cached OR frac >= {DOWNLOAD_FRACTION}D, size, size * frac * {WINDOW_OVERHEAD}D)"
     tot = parts.selectExpr(key, "size", "frac", "cached", f"{need} AS need").groupBy(key).agg(
         F.expr("count(*) AS n"), F.expr("sum(need) AS total"), F.expr("sum(if(cached, 0D, need)) AS todo"), F.expr("sum(size) AS src"),
         F.expr("sum(size * frac) AS cut"), F.expr(f"count_if(NOT cached AND frac < {DOWNLOAD_FRACTION}D) AS partial"))
-    return (areas.select(key).join(tot, key, "left")
-            .selectExpr(key, "coalesce(todo, 0D) AS todo_bytes", f"if(n IS NULL, 100D, {_pct('todo', 'total')}) AS cached_pct", "n AS requests",
-                        f"coalesce(todo, 0D) / {rate}D AS seconds", "coalesce(src, 0D) AS source_bytes", "coalesce(cut, 0D) AS clipped_bytes", "coalesce(partial, 0L) AS partial"))
+    return (base.join(tot, key, "left")
+            .selectExpr(key, "speed_basis", "coalesce(todo, 0D) AS todo_bytes", f"if(n IS NULL, 100D, {_pct('todo', 'total')}) AS cached_pct", "n AS requests",
+                        f"coalesce(todo, 0D) / {speed} AS seconds", "coalesce(src, 0D) AS source_bytes", "coalesce(cut, 0D) AS clipped_bytes", "coalesce(partial, 0L) AS partial"))
 
 
-def export_estimate(areas: DataFrame, chunks: DataFrame, key: str, px_bytes: str, rate: float) -> DataFrame:
+def export_estimate(areas: DataFrame, chunks: DataFrame, key: str, px_bytes: str, rate: float | str) -> DataFrame:
     """Server exports. ``chunks`` is (key, w, h, got, px_bytes); areas outside the extent have none and cost nothing."""
+    base, speed = _rated(areas, key, rate)
     tot = chunks.selectExpr(key, "got", f"double(w * h * {px_bytes} + {EXPORT_HEADER_BYTES}) AS size").groupBy(key).agg(
         F.expr("count(*) AS n"), F.expr("sum(size) AS total"), F.expr("sum(size * (1 - got)) AS todo"), F.expr("sum(1 - got) AS chunks_todo"))
-    return (areas.select(key).join(tot, key, "left")
-            .selectExpr(key, "coalesce(todo, 0D) AS todo_bytes", f"if(n IS NULL, 100D, {_pct('todo', 'total')}) AS cached_pct", "n AS requests",
-                        f"coalesce(chunks_todo, 0D) / {rate}D AS seconds", "coalesce(total, 0D) AS source_bytes", "coalesce(total, 0D) AS clipped_bytes"))
+    return (base.join(tot, key, "left")
+            .selectExpr(key, "speed_basis", "coalesce(todo, 0D) AS todo_bytes", f"if(n IS NULL, 100D, {_pct('todo', 'total')}) AS cached_pct", "n AS requests",
+                        f"coalesce(chunks_todo, 0D) / {speed} AS seconds", "coalesce(total, 0D) AS source_bytes", "coalesce(total, 0D) AS clipped_bytes"))
 
 
 def tile_estimate(areas: DataFrame, counts: DataFrame, key: str, tile_bytes: float, rate: float) -> DataFrame:
@@ -133,6 +143,13 @@ def layer_sizes(layers: DataFrame, max_pixels: int) -> DataFrame:
             .selectExpr("*", "bround(round(_pkg, 6), 1) AS package_mb").drop("_pkg", "_cell"))
 
 
+def area_km(totals: DataFrame, areas: DataFrame, key: str) -> DataFrame:
+    """Totals with the sides of each area's box in km, to one digit."""
+    w, h = geo.size_m(F.col("bbox"))
+    sides = areas.select(key, *[F.bround(F.round(x / 1000, 6), 1).alias(c) for x, c in ((w, "width_km"), (h, "height_km"))])
+    return totals.join(sides, key)
+
+
 def job_totals(layers: DataFrame, keys: list[str]) -> DataFrame:
     """Totals per job; a layer whose estimate failed counts as zero. Layers run one after another, so times add up."""
     return layers.groupBy(*keys).agg(

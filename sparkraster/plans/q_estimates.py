@@ -8,6 +8,7 @@ from ..operators import estimate as est
 from ..operators.spatial_join import rect_join
 from ..session import cut_lineage
 from ..sources import cells, charts, exports, registry, xyz
+from ..streaming import speeds
 from .inputs import ctes, derived, r6, spread, table
 from .q_joins import HIT
 from .q_sources import SRC_CTE, _STAC_CTE, event_tiles_in
@@ -101,6 +102,23 @@ def a03(spark, sf):
     return est.envelope(e, ["aoi_id", "partial"])
 
 
+_RATED = """, sm AS (SELECT max(ts) - INTERVAL 1 HOUR AS t0 FROM samples WHERE seconds>0.05 AND amount>0),
+sp AS (SELECT key, sum(CASE WHEN r=n THEN pow(0.7::DOUBLE,n-1) ELSE 0.3::DOUBLE*pow(0.7::DOUBLE,r-1) END*v) AS value, max(ts) AS updated FROM
+ (SELECT key, amount/seconds AS v, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) AS r, count(*) OVER (PARTITION BY key) AS n, ts FROM samples WHERE seconds>0.05 AND amount>0) GROUP BY 1),
+rt AS (SELECT aoi_id, round(coalesce(value, 1e6),3) AS rate, CASE WHEN updated>=t0 THEN 'measured' ELSE 'default' END AS speed_basis FROM aoi LEFT JOIN sp ON key=concat('bytes:host', CAST(aoi_id%26 AS STRING)), sm)"""
+
+
+@query("a09_t03_rated_cell_estimate", _A03.replace(ctes("aoi", "points"), ctes("aoi", "points", "samples")) + _FRACEST + _RATED + """
+ SELECT aoi_id, speed_basis, req AS requests, CAST(ceil(round(todo/rate,6)) AS BIGINT) AS download_seconds FROM ef JOIN rt USING(aoi_id)""")
+def a09r(spark, sf):
+    """Every area's source has its own learned rate, or the default one and its basis."""
+    good = speeds.admit(derived(spark, sf, "samples"))
+    a = areas(spark, sf).withColumn("key", F.expr("concat('bytes:host', aoi_id % 26)"))
+    known = speeds.rates(a.select("key").distinct(), speeds.fold(good), good.agg(F.max("ts") - F.expr("interval 1 hour")).scalar())
+    a = a.join(known.select("key", F.round("rate", 3).alias("rate"), F.col("basis").alias("speed_basis")), "key")
+    return est.envelope(est.fraction_estimate(a, dem_state(spark, sf), "aoi_id", "rate"), ["aoi_id", "speed_basis"]).select("aoi_id", "speed_basis", "requests", "download_seconds")
+
+
 @query("s18_s19_cell_objects", ctes("aoi") + """,
 n AS (SELECT *, CAST((ceil(east)-floor(west))*(ceil(north)-floor(south)) AS BIGINT) AS n FROM aoi),
 c AS (SELECT aoi_id, lat, unnest(range(CAST(floor(west) AS BIGINT), CAST(ceil(east) AS BIGINT))) AS lon FROM (SELECT *, unnest(range(CAST(floor(south) AS BIGINT), CAST(ceil(north) AS BIGINT))) AS lat FROM n))
@@ -321,6 +339,7 @@ def a10(spark, sf):
 
 
 @query("a12_job_totals", _LAYERS + """ SELECT aoi_id, count(*) AS n_layers, CAST(round_even(round(sum(coalesce(download_mb,0)),6),1) AS DOUBLE) AS total_download_mb, CAST(sum(coalesce(download_seconds,0)) AS BIGINT) AS total_download_seconds,
- CAST(round_even(round(sum(package_mb),6),1) AS DOUBLE) AS total_package_mb, bool_or(too_big) AS any_too_big, count(*) FILTER (download_mb IS NULL) AS failed_estimates FROM lp GROUP BY 1""")
+ CAST(round_even(round(sum(package_mb),6),1) AS DOUBLE) AS total_package_mb, bool_or(too_big) AS any_too_big, count(*) FILTER (download_mb IS NULL) AS failed_estimates,
+ CAST(round_even(round((max(east)-max(west))*111320*cos(radians((max(south)+max(north))/2))/1000,6),1) AS DOUBLE) AS width_km, CAST(round_even(round((max(north)-max(south))*111320/1000,6),1) AS DOUBLE) AS height_km FROM lp GROUP BY 1""")
 def a12(spark, sf):
-    return est.job_totals(priced_layers(spark, sf), ["aoi_id"])
+    return est.area_km(est.job_totals(priced_layers(spark, sf), ["aoi_id"]), areas(spark, sf), "aoi_id")
