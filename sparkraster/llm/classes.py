@@ -75,7 +75,9 @@ def linked_classes(members: DataFrame, prepare: Callable[[DataFrame], tuple[Data
             .select("bucket", (-F.col("m.i")).alias("rep")))
     live = cut_lineage(live.drop("mates").join(reps, "bucket").withColumn("done", F.lit(False)), "members")
     named = traits.columns[1:]
+    side = {s: traits.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in named]) for s in "ab"}
     pairs = live.filter("id <> rep").select(F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b")).distinct()
+    pairs = pairs.join(side["b"], "b").join(side["a"], "a").filter(may("a_", "b_")).select("a", "b")
     links = cut_lineage(verify(pairs).select("a", "b"), "verified")
     roots = components(links)
     pivots = 8
