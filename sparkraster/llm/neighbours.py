@@ -92,17 +92,24 @@ def products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     return s
 
 
-def best(v: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> Iterator[tuple]:
-    """(query id, vec_id, score) of the ``k`` best rows for every query."""
+def best(v: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> pd.DataFrame:
+    """query_id, vec_id and score of the ``k`` best rows for every query of a block.
+
+    Products by matrix multiplication pick what may be among the best, ties and a margin for rounding included; those are summed anew.
+    """
     rough = q @ v.T
     rough[q_ids[:, None] == ids[None, :]] = -np.inf
+    m = rough.shape[1]
+    least = np.partition(rough, m - k, axis=1)[:, m - k] if m > k else np.full(len(q), -np.inf)
     slack = 1e-9 * (1 + np.abs(v).max() * np.abs(q).max() * v.shape[1])
-    for i in range(len(q)):
-        r = rough[i]
-        at = np.flatnonzero((r >= np.partition(r, -k)[-k] - slack) & (r > -np.inf)) if len(r) > k else np.flatnonzero(r > -np.inf)
-        s = products(v[at], q[i])
-        o = np.lexsort((ids[at], -s))[:k]
-        yield from zip(np.full(len(o), q_ids[i]), ids[at][o], s[o])
+    rows, cols = np.nonzero((rough >= (least - slack)[:, None]) & (rough > -np.inf))
+    s = np.zeros(len(rows))
+    for d in range(v.shape[1]):
+        s += v[cols, d] * q[rows, d]
+    o = np.lexsort((ids[cols], -s, rows))
+    rows, cols, s = rows[o], cols[o], s[o]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return pd.DataFrame({"query_id": q_ids[rows[keep]], "vec_id": ids[cols[keep]], "score": s[keep]})
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -157,8 +164,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
-                rows = best(np.reshape(r.vec_id_v, (-1, d)), np.asarray(r.vec_ids), np.reshape(r.query_id_v, (-1, d)), np.asarray(r.query_ids), k)
-                yield pd.DataFrame(list(rows), columns=["query_id", "vec_id", "score"])
+                yield best(np.reshape(r.vec_id_v, (-1, d)), np.asarray(r.vec_ids), np.reshape(r.query_id_v, (-1, d)), np.asarray(r.query_ids), k)
     found = pairs.select("vec_ids", "vec_id_v", "query_ids", "query_id_v").mapInPandas(answer, "query_id bigint, vec_id bigint, score double")
     return top(found, k).withColumn("visits", F.lit(visits))
 
@@ -173,7 +179,7 @@ def brute_force(rows: DataFrame, q: np.ndarray, q_ids: np.ndarray, k: int) -> Da
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                got = pd.DataFrame(list(best(np.stack(b.e.to_numpy()), b.vec_id.to_numpy(), q, q_ids, k)), columns=["query_id", "vec_id", "score"])
+                got = best(np.stack(b.e.to_numpy()), b.vec_id.to_numpy(), q, q_ids, k)
                 yield got.merge(b[["vec_id", "leaf"]].drop_duplicates("vec_id"), on="vec_id")
     found = rows.mapInPandas(run, "query_id bigint, vec_id bigint, score double, leaf int")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
