@@ -136,4 +136,7 @@ def pseudonymise(docs: DataFrame, found: str = "pii_found", key: str = KEY) -> D
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", "text", *[F.size(F.filter("pii_found", lambda x, k=k: x == k)).alias(f"n_{k}") for k in PATTERNS])
+
+    def times(kind: str) -> Column:
+        return F.size(F.filter("pii_found", lambda x: x == F.lit(kind))).alias(f"n_{kind}")
+    return d.select("doc_id", "text", *map(times, PATTERNS))
