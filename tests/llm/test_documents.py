@@ -1,4 +1,5 @@
 """Mixing, toxicity, decontamination and pseudonyms."""
+import heapq
 import random
 import re
 from collections import Counter, defaultdict
@@ -77,6 +78,32 @@ def test_mix(spark):
     assert mixing.mix(frame(spark, docs).filter("false")).count() == 0
 
 
+def heaped_seats(votes, seats):
+    got, heap = [0] * len(votes), [(-v, i) for i, v in enumerate(votes) if v]
+    heapq.heapify(heap)
+    for _ in range(seats if heap else 0):
+        i = heap[0][1]
+        got[i] += 1
+        heapq.heapreplace(heap, (-(votes[i] / (2 * got[i] + 1)), i))
+    return got
+
+
+def test_seats_of_all_sources_one_by_one(spark):
+    rng = random.Random(12)
+    equal = [6.0, 5.0, 2.5] * 1000
+    for votes, seats in [(equal, 843), (equal, 2500), (equal, 0), ([0.0, 0.0], 0), ([3.0], 7), ([rng.choice([0, 1, 3, 10, rng.random() * 1e6]) + 0.0 for _ in range(3000)], 50_000), ([5e9, 2e9, 1e9, 7.0], 500_000)]:
+        parts = spark.createDataFrame(list(enumerate(votes)), "k bigint, v double")
+        got = {r["k"]: r["quota"] for r in mixing.sainte_lague_of_all(parts, "v", seats, "k").collect()}
+        assert got == dict(enumerate(heaped_seats(votes, seats)))
+
+
+def test_thousands_of_tiny_sources_share_all_seats(spark):
+    docs = spark.range(10_000).selectExpr("id doc_id", "'x y z' text", "concat('s', lpad(id, 5, '0')) source")
+    got = sorted(mixing.mix(docs).collect(), key=lambda r: r["source"])
+    seats = heaped_seats([r["target"] for r in got], round(sum(r["target"] for r in got) / mixing.BLOCK))
+    assert sum(seats) == 2812 and [r["taken"] for r in got] == [min(6, q * mixing.BLOCK) for q in seats]
+
+
 # toxicity
 
 def test_toxicity_on_held_out_rows(spark):
