@@ -2,7 +2,8 @@
 
 Features are the url's length, depth, digit ratio, character entropy, parameter counts and statistics of its host's suffix over all
 urls. The trees are fitted to at most about ``SAMPLE`` labelled urls of each label (by a hash), so that fitting stays bounded; counts per
-suffix cover every row.
+suffix cover every row, and its share of bad urls every labelled one. A url of the sample is shown its suffix's share without the urls
+of its own fold, one of ``FOLDS`` by another hash: the trees can't read its label off that share.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is scored on empty features like
 any other. Only A-Z are lower-cased in hosts. Equal urls get equal verdicts; the rule whose host and path are longest together wins,
@@ -27,7 +28,7 @@ from sparkraster.session import cut_lineage
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Words in a host name that mark urls of the training sample as bad.
 ABUSE_WORDS = ("ads", "adult", "bets", "casino", "click", "gamble", "pills", "porn", "spam", "track", "viagra", "xxx")
-SAMPLE, TREES, DEPTH = 5000, 20, 4
+SAMPLE, TREES, DEPTH, FOLDS = 5000, 20, 4, 5
 
 
 def host_of(url: Column) -> Column:
@@ -56,7 +57,11 @@ FEATURES = ("n_url", "n_host", "n_path", "depth", "digit_ratio", "host_digits",
 
 
 def with_features(urls: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """Adds FEATURES to (url, host, path); suffixes: (suffix, suffix_rows, suffix_hosts, suffix_bad)."""
+    """Adds FEATURES to (url, host, path); suffixes: (suffix, suffix_rows, suffix_hosts, bad_urls, labelled_urls). If urls
+    has own_bad and own_labelled, these are taken out of its suffix's figures."""
+    own = F.col("own_bad"), F.col("own_labelled")
+    if "own_bad" not in urls.columns:
+        own = F.lit(0), F.lit(0)
     u = urls.withColumn("_u", F.coalesce("url", F.lit(""))).withColumn("_c", F.array_distinct(F.split("_u", ""))).withColumn("suffix", suffix_of(F.col("host")))
     u = u.withColumn("n_url", F.length("_u"))
     share = F.transform("_c", lambda c: F.when(c == "", 0.0).otherwise((F.col("n_url") - F.length(F.replace("_u", c, F.lit("")))) / F.greatest("n_url", F.lit(1))))
@@ -70,7 +75,8 @@ def with_features(urls: DataFrame, suffixes: DataFrame) -> DataFrame:
          .withColumn("params", F.size(F.filter(F.split(query, "&"), lambda x: x != "")))
          .withColumn("labels", F.size(F.split("host", r"\."))).withColumn("hyphens", F.length("host") - F.length(F.replace("host", F.lit("-"), F.lit(""))))
          .withColumn("longest_label", F.array_max(F.transform(F.split("host", r"\."), lambda x: F.length(x)))))
-    u = u.join(small(suffixes), "suffix", "left").na.fill(0.0, ["suffix_rows", "suffix_hosts", "suffix_bad"])
+    u = u.join(small(suffixes), "suffix", "left").na.fill(0, ["suffix_rows", "suffix_hosts", "bad_urls", "labelled_urls"])
+    u = u.withColumn("suffix_bad", (F.col("bad_urls") - own[0] + 1) / (F.col("labelled_urls") - own[1] + 10))
     return u.select(*urls.columns, *[F.col(f).cast("double").alias(f) for f in FEATURES])
 
 
@@ -78,6 +84,10 @@ def suffix_of(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), url), F.lit(FOLDS))
+
+
 def judge(pages: DataFrame, labelled: DataFrame, rules: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict, probability) of every page; labelled: (url, bad 0/1)."""
     urls = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -87,13 +97,16 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: DataFrame) -> DataFrame:
     parts = 1 << 30
     take = F.when(F.col("bad") == 1, F.lit(min(parts, parts * SAMPLE // max(1, n.get(1, 0))))).otherwise(F.lit(min(parts, parts * SAMPLE // max(1, n.get(0, 0)))))
     picked = cut_lineage(lab.filter(F.pmod(F.xxhash64("url"), F.lit(parts)) < take).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))), "url-sample")
-    bad = picked.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.sum("bad").alias("b"), F.count("*").alias("c"))
+    by_fold = cut_lineage(lab.select(suffix_of(host_of(F.col("url"))).alias("suffix"), fold_of(F.col("url")).alias("fold"), "bad")
+                          .groupBy("suffix", "fold").agg(F.sum("bad").alias("own_bad"), F.count("*").alias("own_labelled")), "url-suffix-labels")
+    bad = by_fold.groupBy("suffix").agg(F.sum("own_bad").alias("bad_urls"), F.sum("own_labelled").alias("labelled_urls"))
     all_ = urls.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.log1p(F.count("*")).alias("suffix_rows"), F.log1p(F.approx_count_distinct("host")).alias("suffix_hosts"))
-    suffixes = cut_lineage(all_.join(bad, "suffix", "left").select("suffix", "suffix_rows", "suffix_hosts", (F.coalesce("b", F.lit(0)) + 1) / (F.coalesce("c", F.lit(0)) + 10).alias("x")).toDF("suffix", "suffix_rows", "suffix_hosts", "suffix_bad"), "url-suffixes")
+    suffixes = cut_lineage(all_.join(bad, "suffix", "full"), "url-suffixes")
     to_vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     scored = with_features(urls, suffixes)
     if n.get(0) and n.get(1):
-        rows = with_features(picked, suffixes).withColumn("weight", F.when(F.col("bad") == 1, F.lit(max(1.0, n[0] / n[1]) ** 0.5)).otherwise(1.0)).withColumn("label", F.col("bad").cast("double"))
+        shown = picked.withColumn("suffix", suffix_of(F.col("host"))).withColumn("fold", fold_of(F.col("url"))).join(small(by_fold), ["suffix", "fold"]).drop("suffix", "fold")
+        rows = with_features(shown, suffixes).withColumn("weight", F.when(F.col("bad") == 1, F.lit(max(1.0, n[0] / n[1]) ** 0.5)).otherwise(1.0)).withColumn("label", F.col("bad").cast("double"))
         fit = cut_lineage(to_vector.transform(rows).select("features", "label", "weight"), "url-features")
         model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=3, weightCol="weight", cacheNodeIds=False).fit(fit)
         p = vector_to_array(F.col("probability"))[1]

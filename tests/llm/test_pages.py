@@ -115,6 +115,24 @@ def test_trees_learn_lexical_marks(spark):
     assert sum((r["verdict"] == "block") == bool(r["page_id"] % 2) for r in got) >= 95
 
 
+def test_suffix_figures_cover_all_labelled_urls(spark):
+    """20,000 suffixes of five labelled urls each, many more than the sample holds; only the suffix tells bad from good."""
+    lab = spark.range(100_000).selectExpr("concat('http://h', id div 20000, '.s', lpad(id % 20000, 5, '0'), '.org/p') url", "cast(id % 2 as int) bad")
+    p = spark.range(20_000).selectExpr("id page_id", "concat('http://h9.s', lpad(id, 5, '0'), '.org/p') url")
+    got = url_filter.judge(p, lab, url_filter.rule_table(spark)).collect()
+    assert len(got) == 20_000 and sum((r["verdict"] == "block") == bool(r["page_id"] % 2) for r in got) >= 19_800
+
+
+def test_labels_are_not_read_off_suffixes_of_one_url(spark):
+    """The path tells nine in ten; the own label in a suffix's figures would tell all of the sample and none of the pages."""
+    def url(i, bad, base):
+        return f"http://www.{base}{i:05}.org/{'p?a=1&b=22&c=333&d=4' if bad != (i % 20 in (4, 7)) else 'story/today'}"
+    lab = spark.createDataFrame([(url(i, bool(i % 2), "s"), i % 2) for i in range(2000)], "url string, bad int")
+    p = pages(spark, [(i, url(i, bool(i % 2), "s"), None) for i in range(2000)] + [(5000 + i, url(i, bool(i % 2), "n"), None) for i in range(400)])
+    got = [r for r in url_filter.judge(p, lab, url_filter.rule_table(spark)).collect() if r["page_id"] >= 5000]
+    assert len(got) == 400 and sum((r["verdict"] == "block") == bool(r["page_id"] % 2) for r in got) >= 340
+
+
 # archives
 
 def test_round_trip(spark):
