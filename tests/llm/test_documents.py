@@ -250,3 +250,24 @@ def test_pseudonyms_keep_form_and_link(spark):
     other = pseudonyms.pseudonymise(df, key="other").filter("doc_id = 2").first()["text"]
     assert other != got[2]["text"]
     assert pseudonyms.pseudonymise(df.filter("false")).count() == 0
+
+
+def test_cards_beside_other_numbers_and_dates_of_other_orders(spark):
+    card, amex = "4111111111111111", "3782 822463 10005"
+    texts = {1: f"Karte {card} 12 Euro", 2: f"page 12 {card}", 3: "1234 4111 1111 1111 1111 99", 4: f"7 {amex} 12", 5: f"{card} 5500000000000004", 6: f"{card} 42.144.35.254", 7: f"{card} 2021-03-04 {card}",
+             8: "45 41322 64652876 4", 9: "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 " * 300, 10: f"{card} 12-x",
+             20: "on 03/25/2020", 21: "on 1/2/2020", 22: "on 25/03/2020", 23: "on 2020-03-25", 24: "on 1.2.2020", 25: "on 01/02/2020", 26: "31/31/2020 and 0/0/2020 v1.1.2.2020", 27: "on 3/25/2020"}
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymise(frame(spark, list(texts.items()))).collect()}
+    kinds = {1: ["card"], 2: ["card"], 3: ["card"], 4: ["card"], 5: ["card"] * 2, 6: ["card", "ip"], 7: ["card", "date", "card"], 10: ["card"], 26: []} | {i: ["date"] for i in (20, 21, 22, 23, 24, 25, 27)}
+    assert {i: got[i]["pii_found"] for i in kinds} == kinds
+    new = got[1]["text"].split()[1]
+    assert got[1]["text"] == f"Karte {new} 12 Euro" and luhn(new) and new != card
+    assert got[2]["text"] == f"page 12 {new}" and got[3]["text"] == f"1234 {' '.join(re.findall('....', new))} 99" and got[10]["text"] == f"{new} 12-x"
+    assert all(got[i]["text"].startswith(f"{new} ") for i in (5, 6, 7)) and got[7]["text"].endswith(f" {new}")
+    assert re.fullmatch(r"7 \d{4} \d{6} \d{5} 12", got[4]["text"]) and amex not in got[4]["text"] and luhn(got[4]["text"][2:-3])
+    assert len(got[9]["text"]) == len(texts[9]) and got[26]["text"] == texts[26]
+    day = {i: [int(x) for x in re.split("[-/.]", got[i]["text"][3:])] for i in (20, 21, 22, 23, 24, 25, 27)}
+    m, d, y = day[20]
+    assert d > 12 and day[22] == [d, m, y] and day[23] == [y, m, d] and day[27] == [m, d, y] and day[21] == day[24] == day[25] and day[21][0] <= 12
+    every = spark.range(73049).select(pseudonyms.permuted_day(F.col("id"), "k").alias("d"))
+    assert every.distinct().count() == 73049
