@@ -2,14 +2,10 @@
 
 Two paths give the same pixels. ``composite`` works on candidate rows and one ``max_by`` aggregate,
 which combines map-side, so a pixel under any number of rasters shuffles one row per task.
-``block_mosaic`` composites whole blocks with numpy and is meant for fine grids.
+``render.render_blocks`` composites whole blocks with numpy and is meant for fine grids.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,28 +18,30 @@ MAX_SPLIT_DEPTH = 3
 
 def plan_resolution(pairs: DataFrame, keys: list[str], wanted: str = "res_m", native: str = "native_res_m",
                     default: str = "default_res_m") -> DataFrame:
-    """keys -> res_m: the wanted resolution (at least 0.05), else the finest native one, else the default."""
+    """keys -> res_m, n_inputs: the wanted resolution (at least 0.05), else the finest native one, else the default; and the number of rows."""
     return pairs.groupBy(*keys).agg(F.expr(
-        f"coalesce(if(max({wanted}) IS NULL, NULL, greatest(max({wanted}), 0.05D)), min(if({native} > 0, {native}, NULL)), max({default}))").alias("res_m"))
+        f"coalesce(if(max({wanted}) IS NULL, NULL, greatest(max({wanted}), 0.05D)), min(if({native} > 0, {native}, NULL)), max({default}))").alias("res_m"), F.count("*").alias("n_inputs"))
 
 
-def with_target_pixels(pairs: DataFrame, grid: str = "grid") -> DataFrame:
+def with_target_pixels(pairs: DataFrame, grid: str = "grid", centres: bool = True) -> DataFrame:
     """One row per output pixel under each raster tile, with py, px, lon, lat and source position.
 
+    With ``centres`` only pixels whose centre lies in the tile, else all that overlap it.
+
     ``pairs`` has a grid struct and the tile's georeferencing (width, height, a, c, e, f). Pixels are
     listed over the tile's own extent, not its footprint: valid data outside the footprint still
     competes, with a negative depth.
     """
     g = grid
-    return (pairs
+    px = (pairs
             .selectExpr("*", f"explode(sequence(greatest(0, int(floor(({g}.bbox.north - f) / {g}.yres))), "
                              f"greatest(-1, least(int({g}.height) - 1, int(ceil(({g}.bbox.north - (f + e * height)) / {g}.yres)) - 1)))) AS py")
             .selectExpr("*", f"explode(sequence(greatest(0, int(floor((c - {g}.bbox.west) / {g}.xres))), "
                              f"greatest(-1, least(int({g}.width) - 1, int(ceil((c + a * width - {g}.bbox.west) / {g}.xres)) - 1)))) AS px")
             .selectExpr("*", f"{g}.bbox.west + (px + 0.5D) * {g}.xres AS lon", f"{g}.bbox.north - (py + 0.5D) * {g}.yres AS lat")
             .filter("px >= 0 AND py >= 0")
-            .selectExpr("*", "(lon - c) / a AS fcol", "(lat - f) / e AS frow")
-            .filter("fcol >= 0 AND fcol < width AND frow >= 0 AND frow < height"))
+            .selectExpr("*", "(lon - c) / a AS fcol", "(lat - f) / e AS frow"))
+    return px.filter("fcol >= 0 AND fcol < width AND frow >= 0 AND frow < height") if centres else px
 
 
 def touching_grid(pairs: DataFrame, grid: str = "grid") -> DataFrame:
@@ -81,6 +79,28 @@ def sample_bilinear(px: DataFrame, values: str = "z", out: str = "v") -> DataFra
             .selectExpr(*keep, f"explode(if(_ws > 0, array(_wv / _ws), CAST(array() AS array<double>))) AS {out}"))
 
 
+def sample_smooth(px: DataFrame, values: str = "z", out: str = "v", grid: str = "grid") -> DataFrame:
+    """Elevation as layers take it: the area-weighted mean of what a pixel covers if it is over one and a half times as coarse
+    as ``native_res_m``, else the weighted mean of the four nearest centres, for pixels whose centre lies in the tile. Void pixels
+    weigh nothing; pixels without valid ones are dropped. ``px`` comes from ``with_target_pixels(..., centres=False)``.
+    """
+    g, keep = grid, px.columns
+
+    def near(axis: str, n: str, lo: str, hi: str, at: str) -> str:
+        first, last = f"if(_avg, floor({lo}), floor({at} - 0.5D))", f"if(_avg, ceil({hi}) - 1, floor({at} - 0.5D) + 1)"
+        return (f"transform(sequence(int(greatest(0, {first})), int(least({n} - 1, {last}))), k -> struct(k AS k, "
+                f"if(_avg, least(k + 1D, {hi}) - greatest(double(k), {lo}), 1D - abs(k + 0.5D - {at})) AS w)) AS _{axis}")
+    return (px.selectExpr("*", f"{g}.yres * {geo.METERS_PER_DEG}D / greatest(native_res_m, 1e-9D) > 1.5D AS _avg",
+                          f"({g}.bbox.north - py * {g}.yres - f) / e AS _y0", f"({g}.bbox.north - (py + 1) * {g}.yres - f) / e AS _y1",
+                          f"({g}.bbox.west + px * {g}.xres - c) / a AS _x0", f"({g}.bbox.west + (px + 1) * {g}.xres - c) / a AS _x1")
+            .filter("if(_avg, _y1 > 0 AND _y0 < height AND _x1 > 0 AND _x0 < width, fcol >= 0 AND fcol < width AND frow >= 0 AND frow < height)")
+            .selectExpr("*", near("rows", "height", "_y0", "_y1", "frow"), near("cols", "width", "_x0", "_x1", "fcol"))
+            .selectExpr(*keep, f"filter(flatten(transform(_rows, r -> transform(_cols, q -> struct(r.w * q.w AS w, {values}[r.k * width + q.k] AS v)))), "
+                               f"x -> x.v <> {NODATA}D AND NOT isnan(x.v) AND abs(x.v) < double('inf')) AS _near")
+            .selectExpr(*keep, "aggregate(_near, struct(0D AS w, 0D AS v), (s, x) -> struct(s.w + x.w AS w, s.v + x.w * x.v AS v)) AS _sum")
+            .filter("_sum.w > 1e-9D").selectExpr(*keep, f"_sum.v / _sum.w AS {out}"))
+
+
 def with_depth(px: DataFrame, footprint: str = "bbox", clip: str | None = None) -> DataFrame:
     """Float32 interior depth; with clip rings, pixels outside any ring are dropped and depth is
     measured from the footprint cut to the rings."""
@@ -115,122 +135,14 @@ def split_until_fits(areas: DataFrame, key: str, max_pixels: int = MAX_PIXELS) -
     what is still too large then keeps fits = false.
     """
     cur = areas.select(key, "bbox", "res_m", F.array().cast("array<int>").alias("path"))
-    done = None
-    for depth in range(MAX_SPLIT_DEPTH + 2):
-        cur = cur.withColumn("_px", geo.make_grid(F.col("bbox"), F.col("res_m")).pixels)
-        last = depth == MAX_SPLIT_DEPTH + 1
-        fit = cur if last else cur.filter(F.col("_px") <= max_pixels)
-        fit = fit.select(key, "bbox", "res_m", "path", F.col("_px").alias("pixels"), (F.col("_px") <= max_pixels).alias("fits"))
-        done = fit if done is None else done.unionByName(fit)
-        if last:
-            return done
-        cols, rows = geo.split_size(F.col("_px") / max_pixels)
-        cur = (cur.filter(F.col("_px") > max_pixels).withColumn("_c", cols).withColumn("_r", rows)
-               .withColumn("_p", F.explode(geo.split_bbox(F.col("bbox"), F.col("_c"), F.col("_r"))))
-               .select(key, F.col("_p.bbox").alias("bbox"), "res_m", F.concat("path", F.array("_p.idx")).alias("path")))
 
-
-# ---------------------------------------------------------------------------- block kernel
-_PARTIAL = "v array<double>, depth array<float>, ord array<bigint>"
-
-
-def with_blocks(pairs: DataFrame, block: int, grid: str = "grid") -> DataFrame:
-    """One row per (tile, output block it touches), keyed block_row, block_col."""
-    g = grid
-    return (touching_grid(pairs, grid)
-            .selectExpr("*", f"explode(sequence(int(floor(greatest(0D, ({g}.bbox.north - f) / {g}.yres) / {block})), "
-                             f"int(floor(least({g}.height - 1D, ({g}.bbox.north - (f + e * height)) / {g}.yres) / {block})))) AS block_row")
-            .selectExpr("*", f"explode(sequence(int(floor(greatest(0D, (c - {g}.bbox.west) / {g}.xres) / {block})), "
-                             f"int(floor(least({g}.width - 1D, (c + a * width - {g}.bbox.west) / {g}.xres) / {block})))) AS block_col"))
-
-
-def _paint(state, row, block: int):
-    """Composite one raster tile into a block's (value, depth, order) arrays; nearest sampling."""
-    v, depth, order = state
-    g = row["grid"]
-    b = g["bbox"]
-    h, w = v.shape
-    r0, c0 = row["block_row"] * block, row["block_col"] * block
-    lon = b["west"] + (np.arange(c0, c0 + w) + 0.5) * g["xres"]
-    lat = b["north"] - (np.arange(r0, r0 + h) + 0.5) * g["yres"]
-    fc, fr = (lon - row["c"]) / row["a"], (lat - row["f"]) / row["e"]
-    ci, ri = np.flatnonzero((fc >= 0) & (fc < row["width"])), np.flatnonzero((fr >= 0) & (fr < row["height"]))
-    if not len(ci) or not len(ri):
-        return
-    z = np.asarray(row["z"], float).reshape(row["height"], row["width"])
-    px = z[np.floor(fr[ri]).astype(int)[:, None], np.floor(fc[ci]).astype(int)[None, :]]
-    fp = row["bbox"]
-    dx = np.minimum(lon[ci] - fp["west"], fp["east"] - lon[ci]) / (fp["east"] - fp["west"])
-    dy = np.minimum(lat[ri] - fp["south"], fp["north"] - lat[ri]) / (fp["north"] - fp["south"])
-    d = np.minimum(dx[None, :], dy[:, None]).astype(np.float32)
-    win = np.ix_(ri, ci)
-    take = np.isfinite(px) & (px != NODATA) & ((d > depth[win]) | ((d == depth[win]) & (row["item_ord"] < order[win])))
-    for arr, new in ((v, px), (depth, d), (order, np.full(px.shape, row["item_ord"]))):
-        part = arr[win]
-        part[take] = new[take]
-        arr[win] = part
-
-
-def _empty(h: int, w: int):
-    return np.full((h, w), np.nan), np.full((h, w), -np.inf, np.float32), np.full((h, w), np.iinfo(np.int64).max)
-
-
-def block_mosaic(pairs: DataFrame, keys: list[str], block: int = 1024, items_per_share: int = 64) -> DataFrame:
-    """keys, block_row, block_col -> row-major values (NaN where empty), depths and winning orders.
-
-    A block's tiles arrive as an iterator, so a task holds one block and one batch however many
-    tiles it has. A block with many tiles is cut into shares that are composited apart and merged.
-    """
-    at = [*keys, "block_row", "block_col"]
-    rows = with_blocks(pairs, block)
-    n = rows.groupBy(*at).agg(F.expr(f"int(ceil(count(*) / {items_per_share}))").alias("_shares"))
-    rows = rows.join(n, at).withColumn("_share", F.pmod(F.xxhash64("item_id"), F.col("_shares")).cast("int"))
-    need = [*at, "_share", "item_id", "item_ord", "bbox", "grid", "width", "height", "a", "c", "e", "f", "z"]
-    rows = rows.select(*need)
-    types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in at)
-
-    def first(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                if state is None:
-                    g = row["grid"]
-                    state = _empty(min(block, int(g["height"]) - row["block_row"] * block),
-                                   min(block, int(g["width"]) - row["block_col"] * block))
-                _paint(state, row, block)
-        yield pd.DataFrame({**{k: [x] for k, x in zip(at, key)}, "bh": [state[0].shape[0]],
-                            "v": [state[0].ravel()], "depth": [state[1].ravel()], "ord": [state[2].ravel()]})
-
-    def merge(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = bh = None
-        for pdf in batches:
-            for v, d, o, h in zip(pdf["v"], pdf["depth"], pdf["ord"], pdf["bh"]):
-                v, d, o, bh = np.array(v, float), np.array(d, np.float32), np.array(o), h
-                if state is None:
-                    state = (v, d, o)
-                    continue
-                take = (d > state[1]) | ((d == state[1]) & (o < state[2]))
-                for arr, new in zip(state, (v, d, o)):
-                    arr[take] = new[take]
-        yield pd.DataFrame({**{k: [x] for k, x in zip(at, key)}, "bh": [bh],
-                            "v": [state[0]], "depth": [state[1]], "ord": [state[2]]})
-    schema = f"{types}, bh int, {_PARTIAL}"
-    first.__annotations__ = merge.__annotations__ = {
-        "key": tuple, "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    part = rows.groupBy(*at, "_share").applyInPandas(_keyed(first, len(at)), f"{schema}")
-    return part.groupBy(*at).applyInPandas(_keyed(merge, len(at)), schema)
-
-
-def _keyed(fn, n: int):
-    """Pass only the first n grouping values (without the share number) to ``fn``."""
-    def call(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from fn(key[:n], batches)
-    call.__annotations__ = {"key": tuple, "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    return call
-
-
-def block_pixels(blocks: DataFrame, keys: list[str], block: int = 1024) -> DataFrame:
-    """Block arrays back to one row per filled pixel: keys, py, px, v."""
-    return (blocks.selectExpr(*keys, "block_row", "block_col", "int(size(v) / bh) AS bw", "posexplode(v) AS (i, v)")
-            .filter("v IS NOT NULL AND NOT isnan(v)")
-            .selectExpr(*keys, f"block_row * {block} + int(floor(i / bw)) AS py", f"block_col * {block} + i % bw AS px", "v"))
+    def sized(df: DataFrame) -> DataFrame:
+        return df.withColumn("_px", geo.make_grid(F.col("bbox"), F.col("res_m")).pixels)
+    for _ in range(MAX_SPLIT_DEPTH + 1):  # pieces that fit pass through, so all rounds are one chain over the rows
+        cur = sized(cur)
+        cols, rows = geo.split_size(F.col("_px") / max_pixels)
+        whole = F.array(F.struct(F.lit(None).cast("int").alias("idx"), F.col("bbox").alias("bbox")))
+        cur = (cur.withColumn("_c", cols).withColumn("_r", rows)
+               .withColumn("_p", F.explode(F.when(F.col("_px") > max_pixels, geo.split_bbox(F.col("bbox"), F.col("_c"), F.col("_r"))).otherwise(whole)))
+               .select(key, F.col("_p.bbox").alias("bbox"), "res_m", F.when(F.col("_p.idx").isNull(), F.col("path")).otherwise(F.concat("path", F.array("_p.idx"))).alias("path")))
+    return sized(cur).select(key, "bbox", "res_m", "path", F.col("_px").alias("pixels"), (F.col("_px") <= max_pixels).alias("fits"))

@@ -5,65 +5,86 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import mosaic as mo
+from ..operators import render as rd
 from ..operators.spatial_join import rect_join
-from ..session import deal
 from .inputs import ELEV_CTE, ctes, derived, elevation_chips, flat, r6, spread, table
 from .registry import query
 
-# One mosaic region for all layers: west, south, east, north and the resolution in metres.
-REGION = (-100.0, 30.0, -75.0, 41.0, 5000.0)
+# One mosaic region for all layers: west, south, east, north. Resolutions in metres of even and odd layers: chips are finer than the one and coarser than the other.
+REGION = (-100.0, 30.0, -75.0, 41.0)
+REGION_RES = (5000.0, 12000.0)
 
 
 def region_pairs(spark, sf):
     """Every chip paired with its layer's grid over the region."""
-    w, s, e, n, res = REGION
-    grid = geo.make_grid(geo.make_bbox(w, s, e, n), F.lit(res))
-    return spread(elevation_chips(spark, sf)).withColumn("grid", grid)
+    res = F.when(F.col("layer") % 2 == 0, F.lit(REGION_RES[0])).otherwise(F.lit(REGION_RES[1]))
+    native = geo.native_res_m(F.lit("geographic"), F.col("a"), geo.center_lat(F.col("bbox")))
+    return spread(elevation_chips(spark, sf)).withColumn("grid", geo.make_grid(geo.make_bbox(*REGION), res)).withColumn("native_res_m", native)
 
 
 _GRID_CTE = """
-grd AS (SELECT gw, gs, ge, gn, width AS gwid, height AS ghei, (ge-gw)/width AS xres, (gn-gs)/height AS yres FROM (
- SELECT *, greatest(1, CAST(round_even((ge-gw)/((5000.0::DOUBLE/111320)/greatest(cos(radians((gs+gn)/2)),0.01)),0) AS BIGINT)) AS width,
- greatest(1, CAST(round_even((gn-gs)/(5000.0::DOUBLE/111320),0) AS BIGINT)) AS height
- FROM (SELECT -100.0::DOUBLE AS gw, 30.0::DOUBLE AS gs, -75.0::DOUBLE AS ge, 41.0::DOUBLE AS gn)))"""
-_PX_CTE = """
-ppy AS (SELECT *, unnest(range(greatest(0, CAST(floor((gn-f)/yres) AS BIGINT)), least(ghei-1, CAST(ceil((gn-(f+e*height))/yres) AS BIGINT)-1)+1)) AS py FROM pairs),
-ppx AS (SELECT *, unnest(range(greatest(0, CAST(floor((c-gw)/xres) AS BIGINT)), least(gwid-1, CAST(ceil((c+a*width-gw)/xres) AS BIGINT)-1)+1)) AS px FROM ppy),
+grd AS (SELECT odd, gw, gs, ge, gn, width AS gwid, height AS ghei, (ge-gw)/width AS xres, (gn-gs)/height AS yres FROM (
+ SELECT *, greatest(1, CAST(round_even((ge-gw)/((res/111320)/greatest(cos(radians((gs+gn)/2)),0.01)),0) AS BIGINT)) AS width,
+ greatest(1, CAST(round_even((gn-gs)/(res/111320),0) AS BIGINT)) AS height
+ FROM (SELECT -100.0::DOUBLE AS gw, 30.0::DOUBLE AS gs, -75.0::DOUBLE AS ge, 41.0::DOUBLE AS gn, odd, res FROM (VALUES (0, 5000.0::DOUBLE), (1, 12000.0::DOUBLE)) t(odd, res))))"""
+
+
+def smooth_cte(cell: str, drop: str, keep: str, merc: bool = False) -> str:
+    """near: the cells (structs of ``cell``, WEIGHT replaced) each target pixel of ``pairs`` is sampled from, averaged or bilinear. With ``merc``, pairs says which rasters are in Mercator metres."""
+    def y(x):
+        return f"(CASE WHEN merc THEN asinh(tan(radians({x})))*6378137.0::DOUBLE ELSE {x} END)" if merc else x
+
+    def x(v):
+        return f"(CASE WHEN merc THEN radians({v})*6378137.0::DOUBLE ELSE {v} END)" if merc else v
+    native = "native" if merc else "abs(a)*111320*greatest(cos(radians((south+north)/2)),0.1)"
+    weight = "(CASE WHEN av THEN (least(j+1,y1)-greatest(j,y0))*(least(i+1,x1)-greatest(i,x0)) ELSE (1-abs(j+0.5::DOUBLE-frow))*(1-abs(i+0.5::DOUBLE-fcol)) END)"
+    return f"""
+ppy AS (SELECT *, unnest(range(greatest(0, CAST(floor((gn-north)/yres) AS BIGINT)), least(ghei-1, CAST(ceil((gn-south)/yres) AS BIGINT)-1)+1)) AS py FROM pairs),
+ppx AS (SELECT *, unnest(range(greatest(0, CAST(floor((west-gw)/xres) AS BIGINT)), least(gwid-1, CAST(ceil((east-gw)/xres) AS BIGINT)-1)+1)) AS px FROM ppy),
 pll AS (SELECT *, gw+(px+0.5::DOUBLE)*xres AS lon, gn-(py+0.5::DOUBLE)*yres AS lat FROM ppx),
-pix AS (SELECT *, (lon-c)/a AS fcol, (lat-f)/e AS frow FROM pll),
-smp AS (SELECT *, z[CAST(floor(frow) AS BIGINT)*width+CAST(floor(fcol) AS BIGINT)+1] AS v,
+pix AS (SELECT *, ({x("lon")}-c)/a AS fcol, ({y("lat")}-f)/e AS frow, ({y("(gn-py*yres)")}-f)/e AS y0, ({y("(gn-(py+1)*yres)")}-f)/e AS y1, ({x("(gw+px*xres)")}-c)/a AS x0, ({x("(gw+(px+1)*xres)")}-c)/a AS x1,
+ yres*111320/greatest({native}, 1e-9) > 1.5 AS av FROM pll),
+hits AS (SELECT *, CASE WHEN av THEN floor(y0) ELSE floor(frow-0.5) END AS j0, CASE WHEN av THEN ceil(y1)-1 ELSE floor(frow-0.5)+1 END AS j1,
+ CASE WHEN av THEN floor(x0) ELSE floor(fcol-0.5) END AS i0, CASE WHEN av THEN ceil(x1)-1 ELSE floor(fcol-0.5)+1 END AS i1 FROM pix
+ WHERE CASE WHEN av THEN y1>0 AND y0<height AND x1>0 AND x0<width ELSE fcol>=0 AND fcol<width AND frow>=0 AND frow<height END),
+near AS (SELECT * EXCLUDE ({drop}), list_filter(flatten(list_transform(range(CAST(greatest(0,j0) AS BIGINT), CAST(least(height-1,j1) AS BIGINT)+1),
+ lambda j: list_transform(range(CAST(greatest(0,i0) AS BIGINT), CAST(least(width-1,i1) AS BIGINT)+1), lambda i: {{{cell.replace("WEIGHT", weight)}}}))), lambda q: {keep}) AS cells FROM hits)"""
+
+
+_PX_CTE = smooth_cte("'w': WEIGHT, 'v': z[j*width+i+1]", "z", "q.v<>-32767 AND NOT isnan(q.v) AND NOT isinf(q.v)") + """,
+smp AS (SELECT * EXCLUDE (cells), list_sum(list_transform(cells, lambda q: q.w*q.v))/list_sum(list_transform(cells, lambda q: q.w)) AS v,
  CAST(least(least(lon-west,east-lon)/(east-west), least(lat-south,north-lat)/(north-south)) AS FLOAT) AS depth
- FROM pix WHERE fcol>=0 AND fcol<width AND frow>=0 AND frow<height)"""
+ FROM near WHERE list_sum(list_transform(cells, lambda q: q.w)) > 1e-9)"""
 REGION_SQL = "WITH " + ELEV_CTE + "," + _GRID_CTE + """,
-pairs AS (SELECT elev.*, 8 AS width, 8 AS height, grd.* FROM elev, grd),""" + _PX_CTE
+pairs AS (SELECT elev.*, 8 AS width, 8 AS height, grd.* FROM elev JOIN grd ON odd = layer%2),""" + _PX_CTE
 _WIN = "arg_max({'v': v, 'item_id': item_id}, {'d': depth, 'o': -item_ord})"
 
 
 def region_candidates(spark, sf):
-    px = mo.with_target_pixels(mo.touching_grid(region_pairs(spark, sf)))
-    return mo.with_depth(mo.sample_nearest(px.select("layer", "item_id", "item_ord", "bbox", "width", "z", "py", "px", "lon", "lat", "fcol", "frow")))
+    px = mo.sample_smooth(mo.with_target_pixels(mo.touching_grid(region_pairs(spark, sf)), centres=False))
+    return mo.with_depth(px.select("layer", "item_id", "item_ord", "bbox", "py", "px", "lon", "lat", "v"))
 
 
 @query("w01_deepest_inside_mosaic", REGION_SQL + f"""
-SELECT layer, CAST(py AS INT) AS py, CAST(px AS INT) AS px, round(m.v,6) AS v, m.item_id AS item_id FROM (
- SELECT layer, py, px, {_WIN} AS m FROM smp WHERE v<>-32767 GROUP BY 1,2,3)""")
+SELECT layer, CAST(py AS INT) AS py, CAST(px AS INT) AS px, round(m.v,4) AS v, m.item_id AS item_id FROM (
+ SELECT layer, py, px, {_WIN} AS m FROM smp GROUP BY 1,2,3)""")
 def w01(spark, sf):
-    return mo.composite(region_candidates(spark, sf), ["layer"]).select("layer", "py", "px", r6("v", "v"), "item_id")
+    return mo.composite(region_candidates(spark, sf), ["layer"]).select("layer", "py", "px", r6("v", "v", 4), "item_id")
 
 
 @query("x02_block_kernel_mosaic", REGION_SQL + f"""
-SELECT layer, CAST(py AS INT) AS py, CAST(px AS INT) AS px, round(m.v,6) AS v FROM (
- SELECT layer, py, px, {_WIN} AS m FROM smp WHERE v<>-32767 GROUP BY 1,2,3)""")
+SELECT layer, CAST(py AS INT) AS py, CAST(px AS INT) AS px, round(m.v,4) AS v, m.item_id AS item_id FROM (
+ SELECT layer, py, px, {_WIN} AS m FROM smp GROUP BY 1,2,3)""")
 def x02(spark, sf):
-    blocks = mo.block_mosaic(region_pairs(spark, sf), ["layer"], block=128)
-    return mo.block_pixels(blocks, ["layer"], 128).select("layer", "py", "px", r6("v", "v"))
+    blocks = rd.render_blocks(rd.elevation_shares(region_pairs(spark, sf)), ["layer"], block=128)
+    return rd.block_pixels(blocks, ["layer"], 128, ["v"]).select("layer", "py", "px", r6("v", "v", 4), F.col("item_ord").alias("item_id"))
 
 
 @query("a14_coverage_percent", REGION_SQL + """
 SELECT layer, count(*) AS filled, round_even(100.0::DOUBLE*count(*)/any_value(gwid*ghei),2)::DOUBLE AS coverage_pct FROM (
- SELECT layer, py, px, any_value(gwid) AS gwid, any_value(ghei) AS ghei FROM smp WHERE v<>-32767 GROUP BY 1,2,3) GROUP BY 1""")
+ SELECT layer, py, px, any_value(gwid) AS gwid, any_value(ghei) AS ghei FROM smp GROUP BY 1,2,3) GROUP BY 1""")
 def a14(spark, sf):
-    px = region_candidates(spark, sf).filter("v IS NOT NULL").select("layer", "py", "px").distinct()
+    px = region_candidates(spark, sf).select("layer", "py", "px").distinct()
     grids = region_pairs(spark, sf).select("layer", "grid").distinct()
     return mo.coverage(px, grids, ["layer"]).select("layer", "filled", "coverage_pct")
 
@@ -77,28 +98,29 @@ def r04(spark, sf):
     return df.select("item_id", F.size(ok).cast("long").alias("n_valid"), (F.size("z") - F.size(ok)).cast("long").alias("n_void"))
 
 
-def area_layers(spark, sf):
-    """(aoi, chip) pairs, the per-area grid at the finest native resolution, and its pixels."""
+def area_grids(spark, sf):
+    """(aoi, chip) pairs and each area's grid: at 15 km for every third area, else at the finest native resolution."""
     chips = elevation_chips(spark, sf).withColumnRenamed("bbox", "item_bbox")
     chips = chips.withColumn("native_res_m", geo.native_res_m(F.lit("geographic"), F.col("a"), geo.center_lat(F.col("item_bbox"))))
     areas = spread(derived(spark, sf, "aoi").select("aoi_id", F.col("bbox").alias("aoi_bbox")))
     pairs = rect_join(areas, chips.select("item_id", "item_bbox", "native_res_m"), "aoi_bbox", "item_bbox")
-    res = mo.plan_resolution(pairs.selectExpr("aoi_id", "aoi_bbox", "CAST(NULL AS DOUBLE) AS wanted", "native_res_m", "30D AS dflt"),
+    res = mo.plan_resolution(pairs.selectExpr("aoi_id", "aoi_bbox", "if(aoi_id % 3 = 0, 15000D, NULL) AS wanted", "native_res_m", "30D AS dflt"),
                              ["aoi_id", "aoi_bbox"], "wanted", "native_res_m", "dflt")
-    grids = res.withColumn("grid", geo.make_grid(F.col("aoi_bbox"), F.col("res_m")))
-    tiles = chips.drop("native_res_m").withColumnRenamed("item_bbox", "bbox")
-    sized = pairs.select("aoi_id", "item_id").join(grids.select("aoi_id", "grid"), "aoi_id")
-    fitted = deal(sized, "aoi_id", "item_id").join(tiles, "item_id")
-    px = mo.with_target_pixels(mo.touching_grid(fitted))
-    cand = mo.with_depth(mo.sample_nearest(px.select("aoi_id", "item_id", "item_ord", "bbox", "width", "z", "py", "px", "lon", "lat", "fcol", "frow")))
-    return pairs, grids, mo.composite(cand, ["aoi_id"])
+    return pairs, res.withColumn("grid", geo.make_grid(F.col("aoi_bbox"), F.col("res_m")))
+
+
+def area_shares(spark, sf):
+    """What the layers of all areas are painted from: chips with values, their area's grid and the number of its chips."""
+    pairs, grids = area_grids(spark, sf)
+    n = grids.select("aoi_id", "res_m", "grid", "n_inputs")
+    return pairs.select("aoi_id", "item_id").join(n, "aoi_id").join(elevation_chips(spark, sf), "item_id")
 
 
 AREA_SQL = ctes("aoi") + ", " + ELEV_CTE + """,
 nat AS (SELECT *, abs(a)*111320*greatest(cos(radians((south+north)/2)),0.1) AS native FROM elev),
 hit AS (SELECT o.aoi_id, o.west AS gw, o.south AS gs, o.east AS ge, o.north AS gn, c.*, 8 AS width, 8 AS height FROM aoi o JOIN nat c
  ON NOT (c.east<=o.west OR c.west>=o.east OR c.north<=o.south OR c.south>=o.north)),
-res AS (SELECT aoi_id, any_value(gw) AS gw, any_value(gs) AS gs, any_value(ge) AS ge, any_value(gn) AS gn, min(native) AS res_m, count(*) AS n_inputs FROM hit GROUP BY 1),
+res AS (SELECT aoi_id, any_value(gw) AS gw, any_value(gs) AS gs, any_value(ge) AS ge, any_value(gn) AS gn, CASE WHEN aoi_id%3=0 THEN 15000.0::DOUBLE ELSE min(native) END AS res_m, count(*) AS n_inputs FROM hit GROUP BY 1),
 grd AS (SELECT *, (ge-gw)/gwid AS xres, (gn-gs)/ghei AS yres FROM (SELECT *,
  greatest(1, CAST(round_even((ge-gw)/((res_m/111320)/greatest(cos(radians((gs+gn)/2)),0.01)),0) AS BIGINT)) AS gwid,
  greatest(1, CAST(round_even((gn-gs)/(res_m/111320),0) AS BIGINT)) AS ghei FROM res)),
@@ -106,45 +128,42 @@ pairs AS (SELECT hit.*, grd.res_m, gwid, ghei, xres, yres FROM hit JOIN grd USIN
 
 
 @query("r20_area_mosaic_layers", AREA_SQL + f""",
-win AS (SELECT aoi_id, py, px, {_WIN} AS m FROM smp WHERE v<>-32767 GROUP BY 1,2,3),
+win AS (SELECT aoi_id, py, px, {_WIN} AS m FROM smp GROUP BY 1,2,3),
 agg AS (SELECT aoi_id, count(*) AS filled, sum(CAST(round_even(m.v,0) AS BIGINT)) AS sum_v FROM win GROUP BY 1)
-SELECT a.aoi_id, CASE WHEN n_inputs IS NULL THEN 'empty' WHEN gwid*ghei>2000000000 THEN 'too big' ELSE 'ok' END AS status,
+SELECT a.aoi_id, CASE WHEN n_inputs IS NULL THEN 'empty' ELSE 'ok' END AS status,
  CAST(round_even(res_m,3) AS DOUBLE) AS res_m, gwid AS width, ghei AS height, n_inputs, CASE WHEN n_inputs IS NOT NULL THEN coalesce(filled,0) END AS filled,
- CAST(round_even(100.0::DOUBLE*coalesce(filled,0)/(gwid*ghei),2) AS DOUBLE) AS coverage_pct, CAST(sum_v AS BIGINT) AS sum_v
+ CAST(round_even(100.0::DOUBLE*coalesce(filled,0)/(gwid*ghei),2) AS DOUBLE) AS coverage_pct, CAST(CASE WHEN n_inputs IS NOT NULL THEN coalesce(sum_v,0) END AS BIGINT) AS sum_v
 FROM aoi a LEFT JOIN grd USING(aoi_id) LEFT JOIN agg USING(aoi_id)""")
 def r20(spark, sf):
-    pairs, grids, px = area_layers(spark, sf)
-    n = pairs.groupBy("aoi_id").agg(F.count("*").alias("n_inputs"))
-    stats = px.groupBy("aoi_id").agg(F.count("*").alias("filled"), F.expr("sum(bigint(rint(v)))").alias("sum_v"))
-    areas = derived(spark, sf, "aoi").select("aoi_id")
-    return (areas.join(grids.select("aoi_id", "res_m", "grid"), "aoi_id", "left").join(n, "aoi_id", "left").join(stats, "aoi_id", "left")
-            .selectExpr("aoi_id", f"CASE WHEN n_inputs IS NULL THEN 'empty' WHEN grid.pixels > {mo.MAX_PIXELS} THEN 'too big' ELSE 'ok' END AS status",
-                        "bround(res_m, 3) AS res_m", "grid.width AS width", "grid.height AS height", "n_inputs",
-                        "if(n_inputs IS NULL, NULL, coalesce(filled, 0L)) AS filled",
-                        "bround(100D * coalesce(filled, 0L) / grid.pixels, 2) AS coverage_pct", "sum_v"))
+    shares = rd.elevation_shares(area_shares(spark, sf)).withColumn("gw", F.col("grid.width")).withColumn("gh", F.col("grid.height"))
+    layer = ["aoi_id", "res_m", "n_inputs", "gw", "gh"]
+    sums = rd.block_sums(rd.render_blocks(shares, layer, 256, "n_inputs"), layer)
+    return (derived(spark, sf, "aoi").select("aoi_id").join(sums, "aoi_id", "left")
+            .selectExpr("aoi_id", "if(n_inputs IS NULL, 'empty', 'ok') AS status", "bround(res_m, 3) AS res_m", "gw AS width", "gh AS height", "n_inputs", "filled",
+                        "bround(100D * filled / (gw * gh), 2) AS coverage_pct", "sum_v"))
 
 
 @query("a13_planned_resolution", AREA_SQL + "SELECT aoi_id, CAST(round_even(res_m,6) AS DOUBLE) AS res_m, gwid AS width, ghei AS height FROM grd")
 def a13(spark, sf):
-    _, grids, _ = area_layers(spark, sf)
+    _, grids = area_grids(spark, sf)
     return grids.selectExpr("aoi_id", "bround(res_m, 6) AS res_m", "grid.width AS width", "grid.height AS height")
 
 
-def _px_sql(t):
-    return (f"greatest(1, CAST(round_even(({t}e-{t}w)/((500.0::DOUBLE/111320)/greatest(cos(radians(({t}s+{t}n)/2)),0.01)),0) AS BIGINT))"
-            f"*greatest(1, CAST(round_even(({t}n-{t}s)/(500.0::DOUBLE/111320),0) AS BIGINT))")
+def px_sql(t, res=500.0):
+    return (f"greatest(1, CAST(round_even(({t}e-{t}w)/(({res!r}::DOUBLE/111320)/greatest(cos(radians(({t}s+{t}n)/2)),0.01)),0) AS BIGINT))"
+            f"*greatest(1, CAST(round_even(({t}n-{t}s)/({res!r}::DOUBLE/111320),0) AS BIGINT))")
 
 
-def _round_sql(i):
+def round_sql(i, res=500.0, cap=3000):
     return f""",
-p{i} AS (SELECT *, {_px_sql('')} AS px FROM s{i}), big{i} AS (SELECT *, greatest(2, CAST(ceil(px/3000.0::DOUBLE) AS INT)) AS k FROM p{i} WHERE px>3000),
+p{i} AS (SELECT *, {px_sql('', res)} AS px FROM s{i}), big{i} AS (SELECT *, greatest(2, CAST(ceil(px/{cap}.0::DOUBLE) AS INT)) AS k FROM p{i} WHERE px>{cap}),
 g{i} AS (SELECT *, CAST(ceil(sqrt(k)) AS INT) AS cols FROM big{i}), h{i} AS (SELECT *, CAST(ceil(CAST(k AS DOUBLE)/cols) AS INT) AS rws FROM g{i}),
 u{i} AS (SELECT *, unnest(range(0, cols*rws)) AS idx FROM h{i}),
-s{i + 1} AS (SELECT aoi_id, w+(idx%cols)*((e-w)/cols) AS w, s+(idx//cols)*((n-s)/rws) AS s, w+(idx%cols+1)*((e-w)/cols) AS e, s+(idx//cols+1)*((n-s)/rws) AS n FROM u{i})"""
+s{i + 1} AS (SELECT aoi_id, CASE WHEN path='' THEN '' ELSE path || '/' END || idx AS path, w+(idx%cols)*((e-w)/cols) AS w, s+(idx//cols)*((n-s)/rws) AS s, w+(idx%cols+1)*((e-w)/cols) AS e, s+(idx//cols+1)*((n-s)/rws) AS n FROM u{i})"""
 
 
-@query("u03_split_until_fits", ctes("aoi") + ", s0 AS (SELECT aoi_id, west AS w, south AS s, east AS e, north AS n FROM aoi)"
-       + "".join(_round_sql(i) for i in range(4)) + f""", p4 AS (SELECT *, {_px_sql('')} AS px FROM s4)
+@query("u03_split_until_fits", ctes("aoi") + ", s0 AS (SELECT aoi_id, '' AS path, west AS w, south AS s, east AS e, north AS n FROM aoi)"
+       + "".join(round_sql(i) for i in range(4)) + f""", p4 AS (SELECT *, {px_sql('')} AS px FROM s4)
 SELECT aoi_id, round(w,6) AS west, round(s,6) AS south, px AS pixels, px<=3000 AS fits FROM (
  SELECT aoi_id,w,s,px FROM p0 WHERE px<=3000 UNION ALL SELECT aoi_id,w,s,px FROM p1 WHERE px<=3000 UNION ALL SELECT aoi_id,w,s,px FROM p2 WHERE px<=3000
  UNION ALL SELECT aoi_id,w,s,px FROM p3 WHERE px<=3000 UNION ALL SELECT aoi_id,w,s,px FROM p4)""")
