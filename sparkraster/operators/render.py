@@ -142,7 +142,7 @@ class Canvas:
 def paint(canvas: Canvas, t: dict, bands: np.ndarray) -> None:
     """Composite one raster (bands, height, width) into a block."""
     mercator, mode = t["crs"] == "mercator", t["mode"]
-    ratio = canvas.g["yres"] * geo.METERS_PER_DEG / max(t["native_res_m"], 1e-9)
+    ratio = t["target_res_m"] / max(t["native_res_m"], 1e-9)
     crisp = mode == "palette" or (mode != "elevation" and t["resampling"] == "nearest")
     factor = int(min(MAX_FACTOR, max(1, np.rint(ratio)))) if crisp else 1
     method = "nearest" if crisp else "average" if ratio > BILINEAR_RATIO else "bilinear"
@@ -287,7 +287,7 @@ def _merger(keys: list[str], schema: pa.Schema) -> Callable:
     return run
 
 
-def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of a key together and sorted; as many partitions as there are, since a row here is much work."""
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -297,18 +297,18 @@ def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
 def with_blocks(pairs: DataFrame, block: int) -> DataFrame:
     """One row per (raster, output block it touches), keyed block_row, block_col, with the grid's numbers as g_*."""
     g = F.col("grid")
-    d = (pairs.withColumn("_box", raster_box(F.col("crs"), F.col("a"), F.col("c"), F.col("e"), F.col("f"), F.col("width"), F.col("height")))
-         .filter((F.col("_box.west") < g.bbox.east) & (F.col("_box.east") > g.bbox.west) & (F.col("_box.north") > g.bbox.south) & (F.col("_box.south") < g.bbox.north)))
-
-    def span(lo: Column, hi: Column, n: Column) -> Column:
-        return F.sequence(F.floor(F.greatest(lo, F.lit(0.0)) / block).cast("int"), F.floor(F.least(hi, n - 1.0) / block).cast("int"))
-    d = d.withColumn("block_row", F.explode(span((g.bbox.north - F.col("_box.north")) / g.yres, (g.bbox.north - F.col("_box.south")) / g.yres, g.height)))
-    d = d.withColumn("block_col", F.explode(span((F.col("_box.west") - g.bbox.west) / g.xres, (F.col("_box.east") - g.bbox.west) / g.xres, g.width)))
-    for k in ("west", "north"):
-        d = d.withColumn(f"g_{k}", g.bbox[k])
+    box = raster_box(F.col("crs"), F.col("a"), F.col("c"), F.col("e"), F.col("f"), F.col("width"), F.col("height"))
+    d = pairs
+    for k in ("west", "south", "east", "north"):  # plain columns: the optimizer loses fields of a struct between two generators
+        d = d.withColumn(f"_b_{k}", box[k]).withColumn(f"g_{k}", g.bbox[k])
     for k in ("xres", "yres", "width", "height"):
         d = d.withColumn(f"g_{k}", g[k])
-    return d
+    d = d.filter("_b_west < g_east AND _b_east > g_west AND _b_north > g_south AND _b_south < g_north")
+
+    def span(lo: str, hi: str, n: str) -> Column:
+        return F.expr(f"explode(sequence(int(floor(greatest({lo}, 0D) / {block})), int(floor(least({hi}, {n} - 1D) / {block}))))")
+    d = d.withColumn("block_row", span("(g_north - _b_north) / g_yres", "(g_north - _b_south) / g_yres", "g_height"))
+    return d.withColumn("block_col", span("(_b_west - g_west) / g_xres", "(_b_east - g_west) / g_xres", "g_width"))
 
 
 def render_blocks(pairs: DataFrame, keys: list[str], block: int = 1024, rasters: str | None = None, per_share: int = 64) -> DataFrame:
@@ -316,21 +316,23 @@ def render_blocks(pairs: DataFrame, keys: list[str], block: int = 1024, rasters:
 
     ``pairs`` carries keys, grid, item_id, item_ord, bbox, crs, mode, resampling, dtype, native_res_m, width, height, a, c, e, f, ``values`` (one
     row-major array per band), ``bands`` (numbers of the bands to draw), alpha_band, lut (rgba by index) and rings; grids of at least one pixel.
-    ``rasters`` names a column with an upper bound of a block's rasters; without it they are counted, which plans ``pairs`` a second time.
+    ``target_res_m`` may be given too, else it is the grid's step along a meridian. ``rasters`` names a column with an upper bound of a block's rasters; without it they are counted, which plans ``pairs`` a second time.
     A block of n rasters is painted in n / ``per_share`` shares, or the square root of n if that is less, so no task sees more than that many.
     """
     at = [*keys, "block_row", "block_col"]
     rows = with_blocks(pairs.withColumn("_fp", geo.clip_footprint(F.col("rings"), F.col("bbox"))), block)
     if rasters is None:
         rows = rows.join(rows.groupBy(*at).agg(F.count("*").alias("_n")), at)
+    if "target_res_m" not in pairs.columns:
+        rows = rows.withColumn("target_res_m", F.col("g_yres") * geo.METERS_PER_DEG)
     n = F.col(rasters or "_n")
     shares = F.ceil(F.least(n / per_share, F.sqrt(n))).cast("int")
-    plain = ["item_ord", "crs", "mode", "resampling", "dtype", "native_res_m", "width", "height", "a", "c", "e", "f", "alpha_band", "g_west", "g_north", "g_xres", "g_yres", "g_width", "g_height"]
+    plain = ["item_ord", "crs", "mode", "resampling", "dtype", "native_res_m", "target_res_m", "width", "height", "a", "c", "e", "f", "alpha_band", "g_west", "g_north", "g_xres", "g_yres", "g_width", "g_height"]
     rows = rows.select(*at, F.pmod(F.xxhash64("item_id"), shares).cast("int").alias("_share"), *plain, *NESTED, *[F.col(f"_fp.{s}").alias(s) for s in ("west", "south", "east", "north")])
     types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in at)
     by = [*at, "_share"]
-    parts = _dealt(rows, by).mapInArrow(_painter(by, block, _arrow(rows, by)), f"{types}, _share int, {STATE}")
-    return _dealt(parts.drop("_share"), at).mapInArrow(_merger(at, _arrow(rows, at)), f"{types}, {STATE}")
+    parts = dealt(rows, by).mapInArrow(_painter(by, block, _arrow(rows, by)), f"{types}, _share int, {STATE}")
+    return dealt(parts.drop("_share"), at).mapInArrow(_merger(at, _arrow(rows, at)), f"{types}, {STATE}")
 
 
 def _arrow(df: DataFrame, keys: list[str]) -> pa.Schema:

@@ -146,6 +146,20 @@ elev AS (SELECT item_id, layer, item_id AS item_ord, west, south, east, north, (
                         ELSE CAST(v AS DOUBLE)*1000 END) AS z FROM chips)"""
 
 
+def fine_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same vectors as finer tiles: 48 x 48 values over a fifth of a degree, about 400 m each."""
+    df = derived(spark, sf_dir, "chips").selectExpr("item_id", "layer", "item_id AS item_ord", "bbox.west AS c", "bbox.south + 0.2D AS f", "embedding")
+    z = ("transform(sequence(0, 2303), i -> if((item_id + int(i / 48) + i % 48) % 29 = 0, -32767D, double(embedding[(int(i / 48) * 7 + i % 48) % 64]) * 1000 + int(i / 48) * 2 - i % 48))")
+    df = df.selectExpr("item_id", "layer", "item_ord", "48 AS width", "48 AS height", "0.2D / 48 AS a", "c", "-0.2D / 48 AS e", "f", f"{z} AS z")
+    return df.withColumn("bbox", geo.make_bbox(F.col("c"), F.col("f") + 48 * F.col("e"), F.col("c") + 48 * F.col("a"), F.col("f")))
+
+
+FINE_CTE = _sql("chips") + """,
+fin AS (SELECT item_id, layer, item_id AS item_ord, 48 AS width, 48 AS height, 0.2::DOUBLE/48 AS a, west AS c, -0.2::DOUBLE/48 AS e, south+0.2::DOUBLE AS f,
+ list_transform(range(0, 2304), lambda i: CASE WHEN (item_id+i//48+i%48)%29=0 THEN -32767::DOUBLE ELSE CAST(embedding[(i//48*7+i%48)%64+1] AS DOUBLE)*1000+i//48*2-i%48 END) AS z FROM chips),
+elev AS (SELECT *, c AS west, f+48*e AS south, c+48*a AS east, f AS north FROM fin)"""
+
+
 def palette_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same chips read as palette indices 0..9."""
     df = elevation_chips(spark, sf_dir).drop("z")
