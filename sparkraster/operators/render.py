@@ -41,47 +41,52 @@ def nearest(values: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarra
     return values[:, np.floor(rows).astype(int)[:, None], np.floor(cols).astype(int)[None, :]]
 
 
-def _pairs(pos: np.ndarray, size: int):
-    """Both neighbouring centres of each position with their weights; those outside weigh nothing."""
-    x = pos - 0.5
-    i = np.floor(x).astype(int)
-    d = x - np.floor(x)
-    for k, w in ((i, 1 - d), (i + 1, d)):
-        yield np.clip(k, 0, size - 1), np.where((k >= 0) & (k < size), w, 0.0)
+def _between(x: np.ndarray, low: np.ndarray, w_low: np.ndarray, high: np.ndarray, w_high: np.ndarray, axis: int) -> np.ndarray:
+    """Two weighted picks of ``x`` along an axis, the last or the one before."""
+    if axis == 1:
+        return x[:, low] * w_low[:, None] + x[:, high] * w_high[:, None]
+    return x[:, :, low] * w_low + x[:, :, high] * w_high
 
 
-def bilinear(values: np.ndarray, weight: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted means of the four nearest centres (bands, h, w) and the weight found; ``weight`` (h, w) is 0 where a pixel is void."""
-    num, den = np.zeros((len(values), len(rows), len(cols))), np.zeros((len(rows), len(cols)))
-    for j, wj in _pairs(rows, weight.shape[0]):
-        for i, wi in _pairs(cols, weight.shape[1]):
-            w = weight[j[:, None], i[None, :]] * (wj[:, None] * wi[None, :])
-            den += w
-            num += np.where(w > 0, values[:, j[:, None], i[None, :]], 0.0) * w
-    return num / np.where(den > LEAST_WEIGHT, den, 1.0), np.where(den > LEAST_WEIGHT, den, 0.0)
-
-
-def _integral(x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Integral of ``x`` (n, h, w) up to each (row, col), any fractions; a summed-area table read between its nodes."""
-    table = np.zeros((len(x), x.shape[1] + 1, x.shape[2] + 1))
-    np.cumsum(np.cumsum(x, axis=1), axis=2, out=table[:, 1:, 1:])
+def _weighted(values: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Values times weight, and the weight as one more band; void values may be anything."""
+    x = np.zeros((len(values) + 1, *weight.shape))
+    np.multiply(values, weight, out=x[:-1], where=weight > 0)
+    x[-1] = weight
+    return x
 
-    def between(t: np.ndarray, pos: np.ndarray, axis: int) -> np.ndarray:
-        i = np.clip(np.floor(pos).astype(int), 0, t.shape[axis] - 2)
-        shape = [1] * 3
-        shape[axis] = len(pos)
-        low = np.take(t, i, axis)
-        return low + (np.take(t, i + 1, axis) - low) * (pos - i).reshape(shape)
-    return between(between(table, np.clip(rows, 0, x.shape[1]), 1), np.clip(cols, 0, x.shape[2]), 2)
+
+def _mean(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found = x[-1] > LEAST_WEIGHT
+    return x[:-1] / np.where(found, x[-1], 1.0), found
+
+
+def bilinear(values: np.ndarray, weight: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted means of the four nearest centres (bands, h, w) and where there are any; ``weight`` (h, w) is 0 where a pixel is void."""
+    x = _weighted(values, weight)
+    for axis, pos in ((1, rows), (2, cols)):
+        at, last = pos - 0.5, x.shape[axis] - 1
+        low = np.floor(at)
+        d = at - low
+        low = low.astype(np.int64)
+        x = _between(x, np.maximum(low, 0), (1 - d) * (low >= 0), np.minimum(low + 1, last), d * (low < last), axis)
+    return _mean(x)
 
 
 def average(values: np.ndarray, weight: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Area-weighted means (bands, h, w) between neighbouring ``rows`` and ``cols``, h + 1 and w + 1 edges, and the weight found."""
-    full = np.concatenate([np.where(weight > 0, values, 0.0) * weight, weight[None]])
-    t = _integral(full, rows, cols)
-    box = t[:, 1:, 1:] - t[:, :-1, 1:] - t[:, 1:, :-1] + t[:, :-1, :-1]
-    den = np.where(box[-1] > LEAST_WEIGHT, box[-1], 0.0)
-    return box[:-1] / np.where(den > 0, den, 1.0), den
+    """Area-weighted means (bands, h, w) between neighbouring ``rows`` and ``cols``, h + 1 and w + 1 edges, and where there are any.
+
+    A summed-area table is read between its nodes, so it gives the integral up to any fraction of a pixel.
+    """
+    x = _weighted(values, weight)
+    table = np.zeros((len(x), x.shape[1] + 1, x.shape[2] + 1))
+    np.cumsum(np.cumsum(x, axis=1), axis=2, out=table[:, 1:, 1:])
+    for axis, pos in ((1, rows), (2, cols)):
+        at, last = np.minimum(np.maximum(pos, 0), table.shape[axis] - 1), table.shape[axis] - 2
+        low = np.minimum(np.floor(at).astype(np.int64), last)
+        d = at - low
+        table = _between(table, low, 1 - d, low + 1, d, axis)
+    return _mean(np.diff(np.diff(table, axis=1), axis=2))
 
 
 def fill_ring(lon: np.ndarray, lat: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
@@ -121,22 +126,31 @@ class Canvas:
         self.h, self.w = min(block, g["height"] - self.r0), min(block, g["width"] - self.c0)
         self.data = None
         self.depth, self.ord = np.full((self.h, self.w), -np.inf, np.float32), np.full((self.h, self.w), UNSET)
+        self.known = {}
 
     def edges(self, factor: int, centres: bool) -> tuple[np.ndarray, np.ndarray]:
         """Latitudes and longitudes of (sub-)pixel centres, or edges."""
+        if (factor, centres) not in self.known:
+            self.known[factor, centres] = self._edges(factor, centres)
+        return self.known[factor, centres]
+
+    def _edges(self, factor: int, centres: bool) -> tuple[np.ndarray, np.ndarray]:
         g, half = self.g, 0.5 if centres else 0.0
         rows = np.arange(self.r0 * factor, (self.r0 + self.h) * factor + (not centres))
         cols = np.arange(self.c0 * factor, (self.c0 + self.w) * factor + (not centres))
         return g["north"] - (rows + half) * (g["yres"] / factor), g["west"] + (cols + half) * (g["xres"] / factor)
 
-    def take(self, other_data: np.ndarray, depth: np.ndarray, order: np.ndarray, win=(slice(None), slice(None))) -> None:
-        """Keep the deeper of both at each pixel of the window, the earlier raster where depths are equal."""
+    def put(self, px: np.ndarray, better: np.ndarray, depth: np.ndarray, order, win=(slice(None), slice(None))) -> None:
+        """Pixels of the window where ``better`` holds."""
         if self.data is None:
-            self.data = np.zeros((len(other_data), self.h, self.w), other_data.dtype)
-        better = (order != UNSET) & ((depth > self.depth[win]) | ((depth == self.depth[win]) & (order < self.ord[win])))
-        self.data[(slice(None), *win)][:, better] = other_data[:, better]
-        self.depth[win][better] = depth[better]
-        self.ord[win][better] = order[better]
+            self.data = np.zeros((len(px), self.h, self.w), px.dtype)
+        np.copyto(self.data[(slice(None), *win)], px, where=better)
+        np.copyto(self.depth[win], depth, where=better)
+        np.copyto(self.ord[win], order, where=better)
+
+    def merge(self, px: np.ndarray, depth: np.ndarray, order: np.ndarray) -> None:
+        """Keep the deeper of both at each pixel, the earlier raster where depths are equal."""
+        self.put(px, (order != UNSET) & ((depth > self.depth) | ((depth == self.depth) & (order < self.ord))), depth, order)
 
 
 def paint(canvas: Canvas, t: dict, bands: np.ndarray) -> None:
@@ -148,18 +162,21 @@ def paint(canvas: Canvas, t: dict, bands: np.ndarray) -> None:
     method = "nearest" if crisp else "average" if ratio > BILINEAR_RATIO else "bilinear"
     lat, lon = canvas.edges(factor, method != "average")
     rows, cols = (_warp(lat, mercator, True) - t["f"]) / t["e"], (_warp(lon, mercator, False) - t["c"]) / t["a"]
-    if method == "average":
-        inside = [np.flatnonzero((p[1:] > 0) & (p[:-1] < n)) for p, n in ((rows, t["height"]), (cols, t["width"]))]
-    else:
-        inside = [np.flatnonzero((p >= 0) & (p < n)) // factor for p, n in ((rows, t["height"]), (cols, t["width"]))]
-    if not len(inside[0]) or not len(inside[1]):
-        return
-    win = tuple(slice(int(i[0]), int(i[-1]) + 1) for i in inside)
+    win = []
+    for p, n in ((rows, t["height"]), (cols, t["width"])):  # positions rise
+        if method == "average":
+            first, end = p[1:].searchsorted(0, "right"), p[:-1].searchsorted(n, "left")
+        else:
+            first, end = p.searchsorted(0, "left") // factor, -(-p.searchsorted(n, "left") // factor)
+        if first >= end:
+            return
+        win.append(slice(int(first), int(end)))
+    win = tuple(win)
     sub = tuple(slice(s.start * factor, s.stop * factor + (method == "average")) for s in win)
     rows, cols = rows[sub[0]], cols[sub[1]]
 
     alpha = t["alpha_band"]
-    chosen = bands[np.asarray(t["bands"], int) - 1].astype(float)
+    chosen = bands if len(bands) == 1 else bands[np.asarray(t["bands"], int) - 1]
     if mode == "elevation":
         weight = (np.isfinite(chosen[0]) & (chosen[0] != NODATA)).astype(float)
     elif alpha:
@@ -172,8 +189,7 @@ def paint(canvas: Canvas, t: dict, bands: np.ndarray) -> None:
         rows, cols = np.where(in_r, rows, 0), np.where(in_c, cols, 0)
         px, mask = np.where(held, nearest(chosen, rows, cols), 0.0), held & (nearest(weight[None], rows, cols)[0] > 0)
     else:
-        px, den = (average if method == "average" else bilinear)(chosen, weight, rows, cols)
-        mask = den > 0
+        px, mask = (average if method == "average" else bilinear)(chosen, weight, rows, cols)
     if mode == "palette":
         lut = t["lut"]
         rgba = lut[np.clip(px[0], 0, len(lut) - 1).astype(int)]
@@ -193,8 +209,8 @@ def paint(canvas: Canvas, t: dict, bands: np.ndarray) -> None:
         mask = mask & fill_ring(lon, lat, ring[:, 0], ring[:, 1])
     dx = np.minimum(lon - t["west"], t["east"] - lon) / (t["east"] - t["west"])
     dy = np.minimum(lat - t["south"], t["north"] - lat) / (t["north"] - t["south"])
-    depth = np.minimum(dx[None, :], dy[:, None]).astype(np.float32)
-    canvas.take(px, depth, np.where(mask, t["item_ord"], UNSET), win)
+    depth = np.minimum(dx.astype(np.float32)[None, :], dy.astype(np.float32)[:, None])
+    canvas.put(px, mask & (depth > canvas.depth[win]), depth, t["item_ord"], win)  # rasters come in order, so the earlier one keeps a tie
 
 
 # ---------------------------------------------------------------------------- Spark
@@ -218,29 +234,30 @@ def elevation_shares(pairs: DataFrame) -> DataFrame:
             .withColumn("native_res_m", geo.native_res_m(F.lit("geographic"), F.col("a"), geo.center_lat(F.col("bbox")))))
 
 
-def _tile(c: dict, i: int) -> tuple[dict, np.ndarray]:
-    t = {k: v[i] for k, v in c["plain"].items()}
-    values = c["values"][i].values
-    bands = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), t["height"], t["width"])
-    t["bands"] = c["bands"][i].as_py()
-    lut = c["lut"][i]
-    t["lut"] = np.asarray(lut.as_py(), int).reshape(-1, 4) if lut.is_valid else np.zeros((1, 4), int)
-    t["rings"] = [np.array([(p["lon"], p["lat"]) for p in ring]) for ring in c["rings"][i].as_py() or []]
-    return t, bands
+def _rows_of(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of an array of lists of lists: the flat values, where each inner list starts, and which inner list each row starts with."""
+    inner = lists.flatten()
+    return inner.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(inner.value_lengths().to_numpy(zero_copy_only=False))], np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
 
 
-def _columns(b: pa.RecordBatch, nested: tuple[str, ...]) -> dict:
-    return {"plain": {n: b.column(n).to_pylist() for n in b.schema.names if n not in nested}, **{n: b.column(n) for n in nested}}
+def _columns(b: pa.RecordBatch) -> dict:
+    c = {n: b.column(n).to_pylist() for n in b.schema.names if n != "values"}
+    if "values" in b.schema.names:
+        c["values"] = _rows_of(b.column("values"))
+    return c
 
 
-NESTED = ("values", "bands", "lut", "rings")
-STATE = "bh int, bw int, filled bigint, n_bands int, data binary, depth binary, ord binary"
+def _tile(c: dict, i: int) -> tuple[dict, np.ndarray]:
+    t = {k: v[i] for k, v in c.items() if k != "values"}
+    flat, starts, rows = c["values"]
+    bands = flat[starts[rows[i]]:starts[rows[i + 1]]].reshape(-1, t["height"], t["width"])
+    t["lut"] = np.asarray(t["lut"] or [[0, 0, 0, 0]], int)
+    t["rings"] = [np.array([(p["lon"], p["lat"]) for p in ring]) for ring in t["rings"] or []]
+    return t, bands
 
 
-def _state(keys: list[str], key: tuple, c: Canvas, schema: pa.Schema) -> pa.RecordBatch:
-    data = c.data if c.data is not None else np.zeros((0, c.h, c.w))
-    row = dict(zip(keys, key)) | {"bh": c.h, "bw": c.w, "filled": int((c.ord != UNSET).sum()), "n_bands": len(data), "data": data.tobytes(), "depth": c.depth.tobytes(), "ord": c.ord.tobytes()}
-    return pa.RecordBatch.from_pylist([row], schema)
+NESTED = ("values", "bands", "lut", "rings")
+STATE = "bh int, bw int, filled bigint, n_bands int, data binary, depth binary, ord binary"
 
 
 def _bands(data: bytes, n: int, h: int, w: int) -> np.ndarray:
@@ -248,50 +265,58 @@ def _bands(data: bytes, n: int, h: int, w: int) -> np.ndarray:
     return np.frombuffer(data, np.float64 if n == 1 else np.uint8).reshape(n, h, w)
 
 
-def _runs(keys: list[str], batches: Iterator[pa.RecordBatch], nested: tuple[str, ...]) -> Iterator[tuple[tuple, dict, int]]:
-    """(key, columns, row) of sorted batches."""
+def _blocks(keys: list[str], schema: pa.Schema, batches: Iterator[pa.RecordBatch], start: Callable, add: Callable) -> Iterator[pa.RecordBatch]:
+    """One row per key of sorted batches: ``start`` makes the canvas from a key's first row, ``add`` draws a row on it."""
+    held, size = [], 0
+
+    def row(key: tuple, c: Canvas) -> dict:
+        data = c.data if c.data is not None else np.zeros((0, c.h, c.w))
+        return dict(zip(keys, key)) | {"bh": c.h, "bw": c.w, "filled": int((c.ord != UNSET).sum()), "n_bands": len(data), "data": data.tobytes(), "depth": c.depth.tobytes(), "ord": c.ord.tobytes()}
+    at = canvas = None
     for b in batches:
-        c = _columns(b, nested)
-        for i, key in enumerate(zip(*[c["plain"][k] for k in keys])):
-            yield key, c, i
+        c = _columns(b)
+        for i, key in enumerate(zip(*[c[k] for k in keys])):
+            if key != at:
+                if canvas is not None:
+                    held.append(row(at, canvas))
+                    size += canvas.h * canvas.w
+                    if size > 1 << 20:
+                        yield pa.RecordBatch.from_pylist(held, schema)
+                        held, size = [], 0
+                at, canvas = key, start(c, i)
+            add(canvas, c, i)
+    if canvas is not None:
+        yield pa.RecordBatch.from_pylist([*held, row(at, canvas)], schema)
 
 
 def _painter(keys: list[str], block: int, schema: pa.Schema) -> Callable:
+    def start(c: dict, i: int) -> Canvas:
+        return Canvas({k: c[f"g_{k}"][i] for k in ("west", "north", "xres", "yres", "width", "height")}, c["block_row"][i], c["block_col"][i], block)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = canvas = None
-        for key, c, i in _runs(keys, batches, NESTED):
-            t, bands = _tile(c, i)
-            if key != at:
-                if canvas is not None:
-                    yield _state(keys, at, canvas, schema)
-                at, canvas = key, Canvas({k: t[f"g_{k}"] for k in ("west", "north", "xres", "yres", "width", "height")}, t["block_row"], t["block_col"], block)
-            paint(canvas, t, bands)
-        if canvas is not None:
-            yield _state(keys, at, canvas, schema)
+        return _blocks(keys, schema, batches, start, lambda canvas, c, i: paint(canvas, *_tile(c, i)))
     return run
 
 
 def _merger(keys: list[str], schema: pa.Schema) -> Callable:
+    def start(c: dict, i: int) -> Canvas:
+        return Canvas({"width": c["bw"][i], "height": c["bh"][i]}, 0, 0, max(c["bw"][i], c["bh"][i]))
+
+    def add(canvas: Canvas, c: dict, i: int) -> None:
+        if c["n_bands"][i]:
+            shape = (c["bh"][i], c["bw"][i])
+            canvas.merge(_bands(c["data"][i], c["n_bands"][i], *shape), np.frombuffer(c["depth"][i], np.float32).reshape(shape), np.frombuffer(c["ord"][i], np.int64).reshape(shape))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = canvas = None
-        for key, c, i in _runs(keys, batches, ()):
-            p = {k: v[i] for k, v in c["plain"].items()}
-            if key != at:
-                if canvas is not None:
-                    yield _state(keys, at, canvas, schema)
-                at, canvas = key, Canvas({"width": p["bw"], "height": p["bh"]}, 0, 0, max(p["bw"], p["bh"]))
-            if p["n_bands"]:
-                canvas.take(_bands(p["data"], p["n_bands"], p["bh"], p["bw"]), np.frombuffer(p["depth"], np.float32).reshape(p["bh"], p["bw"]), np.frombuffer(p["ord"], np.int64).reshape(p["bh"], p["bw"]))
-        if canvas is not None:
-            yield _state(keys, at, canvas, schema)
+        return _blocks(keys, schema, batches, start, add)
     return run
 
 
-def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of a key together and sorted; as many partitions as there are, since a row here is much work."""
+def dealt(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Rows of a key together and sorted, by ``order`` inside; as many partitions as there are, since a row here is much work."""
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys).sortWithinPartitions(*keys)
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
 
 
 def with_blocks(pairs: DataFrame, block: int) -> DataFrame:
@@ -331,7 +356,7 @@ def render_blocks(pairs: DataFrame, keys: list[str], block: int = 1024, rasters:
     rows = rows.select(*at, F.pmod(F.xxhash64("item_id"), shares).cast("int").alias("_share"), *plain, *NESTED, *[F.col(f"_fp.{s}").alias(s) for s in ("west", "south", "east", "north")])
     types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in at)
     by = [*at, "_share"]
-    parts = dealt(rows, by).mapInArrow(_painter(by, block, _arrow(rows, by)), f"{types}, _share int, {STATE}")
+    parts = dealt(rows, by, "item_ord").mapInArrow(_painter(by, block, _arrow(rows, by)), f"{types}, _share int, {STATE}")
     return dealt(parts.drop("_share"), at).mapInArrow(_merger(at, _arrow(rows, at)), f"{types}, {STATE}")
 
 
@@ -369,10 +394,9 @@ def block_sums(blocks: DataFrame, keys: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sums = []
-            for i in range(b.num_rows):
-                n, h, w = (b.column(k)[i].as_py() for k in ("n_bands", "bh", "bw"))
-                on = np.frombuffer(b.column("ord")[i].as_py(), np.int64).reshape(h, w) != UNSET
-                sums.append(int(np.rint(_bands(b.column("data")[i].as_py(), n, h, w)[:, on]).sum()) if n else 0)
+            for n, h, w, order, data in zip(*[b.column(k).to_pylist() for k in ("n_bands", "bh", "bw", "ord", "data")]):
+                on = np.frombuffer(order, np.int64).reshape(h, w) != UNSET
+                sums.append(int(np.rint(_bands(data, n, h, w)[:, on]).sum()) if n else 0)
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], b.column("filled"), pa.array(sums, pa.int64())], names=[*keys, "filled", "sum_v"])
     part = blocks.select(*keys, "bh", "bw", "n_bands", "filled", "data", "ord").mapInArrow(run, f"{types}, filled bigint, sum_v bigint")
     return part.groupBy(*keys).agg(F.sum("filled").alias("filled"), F.sum("sum_v").alias("sum_v"))
