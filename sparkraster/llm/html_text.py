@@ -30,11 +30,13 @@ from sparkraster.llm.common import table
 
 SAMPLE, KEEP = 60, 0.5
 
-HIDDEN = frozenset("head script style template noscript svg math iframe object canvas audio video select textarea button datalist map".split())
+HIDDEN = frozenset("head script style template noscript svg iframe object canvas audio video select textarea button datalist map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Start tags that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
+#: Elements that stand apart; any other tag, unknown ones too, is part of the line it stands in.
+BLOCKS = ENDS_P | frozenset("tr td th thead tbody tfoot caption legend summary title frameset noframes".split())
 #: A start tag ends an open element of these kinds, up to the nearest element of the second kinds.
 ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
         "tbody": (("thead", "tbody"), ("table",)), "tfoot": (("thead", "tbody"), ("table",))}
@@ -72,12 +74,21 @@ class Dom(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("body", frozenset(), None)
-        self.nodes, self.open, self.hidden, self.links, self.run = [self.root], [("body", self.root)], 0, 0, None
+        self.nodes, self.open, self.hidden, self.links, self.run = [self.root], [], 0, 0, None
+        self.places: dict[str, list[int]] = {}  # where elements of each tag stand among the open ones, so no tag has to walk through them
+        self.blocks = [-1]
+        self.push("body", self.root)
+
+    def push(self, tag, node):
+        self.places.setdefault(tag, []).append(len(self.open))
+        if node is not None:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, node))
 
     def handle_starttag(self, tag, attrs):
         if tag in HIDDEN:
             self.hidden += 1
-            self.open.append((tag, None))
+            self.push(tag, None)
             return
         if tag in VOID:
             if tag in ("br", "hr") and not self.hidden:
@@ -87,19 +98,22 @@ class Dom(HTMLParser):
             return
         if self.hidden and self.open[-1][0] == "head":  # a head that was never closed
             self.pop(len(self.open) - 1)
+        if self.hidden:  # nothing inside a hidden element is part of the page
+            self.push(tag, None)
+            return
         if tag in ENDS_P:
             self.end_open(("p",), ("article", "table", "td", "button"))
         if tag in ENDS:
             self.end_open(*ENDS[tag])
-        if tag in INLINE:
+        if tag not in BLOCKS:
             self.links += tag == "a"
-            self.open.append((tag, None))
+            self.push(tag, None)
             return
         clues = frozenset(CLUE_OF[w] for k, v in attrs if v and k in ("class", "id", "role", "itemprop") for x in v.lower().split() for w in {x, *re.split(r"[-_\d]+", x)} if w in CLUE_OF)
         node = Node(tag, clues, self.block())
         node.parent.children.append(node)
         self.nodes.append(node)
-        self.open.append((tag, node))
+        self.push(tag, node)
         self.run = None
 
     def handle_startendtag(self, tag, attrs):
@@ -107,30 +121,37 @@ class Dom(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def parse_marked_section(self, i, report=1):
+        """A marked section is a comment up to its first >, whatever its keyword."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
     def block(self) -> Node:
-        return next(n for _, n in reversed(self.open) if n is not None)
+        return self.open[self.blocks[-1]][1]
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
     def end_open(self, kinds, within):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] in kinds:
-                return self.pop(i)
-            if self.open[i][0] in within:
-                return None
+        i = self.last(kinds)
+        if i > self.last(within):
+            self.pop(i)
 
     def pop(self, i):
-        for tag, node in self.open[i:]:
+        for tag, node in reversed(self.open[i:]):
+            self.places[tag].pop()
             self.hidden -= tag in HIDDEN
-            self.links -= tag == "a"
             if node is not None:
                 self.run = None
+                self.blocks.pop()
+            else:
+                self.links -= tag == "a" and not self.hidden
         del self.open[i:]
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                return self.pop(i)
-            if tag in INLINE and self.open[i][1] is not None:  # an inline end tag reaches no further than its block
-                return None
+        i = self.last((tag,))
+        if i and (tag in BLOCKS or tag in HIDDEN or i > self.blocks[-1]):  # an inline end tag reaches no further than its block
+            self.pop(i)
 
     def handle_data(self, data):
         if self.hidden:
@@ -324,8 +345,13 @@ def training_pages(pages: DataFrame, most: int = SAMPLE) -> list[str]:
     """About ``most`` pages of moderate length by a hash of page_id, from all of the table."""
     short = pages.filter("html is not null and length(html) between 200 and 20000").select("page_id", "html")
     n = short.count()
-    picked = short.filter(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < min(1 << 20, (most << 20) // max(1, n))).orderBy("page_id")
-    return [r["html"] for r in picked.collect()]
+    h = F.xxhash64("page_id")  # 62 bits of it, so that the share stays above 0 for any number of pages
+    place = F.shiftleft(F.pmod(h, F.lit(1 << 20)), 42) + F.pmod(F.shiftrightunsigned(h, 20), F.lit(1 << 42))
+    picked = short.filter(place < min(1 << 62, (most << 62) // max(1, n))).orderBy("page_id")
+    out = [r["html"] for r in picked.collect()]
+    if n and not out:
+        raise ValueError(f"none of {n} pages was picked for training")
+    return out
 
 
 def extract(pages: DataFrame, model: Model) -> DataFrame:

@@ -7,8 +7,8 @@ lists (archive, offset, length, uri, type, digest) of each in a sidecar index. `
 index row points to.
 
 Nulls: a null html is an empty payload, a null url an empty target. Empty payloads are records too. Equal payloads of at least
-``least`` bytes are one response (that of the largest id) and revisits without a block; which of two rows with one id is the
-response is told by a hash of the url. A truncated or damaged archive raises in ``normalise``; an empty one has no records.
+``least`` bytes are one response (that of the largest id) and revisits without a block; rows with a null id revisit it too, and are responses only
+if none of the rows has an id. Rows that share the largest id are all responses. Ids of any size come back exactly. A truncated or damaged archive raises in ``normalise``; an empty one has no records.
 """
 from __future__ import annotations
 
@@ -36,10 +36,10 @@ def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, payload, digest and refers_to (the response's page_id for revisits) of every page."""
     p = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     p = p.withColumn("digest", F.sha1("payload"))
-    slim = p.filter((F.length("payload") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
-    twice = cut_lineage(slim.filter("n > 1").select("digest", "kept"), "repeated-payloads")
+    slim = p.filter(F.length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
+    twice = cut_lineage(slim.filter("n > 1 and kept is not null").select("digest", "kept"), "repeated-payloads")
     p = p.join(small(twice), "digest", "left")
-    return p.withColumn("refers_to", F.when(F.col("kept") != F.col("page_id"), F.col("kept"))).drop("kept")
+    return p.withColumn("refers_to", F.when(~F.col("kept").eqNullSafe(F.col("page_id")), F.col("kept"))).drop("kept")
 
 
 def record_bytes(page_id, url: str, payload: bytes, digest: str, refers_to) -> bytes:
@@ -68,7 +68,7 @@ def write_monolithic(decided: DataFrame, archive_bytes: int = ARCHIVE_BYTES) ->
             for r in b.itertuples(index=False):
                 if z is None:
                     name, z, out, size = f"pages-{uuid5(NAMESPACE_URL, f'{r.page_id}:{r.url}')}.warc.gz", zlib.compressobj(1, zlib.DEFLATED, 31), [], 0
-                raw = record_bytes(None if pd.isna(r.page_id) else int(r.page_id), r.url, bytes(r.payload), r.digest, None if pd.isna(r.refers_to) else int(r.refers_to))
+                raw = record_bytes(r.page_id, r.url, bytes(r.payload), r.digest, r.refers_to)
                 out.append(z.compress(raw))
                 size += len(raw)
                 if size >= archive_bytes:
@@ -76,7 +76,8 @@ def write_monolithic(decided: DataFrame, archive_bytes: int = ARCHIVE_BYTES) ->
                     z = None
         if z is not None:
             yield pd.DataFrame({"archive": [name], "content": [b"".join(out) + z.flush()]})
-    return decided.select("page_id", "url", "payload", "digest", "refers_to").mapInPandas(pack, ARCHIVES)
+    # Ids travel as text: pandas would turn whole numbers beside nulls into floats.
+    return decided.select(F.col("page_id").cast("string"), "url", "payload", "digest", F.col("refers_to").cast("string")).mapInPandas(pack, ARCHIVES)
 
 
 def inflate_records(content: bytes) -> Iterator[bytes]:
@@ -155,7 +156,9 @@ def read_members(normalised: DataFrame) -> DataFrame:
                     full = h["warc-type"] == "response"
                     rows.append((int(h["x-page-id"]) if h["x-page-id"] else None, h["warc-target-uri"], len(body) if full else int(h["x-payload-length"]),
                                  sha1(body).hexdigest() if full else h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], int(h["x-refers-to-page"]) if "x-refers-to-page" in h else None))
-                yield pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                cols = dict(zip(["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"], map(list, zip(*rows)))) if rows else {}
+                if cols:
+                    yield pd.DataFrame(cols | {k: pd.array(cols[k], "Int64") for k in ("page_id", "refers_to")})
     return normalised.mapInPandas(one, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
@@ -171,6 +174,6 @@ d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS s FROM p),
 k AS (SELECT s, max(page_id) AS kept FROM d WHERE n >= 1000 GROUP BY s)
 SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.s AS payload_digest,
        CASE WHEN k.kept IS NULL OR k.kept = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN k.kept <> d.page_id THEN k.kept END AS refers_to
+       CASE WHEN k.kept IS DISTINCT FROM d.page_id THEN k.kept END AS refers_to
 FROM d LEFT JOIN k ON d.s = k.s
 """

@@ -1,6 +1,7 @@
 """Page text, URL rules and trees, WARC archives."""
 import gzip
 import re
+import time
 import zlib
 from hashlib import sha1
 
@@ -174,3 +175,33 @@ def test_damaged_and_mixed_streams():
     assert list(warc.inflate_records(b"")) == []
     with pytest.raises((ValueError, zlib.error)):
         list(warc.inflate_records(gzip.compress(raw + raw[:-10])))
+
+
+def blocks_of(html):
+    return [n.text for n in html_text.parse(html) if n.tag == "#text" and n.text]
+
+
+def test_pages_with_odd_markup_are_read():
+    assert blocks_of("<p>a</p><![foo[bar]]><p>b</p>") == ["a", "b"]
+    assert blocks_of("<p>x</p><![if !IE]><p>y</p><![endif]>") == ["x", "y"]
+    assert blocks_of("<p>the value <math><mi>x</mi></math> holds") == ["the value x holds"]
+    assert blocks_of("<p>press <svg><path/><g><title>t</title></g></svg> now</p>") == ["press now"]
+    assert blocks_of("<p>an <x-icon>odd</x-icon> <nobr>tag</nobr> and <output>out</output></p><div>next</div>") == ["an odd tag and out", "next"]
+    assert blocks_of("<div><a>in<p>par</b></div>after</i>") == ["in", "par", "after"]
+
+
+@pytest.mark.parametrize("html", ["<div>" * 20000 + "x", "<i>b</b>" * 20000, "<p><table><td>" + "<div>" * 20000 + "y", "<b><div>" + "<i></b>" * 20000 + "z", "<a>" * 20000 + "w"])
+def test_deep_pages_take_linear_time(html):
+    t = time.time()
+    d = html_text.Dom()
+    d.feed(html)
+    d.close()
+    assert time.time() - t < 3 and len(d.nodes) > 1
+
+
+def test_ids_beyond_doubles_and_null_ids_come_back(spark):
+    big = "long enough " * 200
+    rows = [(9007199254740993, "u", big), (9007199254740995, "v", big), (None, "w", big), (9223372036854775807, "x", "short"), (None, None, None), (7, "y", "only nulls " * 200), (None, "z", "no id " * 300), (None, "z", "no id " * 300)]
+    got = warc.read_members(warc.normalise(warc.write_monolithic(warc.decide(pages(spark, rows))))).select("page_id", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(9007199254740993, "revisit", 9007199254740995), (9007199254740995, "response", None), (None, "revisit", 9007199254740995), (9223372036854775807, "response", None),
+                                                       (None, "response", None), (7, "response", None), (None, "response", None), (None, "response", None)], key=str)
