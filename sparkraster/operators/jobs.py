@@ -1,7 +1,7 @@
 """Job, layer, tile and log analytics."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import bucketed_lag, bucketed_row_number, top_k
@@ -124,14 +124,27 @@ def unique_names(files: DataFrame, key: str, name: str, ord_: str, bucket: int =
 
     Numbers that some file already carries literally are passed over, so no made name meets a given one.
     """
-    ranked = bucketed_row_number(files, [key, name], [F.col(ord_)], F.floor(F.col(ord_) / bucket), "_rn")
+    at = [key, name]
+    ranked = bucketed_row_number(files, at, [F.col(ord_)], F.floor(F.col(ord_) / bucket), "_rn")
     pat = r"^([^.]*) \((\d+)\)(\..*)?$"
-    lit = (files.filter(F.col(name).rlike(pat)).select(key, F.regexp_replace(name, pat, "$1$3").alias("_base"), F.regexp_extract(name, pat, 2).cast("long").alias("_j"))
-           .distinct().groupBy(key, "_base").agg(F.array_sort(F.collect_list("_j")).alias("_taken")))
-    j = ranked.join(lit.withColumnRenamed("_base", name), [key, name], "left")
-    num = F.expr("aggregate(coalesce(_taken, array()), bigint(_rn), (n, t) -> if(t >= 2 AND t <= n, n + 1, n))")
+    lit = (files.filter(F.col(name).rlike(pat)).select(key, F.regexp_replace(name, pat, "$1$3").alias(name), F.regexp_extract(name, pat, 2).cast("long").alias("_j")).filter("_j >= 2").distinct())
+    # The k-th taken number t pushes up every rank from t - (k - 1) on; numbers in a row push from the same rank, as one island.
+    lit = bucketed_row_number(lit, at, [F.col("_j")], F.floor(F.col("_j") / bucket), "_k").withColumn("_rn", F.col("_j") - F.col("_k") + 1)
+    islands = lit.groupBy(*at, "_rn").agg(F.max("_k").alias("_k"))
+    rows = (ranked.withColumn("_k", F.lit(0).cast("long")).withColumn("_own", F.lit(1)).unionByName(islands.withColumn("_own", F.lit(0)), allowMissingColumns=True)
+            .withColumn("_b", F.floor(F.col("_rn") / bucket)))
+    before = (rows.filter("_own = 0").groupBy(*at, "_b").agg(F.max("_k").alias("_m"))
+              .withColumn("_to", F.lead("_b").over(Window.partitionBy(*at).orderBy("_b"))))
+    # Buckets without islands of their own take what the last bucket with islands left: they lie in its range.
+    last = before.select(*at, F.col("_b").alias("_from"), "_to", "_m")
+    local = F.max("_k").over(Window.partitionBy(*at, "_b").orderBy("_rn", "_own"))
+    rows = rows.withColumn("_k", local).filter("_own = 1")
+    starts = rows.select(*at, "_b").distinct().join(last, at).filter("_b > _from AND (_to IS NULL OR _b <= _to)").select(*at, "_b", "_m")
+    rows = rows.join(starts, [*at, "_b"], "left")
+    num = F.col("_rn") + F.greatest(F.col("_k"), F.coalesce("_m", F.lit(0)))
     stem, ext = F.regexp_extract(name, r"^([^.]*)", 1), F.regexp_extract(name, r"^[^.]*(.*)$", 1)
-    return j.withColumn("unique_name", F.when(F.col("_rn") == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), num.cast("string"), F.lit(")"), ext))).drop("_rn", "_taken")
+    return (rows.withColumn("unique_name", F.when(F.col("_rn") == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), num.cast("string"), F.lit(")"), ext)))
+            .select(*files.columns, "unique_name"))
 
 
 def retry_plan(attempts: DataFrame) -> DataFrame:

@@ -369,7 +369,7 @@ def block_pixels(blocks: DataFrame, keys: list[str], block: int, bands: list[str
     """One row per filled pixel: keys, py, px, one column per band (doubles for one band, whole numbers for three), and the order of its raster."""
     kinds = "double" if len(bands) == 1 else "int"
     names = [*keys, "block_row", "block_col", "bh", "bw", "n_bands", "data", "ord"]
-    types = ", ".join(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys)
+    types = "".join(f"{k} {blocks.schema[k].dataType.simpleString()}, " for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -384,12 +384,12 @@ def block_pixels(blocks: DataFrame, keys: list[str], block: int, bands: list[str
                 cols += [pa.array((y + r["block_row"] * block).astype(np.int32)), pa.array((x + r["block_col"] * block).astype(np.int32))]
                 cols += [pa.array(d[y, x] if kinds == "double" else d[y, x].astype(np.int32)) for d in data]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(order[y, x])], names=[*keys, "py", "px", *bands, "item_ord"])
-    return blocks.select(*names).mapInArrow(run, f"{types}, py int, px int, " + ", ".join(f"{n} {kinds}" for n in bands) + ", item_ord bigint")
+    return blocks.select(*names).mapInArrow(run, f"{types}py int, px int, " + ", ".join(f"{n} {kinds}" for n in bands) + ", item_ord bigint")
 
 
 def block_sums(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """keys -> filled pixels and the sum of values rounded to whole numbers (over all bands), from the arrays themselves."""
-    types = ", ".join(f"{k} {blocks.schema[k].dataType.simpleString()}" for k in keys)
+    types = "".join(f"{k} {blocks.schema[k].dataType.simpleString()}, " for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -398,5 +398,5 @@ def block_sums(blocks: DataFrame, keys: list[str]) -> DataFrame:
                 on = np.frombuffer(order, np.int64).reshape(h, w) != UNSET
                 sums.append(int(np.rint(_bands(data, n, h, w)[:, on]).sum()) if n else 0)
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], b.column("filled"), pa.array(sums, pa.int64())], names=[*keys, "filled", "sum_v"])
-    part = blocks.select(*keys, "bh", "bw", "n_bands", "filled", "data", "ord").mapInArrow(run, f"{types}, filled bigint, sum_v bigint")
+    part = blocks.select(*keys, "bh", "bw", "n_bands", "filled", "data", "ord").mapInArrow(run, f"{types}filled bigint, sum_v bigint")
     return part.groupBy(*keys).agg(F.sum("filled").alias("filled"), F.sum("sum_v").alias("sum_v"))

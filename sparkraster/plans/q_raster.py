@@ -205,16 +205,21 @@ def _half(e):
     return e.replace("{H}", "20037508.342789244::DOUBLE").replace("{R}", "(2*20037508.342789244::DOUBLE/(256*64))")
 
 
-@query("s34_web_tile_pyramid", "WITH " + ELEV_CTE + _half(""",
+def web_base_sql():
+    """m: the finest zoom of the chips' web pyramid (gy, gx, v)."""
+    return _half(""",
 y AS (SELECT *, unnest(range(greatest(0,CAST(floor(({H}-asinh(tan(radians(f)))*{H}/pi())/{R}) AS BIGINT)), CAST(ceil(({H}-asinh(tan(radians(f+e*8)))*{H}/pi())/{R}) AS BIGINT))) AS gy FROM elev),
 x AS (SELECT *, unnest(range(greatest(0,CAST(floor((c*{H}/180+{H})/{R}) AS BIGINT)), CAST(ceil(((c+a*8)*{H}/180+{H})/{R}) AS BIGINT))) AS gx FROM y),
 l AS (SELECT *, ((gx+0.5::DOUBLE)*{R}-{H})*180/{H} AS lon, degrees(atan(sinh(({H}-(gy+0.5::DOUBLE)*{R})*pi()/{H}))) AS lat FROM x),
 s AS (SELECT *, (lon-c)/a AS fcol, (lat-f)/e AS frow FROM l),
 v AS (SELECT *, z[CAST(floor(frow) AS BIGINT)*8+CAST(floor(fcol) AS BIGINT)+1] AS v, CAST(least(least(lon-west,east-lon)/(east-west), least(lat-south,north-lat)/(north-south)) AS FLOAT) AS depth
  FROM s WHERE fcol>=0 AND fcol<8 AND frow>=0 AND frow<8),
-m AS (SELECT gy, gx, arg_max(v, {'d': depth, 'o': -item_ord}) AS v FROM v WHERE v<>-32767 GROUP BY 1,2),
+m AS (SELECT gy, gx, arg_max(v, {'d': depth, 'o': -item_ord}) AS v FROM v WHERE v<>-32767 GROUP BY 1,2)""")
+
+
+@query("s34_web_tile_pyramid", "WITH " + ELEV_CTE + web_base_sql() + """,
 m1 AS (SELECT gy//2 AS gy, gx//2 AS gx, avg(v) AS v FROM m GROUP BY 1,2)
-SELECT z, CAST(gx//256 AS INT) AS x, CAST(gy//256 AS INT) AS y, count(*) AS valid, round(sum(v),2) AS total FROM (SELECT 6 AS z, * FROM m UNION ALL SELECT 5, * FROM m1) GROUP BY 1,2,3"""))
+SELECT z, CAST(gx//256 AS INT) AS x, CAST(gy//256 AS INT) AS y, count(*) AS valid, round(sum(v),2) AS total FROM (SELECT 6 AS z, * FROM m UNION ALL SELECT 5, * FROM m1) GROUP BY 1,2,3""")
 def s34(spark, sf):
     px6 = rs.web_tiles(spread(elevation_chips(spark, sf)), 6).filter("v <> -32767")
     m = mo.composite(mo.with_depth(px6).selectExpr("item_id", "item_ord", "gy AS py", "gx AS px", "v", "depth"), [])
