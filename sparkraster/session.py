@@ -48,7 +48,19 @@ def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
     """
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def drop_written(*tables: DataFrame | None) -> None:
+    """Delete tables of ``cut_lineage`` once their successors are written; nothing may read them later. Other DataFrames are left alone."""
+    for t in tables:
+        path = getattr(t, "_written_to", None)
+        if path is not None:
+            sc = t.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def deal(df: DataFrame, *keys: str) -> DataFrame:
