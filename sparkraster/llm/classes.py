@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkraster.session import cut_lineage
+from sparkraster.session import cut_lineage, drop_written
 
 
 BROADCAST_ROWS = 1_000_000
@@ -36,24 +36,29 @@ def components(links: DataFrame) -> DataFrame:
         hook = cut_lineage(e.groupBy("v").agg(F.min("u").alias("p")), "hooks")
         while True:
             up = hook.select(F.col("v").alias("p"), F.col("p").alias("g"))
-            hook = cut_lineage(hook.join(up, "p", "left").select("v", F.coalesce("g", "p").alias("p"), F.col("g").isNotNull().alias("moved")), "hooks")
-            moved, hook = hook.filter("moved").isEmpty(), hook.drop("moved")
-            if moved:
+            step = cut_lineage(hook.select("v", "p").join(up, "p", "left").select("v", F.coalesce("g", "p").alias("p"), F.col("g").isNotNull().alias("moved")), "hooks")
+            drop_written(hook)
+            hook = step
+            if hook.filter("moved").isEmpty():
                 break
         if out is None:
-            out = hook
+            grown = cut_lineage(hook.select("v", "p"), "roots")
         else:
             nxt = hook.select(F.col("v").alias("p"), F.col("p").alias("g"))
-            out = cut_lineage(out.join(nxt, "p", "left").select("v", F.coalesce("g", "p").alias("p")).union(hook), "roots")
+            grown = cut_lineage(out.join(nxt, "p", "left").select("v", F.coalesce("g", "p").alias("p")).union(hook.select("v", "p")), "roots")
         hv, hu = hook.select("v", F.col("p").alias("rv")), hook.select(F.col("v").alias("u"), F.col("p").alias("ru"))
-        e = (e.join(hv, "v", "left").join(hu, "u", "left")
-             .select(F.coalesce("rv", "v").alias("x"), F.coalesce("ru", "u").alias("y")).filter("x <> y")
-             .select(F.greatest("x", "y").alias("v"), F.least("x", "y").alias("u")).distinct())
-        e = cut_lineage(e, "links")
+        left = (e.join(hv, "v", "left").join(hu, "u", "left")
+                .select(F.coalesce("rv", "v").alias("x"), F.coalesce("ru", "u").alias("y")).filter("x <> y")
+                .select(F.greatest("x", "y").alias("v"), F.least("x", "y").alias("u")).distinct())
+        left = cut_lineage(left, "links")
+        drop_written(e, hook, out)
+        e, out = left, grown
     if out is None:
         return e.select(F.col("v").alias("id"), F.col("u").alias("root"))
     roots = out.select(F.col("p").alias("id"), F.col("p").alias("root")).distinct()
-    return cut_lineage(out.select(F.col("v").alias("id"), F.col("p").alias("root")).union(roots).distinct(), "roots")
+    done = cut_lineage(out.select(F.col("v").alias("id"), F.col("p").alias("root")).union(roots).distinct(), "roots")
+    drop_written(e, out)
+    return done
 
 
 def linked_classes(members: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame, DataFrame, Callable[[str, str], Column], Callable[[DataFrame], DataFrame]]]) -> DataFrame:
@@ -66,7 +71,9 @@ def linked_classes(members: DataFrame, prepare: Callable[[DataFrame], tuple[Data
     one nearest to all. Which one it is decides how many checks are made, not what they find.
     """
     seen = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("mates")).filter("mates > 1"), "buckets")
-    live = cut_lineage(members.join(small(seen), "bucket").select("bucket", "id", "mates").distinct(), "members")
+    first = cut_lineage(members.join(small(seen), "bucket").select("bucket", "id", "mates").distinct(), "members")
+    drop_written(seen)
+    live = first
     traits, marks, may, verify = prepare(cut_lineage(live.select("id").distinct(), "mates"))
     crowd = live.filter("mates > 4").select("id").distinct()
     marks = marks.join(crowd, "id", "left_semi")
@@ -74,13 +81,14 @@ def linked_classes(members: DataFrame, prepare: Callable[[DataFrame], tuple[Data
     reps = (live.join(small(degree), "id", "left").groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), (-F.col("id")).alias("i"))).alias("m"))
             .select("bucket", (-F.col("m.i")).alias("rep")))
     live = cut_lineage(live.drop("mates").join(reps, "bucket").withColumn("done", F.lit(False)), "members")
+    drop_written(first, degree)
     named = traits.columns[1:]
     side = {s: traits.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in named]) for s in "ab"}
     pairs = live.filter("id <> rep").select(F.least("rep", "id").alias("a"), F.greatest("rep", "id").alias("b")).distinct()
     pairs = pairs.join(side["b"], "b").join(side["a"], "a").filter(may("a_", "b_")).select("a", "b")
     links = cut_lineage(verify(pairs).select("a", "b"), "verified")
     roots = components(links)
-    pivots = 8
+    pivots, written = 8, live
     while True:
         of = small(roots)
         live = (live.drop("root").join(of.select("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -89,7 +97,10 @@ def linked_classes(members: DataFrame, prepare: Callable[[DataFrame], tuple[Data
         live = cut_lineage(live.join(todo, "bucket").withColumn(
             "pivot", F.expr(f"root <> main and not done and pmod(xxhash64(id, bucket, {pivots}), cast(ceil(others / {pivots}) as bigint)) = 0"))
             .drop("main", "others"), "members")
+        drop_written(written)
+        written = live
         if live.isEmpty():
+            drop_written(written)
             return roots
         full = live.join(traits, "id")
         p = full.filter("pivot").select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"), *[F.col(c).alias(f"a_{c}") for c in named])
@@ -98,7 +109,10 @@ def linked_classes(members: DataFrame, prepare: Callable[[DataFrame], tuple[Data
                  .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct())
         new = cut_lineage(verify(pairs).select("a", "b"), "verified")
         live = live.withColumn("done", F.expr("done or pivot")).drop("pivot")
-        if not new.isEmpty():
+        if new.isEmpty():
+            drop_written(new)
+        else:
             links = links.union(new)
-            roots = components(links)
+            old, roots = roots, components(links)
+            drop_written(old)
         pivots *= 8

@@ -24,7 +24,7 @@ from sparkraster.llm.classes import linked_classes, small
 from sparkraster.llm.common import table, words
 from sparkraster.session import cut_lineage
 
-KMER, SKETCHES, PICKED, SIMILARITY, MAP_WORDS, MARKS = 5, 10, 3, 0.8, 16, 64
+KMER, SKETCHES, PICKED, SIMILARITY, MAP_WORDS, MARKS = 5, 10, 3, 0.8, 16, 12
 
 
 def word_hashes(text: Column) -> Column:
