@@ -75,13 +75,14 @@ def a19(spark, sf):
 @query("r21_unconverted_layers", ctes("aoi") + ", " + ELEV_CTE + """,
 k AS (SELECT o.aoi_id, least(8,ceil((o.east-c.c)/a))-greatest(0,floor((o.west-c.c)/a)) AS w, least(8,ceil((o.south-f)/e))-greatest(0,floor((o.north-f)/e)) AS h FROM aoi o JOIN elev c ON NOT (c.east<=o.west OR c.west>=o.east OR c.north<=o.south OR c.south>=o.north)),
 g AS (SELECT aoi_id, count(*) FILTER (w*h>=6) AS n, count(*) FILTER (w*h<6) AS s, sum(CASE WHEN w*h>=6 THEN w*h*4/1e3 ELSE 0 END) AS mb FROM k WHERE w>=1 AND h>=1 GROUP BY 1)
-SELECT aoi_id, CASE WHEN n>0 THEN 'ok' ELSE 'empty' END AS status, n AS n_files, s AS n_skipped, CAST(round_even(round(mb,6),2) AS DOUBLE) AS size_mb FROM g""")
+SELECT aoi_id, CASE WHEN n>0 THEN 'ok' ELSE 'empty' END AS status, n AS n_files, s AS n_skipped, CAST(round_even(round(mb,6),2) AS DOUBLE) AS size_mb,
+ CASE WHEN n>0 THEN concat(CAST(n AS STRING),' file(s) cut to the area',CASE WHEN s>0 THEN concat(' (',CAST(s AS STRING),' input(s) had nothing inside the area)') ELSE '' END) END AS summary FROM g""")
 def r21(spark, sf):
     chips = elevation_chips(spark, sf).withColumnRenamed("bbox", "item_bbox").drop("z", "layer", "item_ord")
     areas = spread(derived(spark, sf, "aoi").select("aoi_id", F.col("bbox").alias("aoi_bbox")))
     win = rs.clip_window(rect_join(areas, chips, "aoi_bbox", "item_bbox")).selectExpr("aoi_id", "(c1 - c0) * (r1 - r0) AS n")
     files = win.selectExpr("aoi_id", "n * 4 / 1e3D AS size_mb", "n < 6 AS skipped")
-    return jb.unconverted_summary(files, "aoi_id", "cut to the area").drop("summary")
+    return jb.unconverted_summary(files, "aoi_id", "cut to the area")
 
 
 @query("w03_layer_order", ctes("requests") + " SELECT aoi_id, job_id, row_number() OVER (PARTITION BY aoi_id ORDER BY res_m DESC, job_id) AS position FROM requests WHERE res_m>0")

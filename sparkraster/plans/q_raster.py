@@ -192,6 +192,20 @@ def r16(spark, sf):
     return w.selectExpr("aoi_id", "item_id", "c0", "r0", "c1 - c0 AS width", "r1 - r0 AS height")
 
 
+@query("r16_clipped_pixels", ctes("aoi") + ", " + ELEV_CTE + """,
+k AS (SELECT o.aoi_id, c.*, CAST(greatest(0,floor((o.west-c.c)/a)) AS BIGINT) AS c0, CAST(greatest(0,floor((o.north-f)/e)) AS BIGINT) AS r0, CAST(least(8,ceil((o.east-c.c)/a)) AS BIGINT) AS c1, CAST(least(8,ceil((o.south-f)/e)) AS BIGINT) AS r1
+ FROM aoi o JOIN elev c ON NOT (c.east<=o.west OR c.west>=o.east OR c.north<=o.south OR c.south>=o.north)),
+u AS (SELECT *, unnest(range(r0, r1)) AS r FROM k WHERE c1-c0>=1 AND r1-r0>=1), v AS (SELECT *, unnest(range(c0, c1)) AS q FROM u)
+SELECT aoi_id, item_id, CAST((r-r0)*(c1-c0)+q-c0 AS INT) AS i, round(z[r*8+q+1],6) AS v, round(c+c0*a,9) AS clip_c, round(f+r0*e,9) AS clip_f FROM v""")
+def r16_pixels(spark, sf):
+    """Every chip cut to every area it meets, pixel by pixel in its own projection."""
+    from ..operators.spatial_join import rect_join
+    chips = elevation_chips(spark, sf).withColumnRenamed("bbox", "item_bbox").drop("layer", "item_ord")
+    areas = spread(derived(spark, sf, "aoi").select("aoi_id", F.col("bbox").alias("aoi_bbox")))
+    hits = rs.clip_window(rect_join(areas, chips.drop("z"), "aoi_bbox", "item_bbox")).join(chips.select("item_id", "z"), "item_id")
+    return rs.clip_pixels(hits).selectExpr("aoi_id", "item_id", "posexplode(data) AS (i, v)", "round(clip_c, 9) AS clip_c", "round(clip_f, 9) AS clip_f").withColumn("v", F.round("v", 6))
+
+
 @query("h26_luminance_white", "WITH " + PAL_CTE + """
 SELECT item_id, round(sum(0.299::DOUBLE*r+0.587::DOUBLE*g+0.114::DOUBLE*b),3) AS lum, count(*) FILTER (least(r,g,b+150)>=100) AS whiteish FROM rgba GROUP BY 1""")
 def h26(spark, sf):

@@ -269,6 +269,30 @@ def s32(spark, sf):
     return library.original_files(mains, mains.unionByName(side))
 
 
+_PUBLISHED = _SCAN + """,
+tre AS (SELECT DISTINCT product_id, regexp_replace(regexp_extract(path,':([^:]*)$',1),'/[^/]*$','') AS t FROM keyed WHERE regexp_matches(path,'^(NITF|ECRG)_TOC_ENTRY:')),
+pub AS (SELECT product_id, f.path AS file, concat(string_split(t,'/')[-1], substr(f.path, length(t)+1)) AS as_name, true AS tree, f.length FROM tre JOIN files f ON f.folder=t OR starts_with(f.folder, concat(t,'/'))
+ UNION ALL SELECT product_id, f.path, f.name, false, f.length FROM (SELECT DISTINCT product_id, path FROM keyed) k JOIN files f ON f.path=k.path
+ UNION ALL SELECT product_id, g.path, g.name, false, g.length FROM (SELECT DISTINCT product_id, path FROM keyed) k JOIN files f ON f.path=k.path JOIN files g ON g.folder=f.folder AND g.name<>f.name AND starts_with(g.name, concat(regexp_replace(f.name,'\\.[^.]*$',''),'.'))
+ AND regexp_matches(lower(g.name), '\\.(tfw|tfwx|tifw|wld|jgw|j2w|pgw|prj|aux\\.xml|ovr|htm|html|xml|txt|rrd|msk|tab)$'))"""
+
+
+@query("s32_index_trees", _PUBLISHED + " SELECT DISTINCT product_id, file, as_name, tree FROM pub")
+def s32_trees(spark, sf):
+    """What each product hands over as published: trees below index files once, other files with their sidecars."""
+    items = library_items(spark, sf).select("product_id", "path")
+    return library.published_files(items, derived(spark, sf, "files"), "product_id").select("product_id", "file", "as_name", "tree")
+
+
+@query("r21_original_files", _PUBLISHED + """
+SELECT product_id, CASE WHEN tree THEN string_split(as_name,'/')[1] ELSE as_name END AS entry, tree, count(*) AS n_files, CAST(round_even(sum(length)/1e6,2) AS DOUBLE) AS size_mb FROM (SELECT DISTINCT * FROM pub) GROUP BY 1,2,3""")
+def r21_original(spark, sf):
+    """Layers of the original mode: one entry for a file or a whole tree, with its size."""
+    p = library.published_files(library_items(spark, sf).select("product_id", "path"), derived(spark, sf, "files"), "product_id")
+    entry = F.when(F.col("tree"), F.element_at(F.split("as_name", "/"), 1)).otherwise(F.col("as_name"))
+    return p.groupBy("product_id", entry.alias("entry"), "tree").agg(F.count("*").alias("n_files"), F.expr("bround(sum(length) / 1e6D, 2)").alias("size_mb"))
+
+
 @query("p20_file_facts", ctes("files") + """
 SELECT root AS tree, count(*) AS n_files, CAST(round_even(sum(length)/1e6,2) AS DOUBLE) AS size_mb FROM files GROUP BY 1""")
 def p20(spark, sf):
