@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkraster.llm.classes import linked_classes, small
-from sparkraster.llm.common import table, words
+from sparkraster.llm.common import table, unused, words
 from sparkraster.session import cut_lineage
 
 KMER, SKETCHES, PICKED, SIMILARITY, MAP_WORDS, MARKS = 5, 10, 3, 0.8, 16, 12
@@ -203,14 +203,15 @@ def document_classes(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each class, and all with a null text."""
+    of, key, rows = unused(docs, "stays_id", "stays_key", "stays_rows")
     c = cut_lineage(document_classes(docs.select("doc_id", "text")).filter("stays and key is not null")
-                    .groupBy("doc_id", "key").agg(F.count("*").alias("_rows")).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "_rows"), "stay")
+                    .groupBy("doc_id", "key").agg(F.count("*").alias(rows)).select(F.col("doc_id").alias(of), F.col("key").alias(key), rows), "stay")
     cols = [F.col(f"`{x}`") for x in docs.columns]
-    on = F.expr("doc_id <=> _d and md5(cast(text as binary)) = _k")
-    once, repeated = cut_lineage(c.filter("_rows = 1"), "stay-once"), cut_lineage(c.filter("_rows > 1"), "stay-repeated")
+    on = F.col("doc_id").eqNullSafe(F.col(of)) & (F.md5(F.col("text").cast("binary")) == F.col(key))
+    once, repeated = cut_lineage(c.filter(F.col(rows) == 1), "stay-once"), cut_lineage(c.filter(F.col(rows) > 1), "stay-repeated")
     kept = docs.join(small(once), on, "left_semi").union(docs.filter("text is null"))
     more = docs.join(small(repeated), on)
-    return kept.select(*cols).union(more.dropDuplicates(["_d", "_k"]).select(*cols))
+    return kept.select(*cols).union(more.dropDuplicates([of, key]).select(*cols))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkraster.llm.common import let, table
+from sparkraster.llm.common import let, table, unused
 
 KEY, ROUNDS, WALK = "change-me", 8, 128  # 2 in 5 days are before the 13th: a walk is longer once in 10^28 times
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 73,049 days, up to 2099-12-31
@@ -185,6 +185,16 @@ def parts_of(x: Column) -> Column:
     return F.when(other | ~x.rlike(r"^\d[\d -]*$"), F.array(F.struct(kind_of(x).alias("k"), x.alias("x")))).otherwise(card_parts(x))
 
 
+def permuted_ssn(d: Column, key: str) -> Column:
+    """Nine digits of a valid number of the same kind: the permutation is applied again while its result is no valid one, so valid
+    numbers are permuted among themselves. One in nine results is invalid; after 32 in a row, which no run will see, the last one stays.
+    """
+    def again(x: Column) -> Column:
+        return permuted_digits(x, "ssn", key)
+    bad = r"^(000|666|9\d\d)|^\d{3}00|0000$"
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), again(d), lambda x, _: F.when(x.rlike(bad), again(x)).otherwise(x))
+
+
 def pseudonym(kind: Column, x: Column, key: str) -> Column:
     big = F.lit(1 << 16).cast("long")
     ip = let(octets(x), lambda o: let(feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], big, big, "ip", key), lambda f: F.concat_ws(
@@ -196,20 +206,21 @@ def pseudonym(kind: Column, x: Column, key: str) -> Column:
     prefix = F.regexp_extract(x, r"^(\+\d{1,3}(?=[ .(-]))", 1)
     phone = let(prefix, lambda p: F.concat(p, let(F.substring(x, F.length(p) + 1, F.length(x)), lambda rest: refill(rest, permuted_digits(only_digits(rest), "phone", key)))))
     return (F.when(kind == "email", F.concat(F.lit("p"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(x)), 256), 1, 16), F.lit("@example.com")))
-            .when(kind == "ip", ip).when(kind == "date", date).when(kind == "ssn", refill(x, permuted_digits(only_digits(x), "ssn", key)))
+            .when(kind == "ip", ip).when(kind == "date", date).when(kind == "ssn", refill(x, permuted_ssn(only_digits(x), key)))
             .when(kind == "phone", phone).when(kind == "card", refill(x, card)).otherwise(x))
 
 
 def pseudonymise(docs: DataFrame, found: str = "pii_found", key: str = KEY) -> DataFrame:
     """``docs`` with pseudonyms in ``text`` and ``found``, the kinds of what was replaced, in text order."""
+    matches, parsed, new = unused(docs, "pii_matches", "pii_parts", "pii_new")
     any_ = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
-    d = docs.withColumn("_m", F.when(any_, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
-    d = d.withColumn("_k", F.transform("_m", parts_of))
-    d = d.withColumn("_new", F.transform("_k", lambda a: F.array_join(F.transform(a, lambda s: pseudonym(s["k"], s["x"], key)), "")))
+    d = docs.withColumn(matches, F.when(any_, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
+    d = d.withColumn(parsed, F.transform(matches, parts_of))
+    d = d.withColumn(new, F.transform(parsed, lambda a: F.array_join(F.transform(a, lambda s: pseudonym(s["k"], s["x"], key)), "")))
     parts = F.split("text", ANY, -1)
-    hit = F.size("_m") > 0  # null for texts that were not searched
-    joined = F.array_join(F.flatten(F.zip_with(parts, F.col("_new"), lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))), "")
-    kinds = F.filter(F.transform(F.flatten("_k"), lambda s: s["k"]), lambda k: k.isNotNull())
+    hit = F.size(matches) > 0  # null for texts that were not searched
+    joined = F.array_join(F.flatten(F.zip_with(parts, F.col(new), lambda p, n: F.array(p, F.coalesce(n, F.lit(""))))), "")
+    kinds = F.filter(F.transform(F.flatten(parsed), lambda s: s["k"]), lambda k: k.isNotNull())
     return (d.withColumn("text", F.when(hit, joined).otherwise(F.col("text")))
             .withColumn(found, F.coalesce(kinds, F.array().cast("array<string>"))).select(*[F.col(f"`{c}`") for c in docs.columns if c != found], found))
 
