@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkraster.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
-from sparkraster.llm.common import table
+from sparkraster.llm.common import table, unused
 from sparkraster.session import cut_lineage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The model learns from the labelled rows of the whole table, held-out rows excepted, and scores the documents given."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~toxicity.is_held_out(F.col("doc_id")))
-    return toxicity.score(docs, model, "_toxic").filter(F.col("_toxic") < toxicity.THRESHOLD).drop("_toxic")
+    (score,) = unused(docs, "toxic_score")
+    return toxicity.score(docs, model, score).filter(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
