@@ -42,6 +42,11 @@ def _rated(areas: DataFrame, key: str, rate: float | str) -> tuple[DataFrame, st
     return areas.select(key, F.lit("default").alias("speed_basis")), f"{rate}D"
 
 
+def _own_rate(rate: float | str) -> tuple[str, str]:
+    """The basis and the rate as SQL text, for estimates that read the areas' rows themselves."""
+    return ("speed_basis", rate) if isinstance(rate, str) else ("'default' AS speed_basis", f"{rate}D")
+
+
 def _pct(todo: str, total: str) -> str:
     return f"if({total} > 0, 100D * (1 - {todo} / {total}), 100D)"
 
@@ -89,24 +94,26 @@ def export_estimate(areas: DataFrame, chunks: DataFrame, key: str, px_bytes: str
                         f"coalesce(chunks_todo, 0D) / {speed} AS seconds", "coalesce(total, 0D) AS source_bytes", "coalesce(total, 0D) AS clipped_bytes"))
 
 
-def tile_estimate(areas: DataFrame, counts: DataFrame, key: str, tile_bytes: float, rate: float) -> DataFrame:
-    """XYZ tiles: ``areas`` is (key, bbox, z); ``counts`` is (key, cached) from the cache inventory."""
+def tile_estimate(areas: DataFrame, counts: DataFrame, key: str, tile_bytes: float, rate: float | str) -> DataFrame:
+    """XYZ tiles: ``areas`` is (key, bbox, z) and, if ``rate`` is a column of it, its speed_basis; ``counts`` is (key, cached) from the cache inventory."""
     x0, y0 = tiles.lonlat_to_tile(F.col("bbox.west"), F.col("bbox.north"), F.col("z"))
     x1, y1 = tiles.lonlat_to_tile(F.col("bbox.east"), F.col("bbox.south"), F.col("z"))
     n = (F.abs(x1 - x0) + 1) * (F.abs(y1 - y0) + 1)
+    basis, speed = _own_rate(rate)
     return (areas.withColumn("n", n).join(counts.select(key, "cached"), key, "left")
-            .selectExpr(key, "n", "coalesce(cached, 0L) AS have")
-            .selectExpr(key, f"(n - have) * {tile_bytes}D AS todo_bytes", "100D * have / n AS cached_pct", "n AS requests",
-                        f"(n - have) / {rate}D AS seconds", f"n * {tile_bytes}D * 1.1D AS source_bytes", f"n * {tile_bytes}D * 1.1D AS clipped_bytes"))
+            .selectExpr(key, "n", "coalesce(cached, 0L) AS have", basis, f"{speed} AS _speed")
+            .selectExpr(key, "speed_basis", f"(n - have) * {tile_bytes}D AS todo_bytes", "100D * have / n AS cached_pct", "n AS requests",
+                        "(n - have) / _speed AS seconds", f"n * {tile_bytes}D * 1.1D AS source_bytes", f"n * {tile_bytes}D * 1.1D AS clipped_bytes"))
 
 
-def wms_estimate(areas: DataFrame, key: str, res: Column, kind: Column, rate: float) -> DataFrame:
-    """Map images asked for in blocks of 1024 pixels; nothing is assumed to be cached."""
+def wms_estimate(areas: DataFrame, key: str, res: Column, kind: Column, rate: float | str) -> DataFrame:
+    """Map images asked for in blocks of 1024 pixels; nothing is assumed to be cached. ``rate`` may be a column of ``areas`` that comes with its speed_basis."""
     w, h = geo.grid_size(F.col("bbox"), res)
     px = F.when(kind == "elevation", F.lit(4.0)).otherwise(F.lit(JPEG_BYTES_PER_PX))
+    basis, speed = _own_rate(rate)
     return (areas.withColumn("_w", w).withColumn("_h", h).withColumn("_px", px)
-            .selectExpr(key, f"bigint(ceil(_w / {WMS_BLOCK}) * ceil(_h / {WMS_BLOCK})) AS requests", "_w * _h * _px AS todo_bytes")
-            .selectExpr(key, "todo_bytes", "0D AS cached_pct", "requests", f"requests / {rate}D AS seconds", "todo_bytes * 1.1D AS source_bytes", "todo_bytes * 1.1D AS clipped_bytes"))
+            .selectExpr(key, basis, f"{speed} AS _speed", f"bigint(ceil(_w / {WMS_BLOCK}) * ceil(_h / {WMS_BLOCK})) AS requests", "_w * _h * _px AS todo_bytes")
+            .selectExpr(key, "speed_basis", "todo_bytes", "0D AS cached_pct", "requests", "requests / _speed AS seconds", "todo_bytes * 1.1D AS source_bytes", "todo_bytes * 1.1D AS clipped_bytes"))
 
 
 def library_estimate(areas: DataFrame, hits: DataFrame, key: str) -> DataFrame:

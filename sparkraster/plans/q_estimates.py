@@ -112,11 +112,15 @@ rt AS (SELECT aoi_id, round(coalesce(value, 1e6),3) AS rate, CASE WHEN updated>=
  SELECT aoi_id, speed_basis, req AS requests, CAST(ceil(round(todo/rate,6)) AS BIGINT) AS download_seconds FROM ef JOIN rt USING(aoi_id)""")
 def a09r(spark, sf):
     """Every area's source has its own learned rate, or the default one and its basis."""
+    return est.envelope(est.fraction_estimate(rated(spark, sf, areas(spark, sf)), dem_state(spark, sf), "aoi_id", "rate"), ["aoi_id", "speed_basis"]).select("aoi_id", "speed_basis", "requests", "download_seconds")
+
+
+def rated(spark, sf, a):
+    """Areas with the rate learned for their host and what it is based on."""
     good = speeds.admit(derived(spark, sf, "samples"))
-    a = areas(spark, sf).withColumn("key", F.expr("concat('bytes:host', aoi_id % 26)"))
+    a = a.withColumn("key", F.expr("concat('bytes:host', aoi_id % 26)"))
     known = speeds.rates(a.select("key").distinct(), speeds.fold(good), good.agg(F.max("ts") - F.expr("interval 1 hour")).scalar())
-    a = a.join(known.select("key", F.round("rate", 3).alias("rate"), F.col("basis").alias("speed_basis")), "key")
-    return est.envelope(est.fraction_estimate(a, dem_state(spark, sf), "aoi_id", "rate"), ["aoi_id", "speed_basis"]).select("aoi_id", "speed_basis", "requests", "download_seconds")
+    return a.join(known.select("key", F.round("rate", 3).alias("rate"), F.col("basis").alias("speed_basis")), "key")
 
 
 @query("s18_s19_cell_objects", ctes("aoi") + """,
@@ -202,9 +206,9 @@ def export_cache(spark, sf):
 _GOT = """gt AS (SELECT *, CASE (aoi_id+r*3+c)%3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN (SELECT sum(CASE (aoi_id+q)%4 WHEN 0 THEN 0.25 WHEN 1 THEN 0.125 ELSE 0 END) FROM range(4) t(q))::DOUBLE ELSE 0.0 END AS got FROM ck)"""
 
 
-@query("a06_cached_fraction", ctes("aoi") + f", {_CHUNKS}, {_GOT} SELECT aoi_id, CAST(r AS INT) AS chunk_row, CAST(c AS INT) AS chunk_col, got FROM gt")
+@query("a06_cached_fraction", ctes("aoi") + f", {_CHUNKS}, {_GOT} SELECT aoi_id, CAST(r AS INT) AS chunk_row, CAST(c AS INT) AS chunk_col, got, 0::BIGINT AS cut_off FROM gt")
 def a06(spark, sf):
-    return exports.cached_fraction(export_chunks(spark, sf), export_cache(spark, sf), ["aoi_id", "chunk_row", "chunk_col"]).drop("cut_off")
+    return exports.cached_fraction(export_chunks(spark, sf), export_cache(spark, sf), ["aoi_id", "chunk_row", "chunk_col"])
 
 
 @query("a05_export_estimate", ctes("aoi") + f", {_CHUNKS}, {_GOT}" + f""",
@@ -297,6 +301,22 @@ def a07b(spark, sf):
     return est.envelope(est.wms_estimate(areas(spark, sf), "aoi_id", F.lit(20.0), kind, 0.5), ["aoi_id"])
 
 
+@query("a09_rated_tile_and_image_estimates", ctes("aoi", "points", "samples") + f", {_TILES}" + f""",
+cn AS (SELECT aoi_id, count(state) AS cached FROM tl LEFT JOIN tc USING(z,x,y) GROUP BY 1),
+nn AS (SELECT aoi_id, (abs(CAST(trunc((east+180)/360*n) AS BIGINT)-CAST(trunc((west+180)/360*n) AS BIGINT))+1)*(abs(CAST(trunc((1-asinh(tan(radians(south)))/pi())/2*n) AS BIGINT)-CAST(trunc((1-asinh(tan(radians(north)))/pi())/2*n) AS BIGINT))+1) AS cnt FROM rg),
+g AS (SELECT aoi_id, greatest(1, CAST(round_even((east-west)/((20.0::DOUBLE/111320)/greatest(cos(radians((south+north)/2)),0.01)),0) AS BIGINT)) AS w, greatest(1, CAST(round_even((north-south)/(20.0::DOUBLE/111320),0) AS BIGINT)) AS h FROM aoi)
+{_RATED}
+SELECT aoi_id, 'tiles' AS service, speed_basis, CAST(cnt AS BIGINT) AS requests, CAST(ceil(round((cnt-cached)/(rate/25000.0::DOUBLE),6)) AS BIGINT) AS download_seconds FROM nn JOIN cn USING(aoi_id) JOIN rt USING(aoi_id)
+UNION ALL SELECT aoi_id, 'images', speed_basis, CAST(ceil(w/1024.0::DOUBLE)*ceil(h/1024.0::DOUBLE) AS BIGINT), CAST(ceil(round(ceil(w/1024.0::DOUBLE)*ceil(h/1024.0::DOUBLE)/(rate/2000000.0::DOUBLE),6)) AS BIGINT) FROM g JOIN rt USING(aoi_id)""")
+def a09_tiles(spark, sf):
+    """Tile and map-image services with learned byte rates, turned into tiles and images a second."""
+    a = rated(spark, sf, zoomed(spark, sf)).withColumn("tile_rate", F.expr("rate / 25000D")).withColumn("image_rate", F.expr("rate / 2000000D"))
+    counts = xyz.fetch_counts(xyz.enumerate_tiles(zoomed(spark, sf)), tile_cache(spark, sf), ["aoi_id"])
+    out = [est.tile_estimate(a, counts, "aoi_id", 25_000.0, "tile_rate"), est.wms_estimate(a, "aoi_id", F.lit(20.0), F.lit("rgb"), "image_rate")]
+    both = [est.envelope(e, ["aoi_id", "speed_basis"]).select("aoi_id", F.lit(n).alias("service"), "speed_basis", "requests", "download_seconds") for n, e in zip(("tiles", "images"), out)]
+    return both[0].unionByName(both[1])
+
+
 _A08 = f"""h8 AS (SELECT a.aoi_id, size_bytes, {FRAC}/greatest((c.east-c.west)*(c.north-c.south),1e-12) AS frac FROM aoi a JOIN catalog c ON {HIT}),
 t8 AS (SELECT aoi_id, count(*) AS n, CASE WHEN bool_or(size_bytes IS NULL) THEN NULL ELSE sum(CAST(size_bytes AS DOUBLE)) END AS src, CASE WHEN bool_or(size_bytes IS NULL) THEN NULL ELSE sum(size_bytes*frac) END AS cut FROM h8 GROUP BY 1),
 e8 AS (SELECT aoi_id, 0.0 AS todo, 100.0 AS pct, CASE WHEN n IS NOT NULL THEN 0 END AS req, 0.0 AS sec, CASE WHEN n IS NULL THEN 0.0 ELSE src END AS src, CASE WHEN n IS NULL THEN 0.0 ELSE cut END AS cut FROM aoi LEFT JOIN t8 USING(aoi_id))"""
