@@ -61,24 +61,46 @@ def components(links: DataFrame) -> DataFrame:
     return done
 
 
+def frequent(live: DataFrame, marks: DataFrame) -> DataFrame:
+    """(id, degree): how many ids share each of an id's marks, in all."""
+    marks = marks.join(live.filter("mates > 4").select("id").distinct(), "id", "left_semi")
+    return marks.join(marks.groupBy("mark").agg(F.count("*").alias("n")), "mark").groupBy("id").agg(F.sum("n").alias("degree"))
+
+
+def central(crowd: DataFrame, traits: DataFrame) -> DataFrame:
+    """(bucket, id, degree): the fewer bits an id's bitmap differs in from the bits that most of its bucket's ids have, the higher, always above 0.
+
+    Counts of bits are summed before they meet, so the work is one row for each member and word of the bitmap.
+    """
+    maps = [c for c in traits.columns if c[0] == "x" and c[1:].isdigit()]
+    rows = crowd.join(traits.select("id", *maps), "id").select("bucket", "id", F.posexplode(F.array(*maps)).alias("k", "x"))
+    rows = cut_lineage(rows, "bitmap-words")
+    votes = rows.groupBy("bucket", "k").agg(F.count("*").alias("n"), *[F.sum(F.expr(f"int(getbit(x, {i}))")).alias(f"b{i}") for i in range(64)])
+    bits = [F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(64)]
+    most = bits[0]
+    for x in bits[1:]:
+        most = most.bitwiseOR(x)
+    most = cut_lineage(votes.select("bucket", "k", most.alias("most")), "bucket-majorities")
+    return (rows.join(small(most), ["bucket", "k"]).groupBy("bucket", "id").agg((F.lit(64 * len(maps) + 1) - F.sum(F.bit_count(F.col("x").bitwiseXOR(F.col("most"))))).alias("degree")))
+
+
 def linked_classes(members: DataFrame, prepare: Callable[[DataFrame], tuple[DataFrame, DataFrame, Callable[[str, str], Column], Callable[[DataFrame], DataFrame]]]) -> DataFrame:
     """(id, root) of all ids that some verified link joins to another id.
 
     ``members``: (bucket, id), bigint both, one row for each bucket an id is in. ``prepare`` takes the ids (id) that have bucket mates at all and
-    returns their traits (id and narrow columns), their marks (id, mark), a condition on the traits of two ids, given the prefixes of their columns,
+    returns their traits (id and narrow columns), their marks (id, mark) or None, a condition on the traits of two ids, given the prefixes of their columns,
     that holds for every link and is cheap, and the check, which takes distinct pairs (a, b) and returns those that are links.
-    Like ids share many marks, so the representative of a bucket is the member whose marks are the most frequent: in a group of near copies the
-    one nearest to all. Which one it is decides how many checks are made, not what they find.
+    The representative of a bucket is the member whose bitmap (columns x0, x1 .. of the traits) is nearest to the bits that most members have, in a
+    group of near copies the one nearest to all; without bitmaps the one with the most frequent marks. Which one it is decides how many checks are
+    made, not what they find.
     """
     seen = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("mates")).filter("mates > 1"), "buckets")
     first = cut_lineage(members.join(small(seen), "bucket").select("bucket", "id", "mates").distinct(), "members")
     drop_written(seen)
     live = first
     traits, marks, may, verify = prepare(cut_lineage(live.select("id").distinct(), "mates"))
-    crowd = live.filter("mates > 4").select("id").distinct()
-    marks = marks.join(crowd, "id", "left_semi")
-    degree = cut_lineage(marks.join(marks.groupBy("mark").agg(F.count("*").alias("n")), "mark").groupBy("id").agg(F.sum("n").alias("degree")), "degrees")
-    reps = (live.join(small(degree), "id", "left").groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), (-F.col("id")).alias("i"))).alias("m"))
+    degree = cut_lineage(frequent(live, marks) if marks is not None else central(live.filter("mates > 4"), traits), "degrees")
+    reps = (live.join(small(degree), [c for c in degree.columns if c != "degree"], "left").groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), (-F.col("id")).alias("i"))).alias("m"))
             .select("bucket", (-F.col("m.i")).alias("rep")))
     live = cut_lineage(live.drop("mates").join(reps, "bucket").withColumn("done", F.lit(False)), "members")
     drop_written(first, degree)

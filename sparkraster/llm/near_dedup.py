@@ -24,7 +24,7 @@ from sparkraster.llm.classes import linked_classes, small
 from sparkraster.llm.common import table, unused, words
 from sparkraster.session import cut_lineage
 
-KMER, SKETCHES, PICKED, SIMILARITY, MAP_WORDS, MARKS = 5, 10, 3, 0.8, 16, 12
+KMER, SKETCHES, PICKED, SIMILARITY, MAP_WORDS = 5, 10, 3, 0.8, 16
 
 
 def word_hashes(text: Column) -> Column:
@@ -142,22 +142,18 @@ def aligned(content: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def traits(content: DataFrame) -> DataFrame:
-    """(id, n, x0 .. , marks): the number of labelled k-mers, a bitmap of them (two texts' bitmaps differ in no more bits than their k-mers do),
-    and ``MARKS`` of their minima, each under a permutation of its own."""
+    """(id, n, x0 .. ): the number of labelled k-mers and a bitmap of them; two texts' bitmaps differ in no more bits than their k-mers do."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             flat, ends = t["w"].flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(t["w"].value_lengths().to_numpy(zero_copy_only=False))]
-            maps, n, marks = np.zeros((t.num_rows, MAP_WORDS * 64), bool), [], [np.zeros(0, np.int64)]
-            seeds = mixed(np.arange(1001, 1001 + MARKS, dtype=np.uint64))
+            maps, n = np.zeros((t.num_rows, MAP_WORDS * 64), bool), []
             for i in range(t.num_rows):
                 lab = labelled(kmers(flat[ends[i]:ends[i + 1]]))
                 maps[i, (lab % np.uint64(MAP_WORDS * 64)).astype(int)] = True
                 n.append(len(lab))
-                marks.append(mixed((lab[None, :] ^ seeds[:, None]).min(axis=1) + seeds).astype(np.int64))
             x = np.packbits(maps, axis=1).view(np.int64).reshape(t.num_rows, MAP_WORDS)
-            yield pa.RecordBatch.from_arrays([t["id"], pa.array(n, pa.int32()), *[pa.array(x[:, k]) for k in range(MAP_WORDS)],
-                                                  pa.ListArray.from_arrays(np.arange(0, MARKS * t.num_rows + 1, MARKS, dtype=np.int32), pa.array(np.concatenate(marks)))], names=["id", "n", *[f"x{k}" for k in range(MAP_WORDS)], "marks"])
-    return content.select("id", "w").mapInArrow(run, "id bigint, n int, " + ", ".join(f"x{k} bigint" for k in range(MAP_WORDS)) + ", marks array<bigint>")
+            yield pa.RecordBatch.from_arrays([t["id"], pa.array(n, pa.int32()), *[pa.array(x[:, k]) for k in range(MAP_WORDS)]], names=["id", "n", *[f"x{k}" for k in range(MAP_WORDS)]])
+    return content.select("id", "w").mapInArrow(run, "id bigint, n int, " + ", ".join(f"x{k} bigint" for k in range(MAP_WORDS)))
 
 
 def may_link(a: str, b: str) -> Column:
@@ -181,7 +177,7 @@ def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def prepare(ids: DataFrame):
         content = cut_lineage(texts.join(small(ids), "id", "left_semi").select("id", word_hashes(F.col("text")).alias("w")), "mates-words")
         t = cut_lineage(traits(content), "mates-traits")
-        return t.drop("marks"), t.select("id", F.explode("marks").alias("mark")), may_link, lambda pairs: aligned(content, pairs)
+        return t, None, may_link, lambda pairs: aligned(content, pairs)
 
     roots = linked_classes(members, prepare)
     of = roots.join(texts.select("id", "first"), "id")

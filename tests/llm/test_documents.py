@@ -212,6 +212,23 @@ def test_every_fingerprint_within_the_radius_is_found(spark):
     assert len(got) == len(want) and {(r["win"], r["item"]) for r in got} == want
 
 
+def test_hamming_search_among_seeds(spark):
+    """20,000 items of one size: only seeded pairs meet, and all of them within the radius are found."""
+    rng = np.random.default_rng(11)
+    fp = rng.integers(-2**63, 2**63, 20000)
+    items = spark.createDataFrame([(i, 12, int(x)) for i, x in enumerate(fp)], "item bigint, n int, fp bigint")
+    wins, seeds = [], []
+    for w in range(2000):
+        x = int(fp[w])
+        for bit in rng.choice(64, int(rng.integers(0, 30)), replace=False).tolist():
+            x ^= 1 << bit if bit < 63 else -(1 << 63)
+        wins.append((w, 12, x))
+        seeds += [(w, w), (w, (w * 7 + 3) % 20000)]
+    got = decontaminate.within_radius(spark.createDataFrame(wins, "win bigint, n int, fp bigint"), items, spark.createDataFrame(seeds, "win bigint, item bigint"))
+    want = sorted((w, i) for w, i in set(seeds) if ((wins[w][2] ^ int(fp[i])) & (2**64 - 1)).bit_count() <= decontaminate.RADIUS)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 # pseudonyms
 
 def luhn(x):
