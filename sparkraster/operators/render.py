@@ -25,6 +25,7 @@ MERCATOR_RADIUS_M = 6_378_137.0
 BILINEAR_RATIO = 1.5
 MAX_FACTOR = 4
 UNSET = np.iinfo(np.int64).max
+TIE = 1e-6  # a mean this close to a half is summed anew before it is rounded
 LEAST_WEIGHT = 1e-9  # what weighs less is rounding, of a sample on the centre of a void pixel or of a void box
 
 
@@ -89,6 +90,36 @@ def average(values: np.ndarray, weight: np.ndarray, rows: np.ndarray, cols: np.n
     return _mean(np.diff(np.diff(table, axis=1), axis=2))
 
 
+def summed_in_order(values: np.ndarray, weight: np.ndarray, rows: np.ndarray, cols: np.ndarray, y: np.ndarray, x: np.ndarray, averaged: bool) -> np.ndarray:
+    """The means of ``average`` or ``bilinear`` at pixels (y, x), summed pixel by pixel in row-major order.
+
+    Both ways agree but for rounding, and this one rounds least; it decides where a mean is a tie of two whole numbers.
+    """
+    if averaged:
+        spans = [(p[at], p[at + 1]) for p, at in ((rows, y), (cols, x))]
+        first = [np.maximum(np.floor(lo), 0).astype(np.int64) for lo, _ in spans]
+        last = [np.minimum(np.ceil(hi) - 1, n - 1).astype(np.int64) for (_, hi), n in zip(spans, weight.shape)]
+    else:
+        spans = [(p[at], p[at]) for p, at in ((rows, y), (cols, x))]
+        low = [np.floor(lo - 0.5).astype(np.int64) for lo, _ in spans]
+        first, last = [np.maximum(v, 0) for v in low], [np.minimum(v + 1, n - 1) for v, n in zip(low, weight.shape)]
+
+    def share(k: int, at: np.ndarray) -> np.ndarray:
+        lo, hi = spans[k]
+        return np.where(at > last[k], 0.0, np.minimum(at + 1, hi) - np.maximum(at, lo) if averaged else 1 - np.abs(at + 0.5 - lo))
+    total, sums = np.zeros(len(y)), np.zeros((len(values), len(y)))
+    for j in range(int((last[0] - first[0]).max(initial=-1)) + 1):
+        row = first[0] + j
+        for i in range(int((last[1] - first[1]).max(initial=-1)) + 1):
+            col = first[1] + i
+            at = np.minimum(row, last[0]), np.minimum(col, last[1])
+            w = weight[at] * (share(0, row) * share(1, col))
+            held = w > 0
+            total += np.where(held, w, 0.0)
+            sums += np.where(held, w * np.where(held, values[(slice(None), *at)], 0.0), 0.0)
+    return sums / total
+
+
 def fill_ring(lon: np.ndarray, lat: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
     """Even-odd mask (len(lat), len(lon)) of a closed ring; ``lat`` falls. An edge counts its lower end and not its upper one.
 
@@ -190,6 +221,10 @@ def paint(canvas: Canvas, t: dict, bands: np.ndarray) -> None:
         px, mask = np.where(held, nearest(chosen, rows, cols), 0.0), held & (nearest(weight[None], rows, cols)[0] > 0)
     else:
         px, mask = (average if method == "average" else bilinear)(chosen, weight, rows, cols)
+        if mode != "elevation" and not t["dtype"].startswith("float"):
+            y, x = np.nonzero(mask & (np.abs(px - np.floor(px) - 0.5) < TIE).any(axis=0))
+            if len(y):
+                px[:, y, x] = summed_in_order(chosen, weight, rows, cols, y, x, method == "average")
     if mode == "palette":
         lut = t["lut"]
         rgba = lut[np.clip(px[0], 0, len(lut) - 1).astype(int)]

@@ -35,6 +35,19 @@ def test_average_and_bilinear_equal_sums_over_pixels():
             assert found[r, c] == (a.sum() > 1e-9) and (not found[r, c] or np.allclose(got[:, r, c], (np.nan_to_num(v) * a).sum(axis=(1, 2)) / a.sum()))
 
 
+def test_means_in_order_equal_the_others_and_decide_ties(spark):
+    rng = np.random.default_rng(2)
+    v, w = rng.integers(0, 256, (3, 9, 7)).astype(float), rng.choice([0, 128 / 255, 1], (9, 7))
+    for fn, averaged, rows, cols in ((rd.average, True, np.sort(rng.uniform(-1, 10, 6)), np.sort(rng.uniform(-1, 8, 5))), (rd.bilinear, False, rng.uniform(0, 9, 6), rng.uniform(0, 7, 5))):
+        got, found = fn(v, w, rows, cols)
+        y, x = np.nonzero(found)
+        assert len(y) and np.allclose(rd.summed_in_order(v, w, rows, cols, y, x, averaged), got[:, y, x])
+    from sparkraster.plans.q_layers import picture_shares
+    one = rd.render_blocks(picture_shares(spark, "/root/testdata/sf0.01").filter("item_id = 432"), ["layer"], 128)
+    px = rd.block_pixels(one, ["layer"], 128, ["r", "g", "b"]).filter("py = 53 and px = 124").collect()
+    assert [(p["r"], p["g"], p["b"]) for p in px] == [(80, 176, 199)]  # 79.5, but for rounding
+
+
 def test_ring_fill_equals_the_test_of_every_pixel(spark):
     rng = random.Random(4)
     lon, lat = np.linspace(0.05, 9.95, 60), np.linspace(9.95, 0.05, 50)
