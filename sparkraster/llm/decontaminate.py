@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, multi-index Hamming search, exact weighted check.
 
 For every place where a text shares a run of ``SHINGLE`` words with an item, the window of the item's size that would align
-the two is fingerprinted (any other window has nothing in common with any item, so its similarity is 0). Fingerprints of 64 bits
+the two is fingerprinted, and so is the window that begins there (or the text's last one), if it holds as many shared runs as ``SIMILARITY`` takes. Any other
+window is no more similar than one of these: moved right to its first shared run, it loses none; so moved or swapped parts of an item are found as well. Fingerprints of 64 bits
 are cut into ``RADIUS + 1`` blocks: two that differ in at most ``RADIUS`` bits agree in some block, so joining on
 (item, block number, block value) finds every pair within the radius among windows and the items they were cut for; others share no run. Such pairs are checked exactly: the weight of a shingle is how
 often it occurs, similarity is the sum of the lesser weights over the sum of the greater ones, and ``SIMILARITY`` or more is a leak.
@@ -19,8 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkraster.llm.classes import small
-from sparkraster.llm.common import table, with_shingles, words, unused
-from sparkraster.session import cut_lineage
+from sparkraster.llm.common import let, table, with_shingles, words, unused
+from sparkraster.session import cut_lineage, drop_written
 
 SHINGLE, SIMILARITY, RADIUS, BITS = 5, 0.8, 18, 64
 WEIGHED_ROWS = 2_000_000
@@ -60,6 +61,21 @@ def within_radius(windows: DataFrame, items: DataFrame, seeds: DataFrame | None
     return j.filter(F.bit_count(x) <= RADIUS).filter(F.col("block") == first).select("win", "item")
 
 
+def crowded_starts(shared: DataFrame) -> DataFrame:
+    """(key, item, n, start) of the windows of ``n`` shingles that begin at a shared run, or end the text, and hold enough shared runs for ``SIMILARITY``.
+
+    ``shared``: (key, item, n, m, pos), one row for each run at ``pos`` that a text of ``m`` runs shares with an item. Positions are ranked, so a window
+    costs one look at the run that would have to lie in it. Windows as long as a shorter text are all alike, and the aligned ones hold them.
+    """
+    least = F.ceil(SIMILARITY / (1 + SIMILARITY) * 2 * F.col("n") - 1e-9).cast("int")
+    at = (shared.filter("n <= m").groupBy("key", "item", "n", "m").agg(F.sort_array(F.collect_set("pos")).alias("at")).withColumn("need", least)
+          .filter(F.size("at") >= F.col("need")))
+    starts = let(F.col("at"), lambda a: F.filter(
+        F.transform(a, lambda p, i: F.when(F.get(a, i + F.col("need") - 1) <= F.least(p, F.col("m") - F.col("n")) + F.col("n") - 1, F.least(p, F.col("m") - F.col("n")))), lambda s: s.isNotNull()))
+    last = F.when(F.get("at", F.size("at") - F.col("need")) >= F.col("m") - F.col("n"), F.array(F.col("m") - F.col("n"))).otherwise(F.array().cast("array<int>"))
+    return at.select("key", "item", "n", F.explode(F.array_union(starts, last)).alias("start"))
+
+
 def leaks_of_size(texts: DataFrame, items: DataFrame, size: int) -> DataFrame:
     """(key, item, start, n, similarity) for items whose shingles have ``size`` words; texts: (key, text)."""
     ish = cut_lineage(items.select("item", "n", F.posexplode("s").alias("off", "h")), "item-shingles")
@@ -67,7 +83,9 @@ def leaks_of_size(texts: DataFrame, items: DataFrame, size: int) -> DataFrame:
     # outer, for else a filter on the array goes below the projections, where their lambdas evaluate each other anew for each run
     runs = with_shingles(texts, F.lower("text"), size, "s").select("key", F.size("s").alias("m"), F.posexplode_outer("s").alias("pos", "h"))
     start = F.greatest(F.least(F.col("pos") - F.col("off"), F.col("m") - F.col("n")), F.lit(0))
-    seeds = cut_lineage(runs.join(probe, "h").select("key", "n", start.alias("start"), "item").distinct(), "window-seeds")
+    shared = cut_lineage(runs.join(probe, "h").select("key", "item", "n", "m", "pos", start.alias("start")), "shared-runs")
+    seeds = cut_lineage(shared.select("key", "n", "start", "item").union(crowded_starts(shared).select("key", "n", "start", "item")).distinct(), "window-seeds")
+    drop_written(shared)
     windows = cut_lineage(seeds.select("key", "n", "start").distinct().withColumn("win", F.monotonically_increasing_id()), "windows")
     seeds = seeds.join(windows, ["key", "n", "start"]).select("win", "item")
     keys = cut_lineage(windows.select("key").distinct(), "window-texts")

@@ -198,6 +198,19 @@ def test_leaks_against_all_windows(spark):
     assert decontaminate.leaks(df.filter("false"), b).count() == 0
 
 
+def test_leaks_of_moved_parts(spark):
+    rng = random.Random(9)
+    say = lambda n: [rng.choice("abcdefghijklmnopqrst") + str(rng.randrange(300)) for _ in range(n)]
+    x = say(100)
+    halves, thirds = x[50:] + x[:50], x[70:] + x[30:70] + x[:30]
+    texts = [say(200) + halves + say(200), halves + say(80), say(80) + halves, thirds, say(5) + thirds + say(200), say(70) + x[50:] + say(30) + x[:50] + say(70), (["aa", "bb"] * 100)]
+    items = [(1, " ".join(x)), (2, " ".join(["aa", "bb"] * 20))]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = decontaminate.leaks(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = plain_leaks(docs, items)
+    assert len(want) >= 6 and {(r["doc_id"], r["item_id"]): pytest.approx(r["similarity"]) for r in got} == want
+
+
 def test_every_fingerprint_within_the_radius_is_found(spark):
     rng = np.random.default_rng(6)
     items = [(i, 10, int(x)) for i, x in enumerate(rng.integers(-2**63, 2**63, 20))]
