@@ -25,7 +25,7 @@ from sparkraster.llm.classes import small
 from sparkraster.llm.common import table
 from sparkraster.session import cut_lineage
 
-SAMPLE, FAN_OUT, LEAF_SAMPLE, CALIBRATION, RECALL, BLOCK = 20_000, 8, 64, 64, 0.97, 2048
+SAMPLE, FAN_OUT, LEAF_SAMPLE, CALIBRATION, RECALL, BLOCK, VISIT_ROWS = 20_000, 8, 64, 64, 0.97, 2048, 1 << 16
 
 
 class Tree:
@@ -123,6 +123,15 @@ def blocks(rows: DataFrame, keys: list[str], id_: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.collect_list(id_).alias(f"{id_}s"), F.flatten(F.collect_list("e")).alias(f"{id_}_v"))
 
 
+def visited(tree: Tree, queries: pd.DataFrame, visits: int) -> Iterator[pd.DataFrame]:
+    """query_id and leaf of each query's visits, a frame for as many queries as make about ``VISIT_ROWS`` rows; vectors are not repeated."""
+    step = max(1, VISIT_ROWS // visits)
+    for at in range(0, len(queries), step):
+        part = queries.iloc[at:at + step]
+        leaves = [tree.visit(q, visits) for q in part.e]
+        yield pd.DataFrame({"query_id": part.query_id.repeat([len(x) for x in leaves]), "leaf": [y for x in leaves for y in x]})
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score, visits): the ``k`` nearest found for each row for which ``is_query`` (of vec_id) holds."""
     spark = vectors.sparkSession
@@ -152,9 +161,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            leaves = [tree.visit(q, visits) for q in b.e]
-            yield pd.DataFrame({"query_id": b.query_id.repeat([len(x) for x in leaves]), "e": b.e.repeat([len(x) for x in leaves]), "leaf": [y for x in leaves for y in x]})
-    asked = cut_lineage(queries.mapInPandas(visit, "query_id bigint, e array<double>, leaf int"), "queries-by-leaf")
+            yield from visited(tree, b, visits)
+    asked = cut_lineage(queries.mapInPandas(visit, "query_id bigint, leaf int"), "queries-by-leaf").join(queries, "query_id")
 
     def cut(rows: DataFrame, id_: str, part: str) -> DataFrame:
         per_leaf = cut_lineage(rows.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("_p")), "leaf-sizes")

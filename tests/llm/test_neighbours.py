@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkraster.llm import neighbours
@@ -40,6 +41,17 @@ def test_odd_vectors_ties_and_recall(spark):
     assert {r["visits"] for r in some} and len(some) == len(exact)
 
 
+def test_visits_come_in_bounded_frames():
+    x = np.random.default_rng(3).normal(size=(4000, 8))
+    tree = neighbours.Tree(x)
+    queries = pd.DataFrame({"query_id": np.arange(4000), "e": list(x)})
+    parts = list(neighbours.visited(tree, queries, tree.leaves))
+    assert max(map(len, parts)) <= neighbours.VISIT_ROWS and set(parts[0].columns) == {"query_id", "leaf"}
+    whole = pd.concat(parts)
+    assert len(whole) == 4000 * tree.leaves and len(whole.drop_duplicates()) == len(whole)
+    assert list(neighbours.visited(tree, queries[:0], 4)) == []
+
+
 def test_few_or_no_rows(spark):
     few = frame(spark, [(20, [1.0, 2.0]), (21, [2.0, 1.0]), (22, [0.5, 0.5])])
     got = neighbours.search(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()
