@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import cut_lineage, shuffled
 
 CHUNK = 2000
 MIN_SPLIT = 500
@@ -54,11 +55,12 @@ def cached_fraction(chunks: DataFrame, cache: DataFrame, ids: list[str], url: st
     ``cache`` is (key, state) with state 'tif' or 'split'. Each round joins one level of the quad tree;
     the loop is over levels, never over chunks.
     """
-    state = cache.groupBy("key").agg(F.max("state").alias("state"))  # 'tif' sorts after 'split' and wins
+    state = cut_lineage(cache.groupBy("key").agg(F.max("state").alias("state")), "export-states")  # 'tif' sorts after 'split' and wins
     cur = chunks.select(*ids, url, bands, "cb", "w", "h", F.lit(1.0).alias("_weight"))
     parts = chunks.select(*ids, F.lit(0.0).alias("_got"), F.lit(0).alias("_cut"))
     for depth in range(max_depth + 1):
-        cur = cur.withColumn("key", chunk_key(F.col(url), F.col("cb"), F.col("w"), F.col("h"), F.col(bands))).join(state, "key")
+        cur = cur.withColumn("key", chunk_key(F.col(url), F.col("cb"), F.col("w"), F.col("h"), F.col(bands))).join(shuffled(state), "key")
+        cur = cut_lineage(cur, "export-chunks")  # read for this round's parts and for the next round
         parts = parts.unionByName(cur.selectExpr(*ids, "if(state = 'tif', _weight, 0D) AS _got", f"int(state = 'split' AND {depth} = {max_depth}) AS _cut"))
         if depth < max_depth:
             cur = (cur.filter("state = 'split'").withColumn("_q", F.explode(quarters(F.col("cb"), F.col("w"), F.col("h"))))
