@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, tiles
+from ..session import shuffled
 from ..sources.cells import DOWNLOAD_FRACTION
 
 # Seconds to prepare a new chart, typical archive and imagery tile bytes, windowed-read
@@ -64,7 +65,7 @@ def chart_estimate(areas: DataFrame, hits: DataFrame, key: str, rate: float | st
                                     F.expr("count(*) AS n"), F.expr("sum(_mem) AS mem"), F.expr("sum(_mem * frac) AS cut")))
     base, speed = _rated(areas, key, rate)
     tot = per.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("zip", "get_bytes", "get_one", "new_charts", "mem", "cut")])
-    return (base.join(tot, key, "left")
+    return (base.join(shuffled(tot), key, "left")
             .selectExpr(key, "speed_basis", "coalesce(get_bytes, 0D) AS todo_bytes", f"if(zip IS NULL, 100D, {_pct('get_bytes', 'zip')}) AS cached_pct", "get_one AS requests",
                         f"coalesce(get_bytes / {speed} + new_charts * {SECONDS_PER_NEW_CHART}D, 0D) AS seconds", "mem AS source_bytes", "cut AS clipped_bytes"))
 
@@ -79,7 +80,7 @@ def fraction_estimate(areas: DataFrame, parts: DataFrame, key: str, rate: float
     tot = parts.selectExpr(key, "size", "frac", "cached", f"{need} AS need").groupBy(key).agg(
         F.expr("count(*) AS n"), F.expr("sum(need) AS total"), F.expr("sum(if(cached, 0D, need)) AS todo"), F.expr("sum(size) AS src"),
         F.expr("sum(size * frac) AS cut"), F.expr(f"count_if(NOT cached AND frac < {DOWNLOAD_FRACTION}D) AS partial"))
-    return (base.join(tot, key, "left")
+    return (base.join(shuffled(tot), key, "left")
             .selectExpr(key, "speed_basis", "coalesce(todo, 0D) AS todo_bytes", f"if(n IS NULL, 100D, {_pct('todo', 'total')}) AS cached_pct", "n AS requests",
                         f"coalesce(todo, 0D) / {speed} AS seconds", "coalesce(src, 0D) AS source_bytes", "coalesce(cut, 0D) AS clipped_bytes", "coalesce(partial, 0L) AS partial"))
 
@@ -89,7 +90,7 @@ def export_estimate(areas: DataFrame, chunks: DataFrame, key: str, px_bytes: str
     base, speed = _rated(areas, key, rate)
     tot = chunks.selectExpr(key, "got", f"double(w * h * {px_bytes} + {EXPORT_HEADER_BYTES}) AS size").groupBy(key).agg(
         F.expr("count(*) AS n"), F.expr("sum(size) AS total"), F.expr("sum(size * (1 - got)) AS todo"), F.expr("sum(1 - got) AS chunks_todo"))
-    return (base.join(tot, key, "left")
+    return (base.join(shuffled(tot), key, "left")
             .selectExpr(key, "speed_basis", "coalesce(todo, 0D) AS todo_bytes", f"if(n IS NULL, 100D, {_pct('todo', 'total')}) AS cached_pct", "n AS requests",
                         f"coalesce(chunks_todo, 0D) / {speed} AS seconds", "coalesce(total, 0D) AS source_bytes", "coalesce(total, 0D) AS clipped_bytes"))
 
@@ -100,7 +101,7 @@ def tile_estimate(areas: DataFrame, counts: DataFrame, key: str, tile_bytes: flo
     x1, y1 = tiles.lonlat_to_tile(F.col("bbox.east"), F.col("bbox.south"), F.col("z"))
     n = (F.abs(x1 - x0) + 1) * (F.abs(y1 - y0) + 1)
     basis, speed = _own_rate(rate)
-    return (areas.withColumn("n", n).join(counts.select(key, "cached"), key, "left")
+    return (areas.withColumn("n", n).join(shuffled(counts.select(key, "cached")), key, "left")
             .selectExpr(key, "n", "coalesce(cached, 0L) AS have", basis, f"{speed} AS _speed")
             .selectExpr(key, "speed_basis", f"(n - have) * {tile_bytes}D AS todo_bytes", "100D * have / n AS cached_pct", "n AS requests",
                         "(n - have) / _speed AS seconds", f"n * {tile_bytes}D * 1.1D AS source_bytes", f"n * {tile_bytes}D * 1.1D AS clipped_bytes"))
@@ -121,7 +122,7 @@ def library_estimate(areas: DataFrame, hits: DataFrame, key: str) -> DataFrame:
     tot = (hits.withColumn("frac", geo.overlap_fraction(F.col("bbox"), F.col("item_bbox"), 1e-12)).groupBy(key)
            .agg(F.expr("if(bool_or(size_bytes IS NULL), NULL, sum(double(size_bytes))) AS src"),
                 F.expr("if(bool_or(size_bytes IS NULL), NULL, sum(size_bytes * frac)) AS cut"), F.expr("count(*) AS n")))
-    return (areas.select(key).join(tot, key, "left")
+    return (areas.select(key).join(shuffled(tot), key, "left")
             .selectExpr(key, "0D AS todo_bytes", "100D AS cached_pct", "if(n IS NULL, NULL, 0L) AS requests", "0D AS seconds",
                         "if(n IS NULL, 0D, src) AS source_bytes", "if(n IS NULL, 0D, cut) AS clipped_bytes"))
 
@@ -154,7 +155,7 @@ def area_km(totals: DataFrame, areas: DataFrame, key: str) -> DataFrame:
     """Totals with the sides of each area's box in km, to one digit."""
     w, h = geo.size_m(F.col("bbox"))
     sides = areas.select(key, *[F.bround(F.round(x / 1000, 6), 1).alias(c) for x, c in ((w, "width_km"), (h, "height_km"))])
-    return totals.join(sides, key)
+    return totals.join(shuffled(sides), key)
 
 
 def job_totals(layers: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text, tiles
 from ..operators import estimate as est
 from ..operators.spatial_join import rect_join
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffled
 from ..sources import cells, charts, exports, registry, xyz
 from ..streaming import speeds
 from .inputs import ctes, derived, r6, spread, table
@@ -219,7 +219,7 @@ def a05(spark, sf):
     ids = ["aoi_id", "chunk_row", "chunk_col"]
     chunks = export_chunks(spark, sf)
     got = exports.cached_fraction(chunks, export_cache(spark, sf), ids)
-    c = chunks.select(*ids, "w", "h", F.lit(3).alias("px_bytes")).join(got, ids)
+    c = chunks.select(*ids, "w", "h", F.lit(3).alias("px_bytes")).join(shuffled(got), ids)
     return est.envelope(est.export_estimate(areas(spark, sf), c, "aoi_id", "px_bytes", 0.04), ["aoi_id"])
 
 
