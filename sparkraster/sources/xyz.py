@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tiles
 from ..operators.ranking import top_k
+from ..session import shuffled
 
 KEEP_MOSAICS = 5
 
@@ -26,12 +27,12 @@ def cache_inventory(paths: DataFrame, path: str = "path") -> DataFrame:
 
 
 def todo(wanted: DataFrame, cache: DataFrame) -> DataFrame:
-    return wanted.join(cache.select("z", "x", "y"), ["z", "x", "y"], "left_anti")
+    return wanted.join(shuffled(cache.select("z", "x", "y")), ["z", "x", "y"], "left_anti")
 
 
 def fetch_counts(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
     """Per area: tiles wanted, on disk, known to be empty, and still to fetch."""
-    j = wanted.select(*keys, "z", "x", "y").join(cache.select("z", "x", "y", "state"), ["z", "x", "y"], "left")
+    j = wanted.select(*keys, "z", "x", "y").join(shuffled(cache.select("z", "x", "y", "state")), ["z", "x", "y"], "left")
     return j.groupBy(*keys).agg(F.count("*").alias("total"), F.count("state").alias("cached"),
                                 F.count_if(F.col("state") == "empty").alias("empty"), F.count_if(F.col("state").isNull()).alias("todo"))
 
@@ -42,9 +43,9 @@ def stitch_plan(wanted: DataFrame, stored: DataFrame, keys: list[str]) -> DataFr
     ``stored`` is (z, x, y, size). The tile edge in pixels is that of the first stored tile in row
     order; a missing tile, or one of another size, is masked.
     """
-    j = wanted.join(stored, ["z", "x", "y"], "left")
+    j = wanted.join(shuffled(stored), ["z", "x", "y"], "left")
     first = j.filter("size IS NOT NULL").groupBy(*keys).agg(F.min_by("size", F.struct("y", "x")).alias("edge"))
-    return (j.join(first, keys).selectExpr(*keys, "z", "x", "y", "edge", "(x - rng.x0) * edge AS off_x", "(y - rng.y0) * edge AS off_y",
+    return (j.join(shuffled(first), keys).selectExpr(*keys, "z", "x", "y", "edge", "(x - rng.x0) * edge AS off_x", "(y - rng.y0) * edge AS off_y",
                                            "coalesce(size <> edge, true) AS masked"))
 
 

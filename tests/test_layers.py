@@ -145,3 +145,14 @@ def test_names_pass_over_any_number_of_taken_ones(spark):
         free = iter(x for x in range(2, 5000) if x not in set(taken))
         assert [got["d", i] for i in range(900)] == ["a.tif", *[f"a ({next(free)}).tif" for _ in range(899)]]
         assert [got["e", i] for i in range(3)] == ["a.tif", "a (2).tif", "a (3).tif"]
+
+
+def test_exploded_tables_are_not_broadcast(spark):
+    """The planner takes an exploded table for as small as its file; all of it would go through the driver."""
+    from sparkraster.plans import q_estimates as qe
+    from sparkraster.sources import exports
+    ids = ["aoi_id", "chunk_row", "chunk_col"]
+    tables = [exports.cached_fraction(qe.export_chunks(spark, SF), qe.export_cache(spark, SF), ids), qe.a05(spark, SF), qe.s38(spark, SF)]
+    for df in tables:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan, plan
