@@ -156,3 +156,18 @@ def test_exploded_tables_are_not_broadcast(spark):
     for df in tables:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" not in plan, plan
+
+
+def test_equal_boxes_are_joined_once(spark, monkeypatch):
+    from sparkraster.operators import spatial_join as sj
+    seen = []
+    plain = sj.rect_join
+    monkeypatch.setattr(sj, "rect_join", lambda left, right, *a, **k: seen.append((left.count(), right.count())) or plain(left, right, *a, **k))
+    areas = spark.range(300).select(F.col("id").alias("aoi_id"), geo.make_bbox(F.col("id") % 3 * 2.0, F.lit(0.0), F.col("id") % 3 * 2.0 + 1, F.lit(1.0)).alias("bbox"), F.lit("a").alias("source_id"))
+    areas = areas.union(spark.sql("SELECT 900L, cast(null AS struct<west:double,south:double,east:double,north:double>), 'a'"))
+    items = spark.range(200).select(geo.make_bbox(F.col("id") % 2 * 2.0, F.lit(0.0), F.col("id") % 2 * 2.0 + 1.5, F.lit(1.0)).alias("item_bbox"), F.lit("a").alias("source_id"))
+    got = {r["aoi_id"]: (r["points_covered"], r["covered"]) for r in sj.covered_boxes(areas, items, "aoi_id").collect()}
+    assert got == {i: (441, True) if i % 3 < 2 else (0, False) for i in range(300)} | {900: (0, False)}
+    got = {r["aoi_id"]: r["has_data"] for r in sj.has_data(areas, items, "aoi_id", items).collect()}
+    assert got == {i: i % 3 < 2 for i in range(300)} | {900: False}
+    assert len(seen) == 2 and all(a <= 4 and b == 2 for a, b in seen)
