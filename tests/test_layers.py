@@ -171,3 +171,12 @@ def test_equal_boxes_are_joined_once(spark, monkeypatch):
     got = {r["aoi_id"]: r["has_data"] for r in sj.has_data(areas, items, "aoi_id", items).collect()}
     assert got == {i: i % 3 < 2 for i in range(300)} | {900: False}
     assert len(seen) == 2 and all(a <= 4 and b == 2 for a, b in seen)
+
+
+def test_pairs_of_cell_inputs_are_not_shuffled(spark):
+    areas = spark.range(300).select(F.col("id").alias("aoi_id"), geo.make_bbox(F.col("id") % 3 * 2.0 + 0.2, F.lit(0.2), F.col("id") % 3 * 2.0 + 0.8, F.lit(0.8)).alias("bbox"))
+    items = spark.range(4).select(F.col("id").alias("item_id"), geo.make_bbox(F.col("id") * 2.0 - 0.5, F.lit(-0.5), F.col("id") * 2.0 + 1.5 - F.col("id") % 2, F.lit(1.5)).alias("item_bbox"))
+    df = el.cell_inputs(areas, items, "aoi_id")
+    above, last = df._jdf.queryExecution().executedPlan().toString().split("Join", 1)
+    assert "Exchange" not in above and "cx#" in last.split("\n")[0]  # the join of boxes is the last one
+    assert {(r["aoi_id"] % 3, r["item_id"], r["fetch_wider"]) for r in df.collect()} == {(0, 0, False), (1, 1, True), (2, 2, False)} and df.count() == 300
