@@ -1,8 +1,8 @@
 """Finding the face of scanned charts: white collars by profile, printed neatlines by graticule.
 
 Charts come as pixel rows (item_id, row, col, white, dark) with a header row per chart
-(item_id, width, height, a, c, e, f) in lon/lat. Everything is grouped by chart and line, so a chart
-of any size spreads over the cluster; only edge profiles, as long as a chart side, become arrays.
+(item_id, width, height, a, c, e, f) in lon/lat. Everything is grouped by chart and line, 64 pixels of a line
+in one number, so a chart of any size spreads over the cluster; only edge profiles, as long as a chart side, become arrays.
 """
 from __future__ import annotations
 
@@ -18,14 +18,40 @@ PROBES = 500
 MAX_MINUTES = 90
 
 
+WORD = 64  # pixels of a line that share one number
+
+
+def line_bits(pixels: DataFrame) -> DataFrame:
+    """item_id, axis, pos, word, seen, white, dark: each column and row of a chart as numbers of 64 bits, one bit a pixel.
+
+    ``dark`` marks pixels with ink up to two pixels away. Pixels are or-ed map-side, so a line of a chart is shuffled as a few numbers, not pixel by pixel.
+    """
+    both = pixels.selectExpr("item_id", "coalesce(white, false) AS white", "coalesce(dark, false) AS dark",
+                             "inline(array(struct('col' AS axis, int(col) AS pos, int(row) AS i), struct('row' AS axis, int(row) AS pos, int(col) AS i)))")
+    near = (both.selectExpr("*", f"i % {WORD} AS b", "explode(if(dark, sequence(-2, 2), array(0))) AS d")
+            .selectExpr("*", f"explode(if(dark AND b < 2, array(-1, 0), if(dark AND b >= {WORD - 2}, array(0, 1), array(0)))) AS x"))
+    return (near.selectExpr("item_id", "axis", "pos + d AS pos", f"int(i div {WORD}) + x AS word",
+                            "if(d = 0 AND x = 0, shiftleft(1L, b), 0L) AS seen", "if(white AND d = 0 AND x = 0, shiftleft(1L, b), 0L) AS white",
+                            f"if(NOT dark, 0L, CASE x WHEN -1 THEN shiftleft(31L, b + {WORD - 2}) WHEN 1 THEN shiftright(31L, {WORD + 2} - b) "
+                            "ELSE if(b < 2, shiftright(31L, 2 - b), shiftleft(31L, b - 2)) END) AS dark")
+            .groupBy("item_id", "axis", "pos", "word").agg(*[F.expr(f"bit_or({c}) AS {c}") for c in ("seen", "white", "dark")]))
+
+
 def edge_profiles(pixels: DataFrame, headers: DataFrame) -> DataFrame:
     """item_id, side, i, frac: white share of each column (row) over the middle 60 percent, counted
-    inward from each side, over all pixels: the average is summed map-side."""
-    h = headers.selectExpr("item_id", "int(width) AS w", "int(height) AS h")
-    p = pixels.join(h, "item_id").selectExpr("item_id", "w", "h", "row AS r", "col AS c", "if(white, 1D, 0D) AS white")
-    both = p.selectExpr("*", "inline(array(struct('col' AS axis, c AS pos, r >= int(h * 0.2D) AND r < int(h * 0.8D) AS inside, w AS n), "
-                             "struct('row' AS axis, r AS pos, c >= int(w * 0.2D) AND c < int(w * 0.8D) AS inside, h AS n)))").filter("inside")
-    frac = both.groupBy("item_id", "axis", "pos").agg(F.avg("white").alias("frac"), F.first("n").alias("n"))
+    inward from each side, over all pixels."""
+    return profiles_of(line_bits(pixels), headers)
+
+
+def profiles_of(bits: DataFrame, headers: DataFrame) -> DataFrame:
+    """``edge_profiles`` from ``line_bits``."""
+    def ones(x: str) -> str:
+        return f"if({x} >= {WORD}, -1L, ~shiftleft(-1L, greatest({x}, 0)))"
+    h = headers.selectExpr("item_id", "inline(array(struct('col' AS axis, int(width) AS n, int(height) AS len), struct('row' AS axis, int(height) AS n, int(width) AS len)))")
+    mask = f"{ones(f'int(len * 0.8D) - word * {WORD}')} & ~{ones(f'int(len * 0.2D) - word * {WORD}')}"
+    frac = (bits.join(h, ["item_id", "axis"]).selectExpr("*", f"{mask} AS inside").groupBy("item_id", "axis", "pos")
+            .agg(F.expr("sum(bit_count(white & inside)) AS w"), F.expr("sum(bit_count(seen & inside)) AS s"), F.first("n").alias("n"))
+            .filter("s > 0").selectExpr("item_id", "axis", "pos", "w / s AS frac", "n"))
     return frac.selectExpr("item_id", "n", "frac", "inline(array(struct(if(axis = 'col', 'W', 'N') AS side, pos AS i), "
                            "struct(if(axis = 'col', 'E', 'S') AS side, n - 1 - pos AS i)))")
 
@@ -59,29 +85,34 @@ def _lines(headers: DataFrame, max_minutes: int = MAX_MINUTES, share: float = 0.
 def graticule_hits(pixels: DataFrame, headers: DataFrame, probes: int = PROBES, max_minutes: int = MAX_MINUTES, share: float = 0.3) -> DataFrame:
     """item_id, side, v: outermost whole-minute line that is dark along its central span and has white
     paper two minutes outside it.
+    """
+    return hits_of(line_bits(pixels), headers, probes, max_minutes, share)
+
+
+def hits_of(bits: DataFrame, headers: DataFrame, probes: int = PROBES, max_minutes: int = MAX_MINUTES, share: float = 0.3) -> DataFrame:
+    """``graticule_hits`` from ``line_bits``.
 
-    Probes that fall on the same pixel are counted first, so the 5 x 5 darkness test joins one row per
-    distinct pixel and neighbour instead of one per probe.
+    All lines along an axis of a chart are probed at the same steps, so these are counted once by pixel. A line lies on one column
+    or row, and meets its bits there.
     """
     step = probes - 1
-    span = _lines(headers, max_minutes, share).selectExpr("*", "if(side IN ('W', 'E'), sm, wm) AS lo", "if(side IN ('W', 'E'), nm, em) AS hi") \
-        .selectExpr("*", "lo + 0.15D * (hi - lo) AS s0", "hi - 0.15D * (hi - lo) AS s1") \
-        .selectExpr("*", f"explode(sequence(0, {step})) AS i").selectExpr("*", f"if(i = {step}, s1, i * ((s1 - s0) / {step}) + s0) AS along") \
-        .selectExpr("*", "inline(array(struct('dark' AS test, 2 AS rad, v AS at), struct('white' AS test, 0 AS rad, if(side IN ('W', 'S'), v - 2D / 60, v + 2D / 60) AS at)))") \
-        .selectExpr("item_id", "side", "k", "v", "test", "rad", "width", "height",
-                    "int(rint((if(side IN ('W', 'E'), at, along) - c) / a)) AS col", "int(rint((if(side IN ('W', 'E'), along, at) - f) / e)) AS row") \
-        .filter("col >= rad AND col < width - rad AND row >= rad AND row < height - rad")
-    at = ["item_id", "side", "k", "v", "test"]
-    spots = span.groupBy(*at, "row", "col").agg(F.count("*").alias("n"))
-    near = (spots.selectExpr("*", "explode(if(test = 'dark', sequence(-2, 2), array(0))) AS dy").selectExpr("*", "explode(if(test = 'dark', sequence(-2, 2), array(0))) AS dx")
-            .selectExpr(*at, "n", "row AS r0", "col AS c0", "row + dy AS row", "col + dx AS col"))
-    flags = pixels.filter("white OR dark").select("item_id", "row", "col", "white", "dark")
-    seen = (near.join(flags, ["item_id", "row", "col"], "left")
-            .groupBy(*at, "r0", "c0").agg(F.first("n").alias("n"), F.expr("coalesce(bool_or(if(test = 'dark', dark, white)), false) AS hit"))
-            .groupBy("item_id", "side", "k", "v").agg(
-                F.expr("sum(if(test = 'dark', n, 0L)) AS dn"), F.expr("sum(if(test = 'dark' AND hit, n, 0L)) AS dh"),
-                F.expr("sum(if(test = 'white', n, 0L)) AS wn"), F.expr("sum(if(test = 'white' AND hit, n, 0L)) AS wh")))
-    ok = seen.filter(f"dn >= 0.9D * {probes} AND dh >= 0.95D * dn AND wn >= 0.5D * {probes} AND wh >= 0.8D * wn")
+    steps = (headers.selectExpr("item_id", "inline(array(struct('col' AS axis, f + height * e AS lo, f AS hi, f AS zero, e AS size, height AS len), "
+                                "struct('row' AS axis, c AS lo, c + width * a AS hi, c AS zero, a AS size, width AS len)))")
+             .selectExpr("*", "lo + 0.15D * (hi - lo) AS s0", "hi - 0.15D * (hi - lo) AS s1").selectExpr("*", f"explode(sequence(0, {step})) AS i")
+             .selectExpr("item_id", "axis", "len", f"int(rint((if(i = {step}, s1, i * ((s1 - s0) / {step}) + s0) - zero) / size)) AS p").filter("p >= 0 AND p < len")
+             .groupBy("item_id", "axis", "len", "p").agg(F.count("*").alias("n")).selectExpr("*", "p >= 2 AND p < len - 2 AS inner"))
+    totals = steps.groupBy("item_id", "axis").agg(F.expr("sum(if(inner, n, 0L)) AS dn"), F.expr("sum(n) AS wn"))
+    words = steps.groupBy("item_id", "axis", F.expr(f"int(p div {WORD}) AS word")).agg(F.expr(f"collect_list(struct(p % {WORD} AS b, n, inner)) AS at"))
+    lines = (_lines(headers, max_minutes, share).selectExpr("*", "if(side IN ('W', 'E'), 'col', 'row') AS axis")
+             .selectExpr("*", "inline(array(struct('dark' AS test, 2 AS rad, v AS at), struct('white' AS test, 0 AS rad, if(side IN ('W', 'S'), v - 2D / 60, v + 2D / 60) AS at)))")
+             .selectExpr("item_id", "axis", "side", "k", "v", "test", "rad", "if(axis = 'col', width, height) AS len", "int(rint(if(axis = 'col', (at - c) / a, (at - f) / e))) AS pos")
+             .filter("pos >= rad AND pos < len - rad").select("item_id", "axis", "pos", "side", "k", "v", "test"))
+    hit = "aggregate(at, 0L, (s, x) -> s + if({0} AND (shiftright({1}, x.b) & 1L) = 1L, x.n, 0L))"
+    seen = (bits.select("item_id", "axis", "pos", "word", "white", "dark").filter("white <> 0 OR dark <> 0").join(lines, ["item_id", "axis", "pos"]).join(words, ["item_id", "axis", "word"])
+            .selectExpr("item_id", "axis", "side", "k", "v", "test", f"if(test = 'dark', {hit.format('x.inner', 'dark')}, {hit.format('true', 'white')}) AS hits")
+            .groupBy("item_id", "axis", "side", "k", "v").agg(F.expr("sum(if(test = 'dark', hits, 0L)) AS dh"), F.expr("sum(if(test = 'white', hits, 0L)) AS wh")))
+    # A line without hits is no neatline, so lines that meet no bits may go.
+    ok = seen.join(totals, ["item_id", "axis"]).filter(f"dh > 0 AND wh > 0 AND dn >= 0.9D * {probes} AND dh >= 0.95D * dn AND wn >= 0.5D * {probes} AND wh >= 0.8D * wn")
     return ok.groupBy("item_id", "side").agg(F.round(F.min_by("v", "k"), 6).alias("v"))
 
 
