@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import cut_lineage
 
 CLIP_VERSION = 1
 # Luminance below which a pixel is dark, probes per line, search limit in minutes.
@@ -118,8 +119,9 @@ def hits_of(bits: DataFrame, headers: DataFrame, probes: int = PROBES, max_minut
 
 def detect_clip(pixels: DataFrame, headers: DataFrame) -> DataFrame:
     """item_id, clip = struct(v, px, ll): both detectors for every chart."""
-    px = pixel_clip(collar_cuts(edge_profiles(pixels, headers)), headers)
-    ll = graticule_hits(pixels, headers).groupBy("item_id").agg(F.expr(
+    bits = cut_lineage(line_bits(pixels), "line-bits")
+    px = pixel_clip(collar_cuts(profiles_of(bits, headers)), headers)
+    ll = hits_of(bits, headers).groupBy("item_id").agg(F.expr(
         "array(" + ", ".join(f"max(if(side = '{s}', v, NULL))" for s in "WSEN") + ") AS ll"))
     return (px.join(ll, "item_id", "left").select("item_id", F.struct(
         F.lit(CLIP_VERSION).alias("v"), "px", F.coalesce("ll", F.expr("array(double(NULL), double(NULL), double(NULL), double(NULL))")).alias("ll")).alias("clip")))

@@ -43,3 +43,17 @@ def test_profiles_take_the_middle_of_long_lines(spark):
     for r in range(H):
         assert got["N", r] == got["S", H - 1 - r] == sum((r, c) in white for c in range(28, 112)) / 84
     assert len(got) == 2 * (W + H)
+
+
+def test_both_detectors_share_one_reading_of_the_pixels(spark, tmp_path):
+    n = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+    px, _ = flags(spark)
+    px = px.mapInArrow(count, px.schema)
+    h = spark.createDataFrame([(1, W, H, 0.5 / 60, -100.0, -0.5 / 60, 30.0)], "item_id long, width int, height int, a double, c double, e double, f double")
+    assert nl.detect_clip(px, h).count() == 1
+    assert n.value == W * H
