@@ -205,6 +205,14 @@ def paint(canvas: Canvas, t: dict, bands: np.ndarray) -> None:
     win = tuple(win)
     sub = tuple(slice(s.start * factor, s.stop * factor + (method == "average")) for s in win)
     rows, cols = rows[sub[0]], cols[sub[1]]
+    lat, lon = canvas.edges(1, True)
+    lat, lon = lat[win[0]], lon[win[1]]
+    dx = np.minimum(lon - t["west"], t["east"] - lon) / (t["east"] - t["west"])
+    dy = np.minimum(lat - t["south"], t["north"] - lat) / (t["north"] - t["south"])
+    depth = np.minimum(dx.astype(np.float32)[None, :], dy.astype(np.float32)[:, None])
+    deeper = depth > canvas.depth[win]
+    if not deeper.any() and canvas.data is not None:
+        return  # it wins no pixel, whatever its samples are
 
     alpha = t["alpha_band"]
     chosen = bands if len(bands) == 1 else bands[np.asarray(t["bands"], int) - 1]
@@ -238,14 +246,9 @@ def paint(canvas: Canvas, t: dict, bands: np.ndarray) -> None:
         h, w, n = win[0].stop - win[0].start, win[1].stop - win[1].start, factor * factor
         px = ((px.astype(np.int64).reshape(3, h, factor, w, factor).sum(axis=(2, 4)) + n // 2) // n).astype(np.uint8)
         mask = mask.reshape(h, factor, w, factor).mean(axis=(1, 3)) >= 0.5
-    lat, lon = canvas.edges(1, True)
-    lat, lon = lat[win[0]], lon[win[1]]
     for ring in t["rings"]:
         mask = mask & fill_ring(lon, lat, ring[:, 0], ring[:, 1])
-    dx = np.minimum(lon - t["west"], t["east"] - lon) / (t["east"] - t["west"])
-    dy = np.minimum(lat - t["south"], t["north"] - lat) / (t["north"] - t["south"])
-    depth = np.minimum(dx.astype(np.float32)[None, :], dy.astype(np.float32)[:, None])
-    canvas.put(px, mask & (depth > canvas.depth[win]), depth, t["item_ord"], win)  # rasters come in order, so the earlier one keeps a tie
+    canvas.put(px, mask & deeper, depth, t["item_ord"], win)  # rasters come in order, so the earlier one keeps a tie
 
 
 # ---------------------------------------------------------------------------- Spark

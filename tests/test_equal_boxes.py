@@ -1,9 +1,56 @@
-"""Layers and windows of many areas: work is spread and done once."""
+"""Areas of equal boxes are looked at, painted and summed up once, and every one of them gets the result."""
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from sparkraster.operators import render as rd
+from sparkraster.plans import q_mosaic
 
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module")
+def twice(spark, tmp_path_factory):
+    """The tables with every customer twice; both have one box."""
+    d = tmp_path_factory.mktemp("twice")
+    for f in os.listdir(SF):
+        if f != "customer.parquet":
+            os.symlink(f"{SF}/{f}", d / f)
+    c = spark.read.parquet(f"{SF}/customer.parquet")
+    c.unionByName(c.withColumn("c_custkey", F.col("c_custkey") + 12000)).write.parquet(str(d / "customer.parquet"))
+    return str(d)
+
+
+def by_area(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["aoi_id"], []).append(tuple(v for k, v in sorted(r.asDict().items()) if k != "aoi_id"))
+    return {k: sorted(v, key=str) for k, v in out.items()}
+
+
+def test_layers_are_painted_once(spark, twice):
+    assert q_mosaic.area_shares(spark, twice).count() == q_mosaic.area_shares(spark, SF).count()
+
+
+def test_rasters_that_win_no_pixel_are_not_sampled(monkeypatch):
+    def tile(order, west, size):
+        return {"crs": "geographic", "mode": "elevation", "resampling": "bilinear", "target_res_m": 1.0, "native_res_m": 1.0, "a": size / 8, "c": west, "e": -size / 8, "f": west + size,
+                "width": 8, "height": 8, "alpha_band": None, "dtype": "float32", "rings": [], "lut": None, "item_ord": order, "west": west, "south": west, "east": west + size, "north": west + size}
+    seen = []
+    plain = rd.bilinear
+    monkeypatch.setattr(rd, "bilinear", lambda *a: seen.append(1) or plain(*a))
+    canvas = rd.Canvas({"west": 0.0, "north": 1.0, "xres": 0.125, "yres": 0.125, "width": 8, "height": 8}, 0, 0, 8)
+    rd.paint(canvas, tile(1, -4.0, 9.0), np.ones((1, 8, 8)))
+    rd.paint(canvas, tile(2, -0.1, 1.2), np.full((1, 8, 8), 2.0))
+    before = canvas.data.copy(), canvas.ord.copy()
+    n = len(seen)
+    rd.paint(canvas, tile(3, -0.1, 1.2), np.full((1, 8, 8), 3.0))
+    assert len(seen) == n and (canvas.data == before[0]).all() and (canvas.ord == before[1]).all()
+
+
 def test_clipped_pixels_are_dealt_by_pair(spark):
     plan = entry.queries()["r16_clipped_pixels"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(aoi_id" in plan
