@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import mosaic as mo
 from ..operators import render as rd
+from ..session import cut_lineage, shuffled
 from .inputs import ELEV_CTE, ctes, derived, elevation_chips, palette_chips, r6, spread
 from .q_mosaic import _GRID_CTE, _WIN, REGION, REGION_RES, px_sql, round_sql, smooth_cte
 from .registry import query
@@ -186,12 +187,15 @@ FROM grd LEFT JOIN agg USING (aoi_id, path)""")
 def r20_split_layers(spark, sf):
     """Areas with too many pixels are painted in pieces, each a grid of its own, and the pieces' coverage is merged to the area's."""
     from ..operators.spatial_join import rect_join
-    areas = spread(derived(spark, sf, "aoi").select("aoi_id", "bbox", F.lit(PIECE_RES).alias("res_m")))
-    pieces = mo.split_until_fits(areas, "aoi_id", PIECE_PIXELS).select("aoi_id", F.concat_ws("/", F.transform("path", lambda i: i.cast("string"))).alias("path"), F.col("bbox").alias("piece_bbox"))
+    areas = derived(spark, sf, "aoi").select("aoi_id", "bbox")
+    # Areas of equal boxes are split and painted once, as box ``box``.
+    boxes = cut_lineage(areas.select("bbox").distinct().withColumn("box", F.monotonically_increasing_id()), "boxes")
+    pieces = mo.split_until_fits(spread(boxes.withColumn("res_m", F.lit(PIECE_RES))), "box", PIECE_PIXELS).select("box", F.concat_ws("/", F.transform("path", lambda i: i.cast("string"))).alias("path"), F.col("bbox").alias("piece_bbox"))
     chips = elevation_chips(spark, sf)
     hits = rect_join(pieces, chips.select("item_id", F.col("bbox").alias("item_bbox")), "piece_bbox").withColumn("grid", geo.make_grid(F.col("piece_bbox"), F.lit(PIECE_RES)))
-    shares = rd.elevation_shares(hits.select("aoi_id", "path", "grid", "item_id").join(chips, "item_id"))
-    sums = rd.block_sums(rd.render_blocks(shares, ["aoi_id", "path"], 256), ["aoi_id", "path"])
-    g = pieces.withColumn("g", geo.make_grid(F.col("piece_bbox"), F.lit(PIECE_RES))).join(sums, ["aoi_id", "path"], "left").na.fill(0, ["filled", "sum_v"])
-    whole = g.groupBy("aoi_id").agg(F.expr("bround(100D * sum(filled) / sum(g.pixels), 2)").alias("area_coverage_pct"))
-    return g.join(whole, "aoi_id").select("aoi_id", "path", F.col("g.width").alias("width"), F.col("g.height").alias("height"), "filled", "sum_v", "area_coverage_pct")
+    shares = rd.elevation_shares(hits.select("box", "path", "grid", "item_id").join(chips, "item_id"))
+    sums = rd.block_sums(rd.render_blocks(shares, ["box", "path"], 256), ["box", "path"])
+    g = pieces.withColumn("g", geo.make_grid(F.col("piece_bbox"), F.lit(PIECE_RES))).join(sums, ["box", "path"], "left").na.fill(0, ["filled", "sum_v"])
+    layers = g.groupBy("box").agg(F.expr("bround(100D * sum(filled) / sum(g.pixels), 2)").alias("area_coverage_pct"),
+                                  F.expr("collect_list(struct(path, g.width AS width, g.height AS height, filled, sum_v))").alias("p"))
+    return (areas.join(shuffled(layers.join(boxes, "box").drop("box")), "bbox").selectExpr("aoi_id", "inline(p)", "area_coverage_pct"))

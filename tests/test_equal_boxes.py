@@ -31,6 +31,24 @@ def by_area(df):
     return {k: sorted(v, key=str) for k, v in out.items()}
 
 
+@pytest.mark.parametrize("name", ["r20_split_layers"])
+def test_boxes_are_joined_once(spark, twice, monkeypatch, name):
+    module = __import__(entry.queries()[name].__module__, fromlist=["x"])
+    from sparkraster.operators import spatial_join as sj
+    rows = []
+
+    def counted(left, right, *a, **k):
+        rows.append(left.count())
+        return plain(left, right, *a, **k)
+    plain = sj.rect_join
+    monkeypatch.setattr(sj, "rect_join", counted)
+    if hasattr(module, "rect_join"):
+        monkeypatch.setattr(module, "rect_join", counted)
+    one, two = by_area(entry.queries()[name](spark, SF)), by_area(entry.queries()[name](spark, twice))
+    assert rows[: len(rows) // 2] == rows[len(rows) // 2:]
+    assert two == one | {k + 12000: v for k, v in one.items()}
+
+
 def test_layers_are_painted_once(spark, twice):
     assert q_mosaic.area_shares(spark, twice).count() == q_mosaic.area_shares(spark, SF).count()
 
