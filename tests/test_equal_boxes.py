@@ -31,7 +31,7 @@ def by_area(df):
     return {k: sorted(v, key=str) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("name", ["r20_split_layers"])
+@pytest.mark.parametrize("name", ["r20_split_layers", "j06_j07_clipped_footprint"])
 def test_boxes_are_joined_once(spark, twice, monkeypatch, name):
     module = __import__(entry.queries()[name].__module__, fromlist=["x"])
     from sparkraster.operators import spatial_join as sj
@@ -72,3 +72,19 @@ def test_rasters_that_win_no_pixel_are_not_sampled(monkeypatch):
 def test_clipped_pixels_are_dealt_by_pair(spark):
     plan = entry.queries()["r16_clipped_pixels"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(aoi_id" in plan
+
+
+def test_pairs_by_distinct_boxes_equal_all_pairs(spark):
+    from sparkraster.functions import geo
+    from sparkraster.operators import spatial_join as sj
+
+    def boxes(n, key, name, k):
+        x, y = F.col("id") % 7 * k, F.col("id") % 3 * k
+        return spark.range(n).select(F.col("id").alias(key), geo.make_bbox(x, y, x + 1 + F.col("id") % 2, y + 1).alias(name))
+    left, right = boxes(300, "l", "bbox", 0.4), boxes(200, "r", "item_bbox", 0.9)
+    want = sorted((x["l"], x["r"]) for x in sj.rect_join(left, right).collect())
+    pairs = sj.box_pairs(left, right)
+    assert pairs.count() < len(want) / 20
+    assert sorted((x["l"], x["r"]) for x in sj.each_pair(pairs).collect()) == want
+    parts = sj.equal_boxes(left, "bbox", "rows", most=2).collect()
+    assert sorted(x["l"] for p in parts for x in p["rows"]) == list(range(300)) and max(len(p["rows"]) for p in parts) < 8
