@@ -7,6 +7,7 @@ from ..functions import text
 from ..operators import jobs as jb
 from ..operators import resample as rs
 from ..operators.spatial_join import rect_join
+from ..session import cut_lineage, shuffled
 from ..sources import registry, xyz
 from .inputs import ELEV_CTE, ctes, derived, elevation_chips, r6, spread, table
 from .q_sources import SRC_CTE
@@ -79,10 +80,13 @@ SELECT aoi_id, CASE WHEN n>0 THEN 'ok' ELSE 'empty' END AS status, n AS n_files,
  CASE WHEN n>0 THEN concat(CAST(n AS STRING),' file(s) cut to the area',CASE WHEN s>0 THEN concat(' (',CAST(s AS STRING),' input(s) had nothing inside the area)') ELSE '' END) END AS summary FROM g""")
 def r21(spark, sf):
     chips = elevation_chips(spark, sf).withColumnRenamed("bbox", "item_bbox").drop("z", "layer", "item_ord")
-    areas = spread(derived(spark, sf, "aoi").select("aoi_id", F.col("bbox").alias("aoi_bbox")))
-    win = rs.clip_window(rect_join(areas, chips, "aoi_bbox", "item_bbox")).selectExpr("aoi_id", "(c1 - c0) * (r1 - r0) AS n")
-    files = win.selectExpr("aoi_id", "n * 4 / 1e3D AS size_mb", "n < 6 AS skipped")
-    return jb.unconverted_summary(files, "aoi_id", "cut to the area")
+    areas = derived(spark, sf, "aoi").select("aoi_id", F.col("bbox").alias("aoi_bbox"))
+    # Areas of equal boxes get equal files, so these are cut and summed up once, as box ``box``.
+    boxes = cut_lineage(areas.select("aoi_bbox").distinct().withColumn("box", F.monotonically_increasing_id()), "boxes")
+    win = rs.clip_window(rect_join(spread(boxes), chips, "aoi_bbox", "item_bbox")).selectExpr("box", "(c1 - c0) * (r1 - r0) AS n")
+    files = win.selectExpr("box", "n * 4 / 1e3D AS size_mb", "n < 6 AS skipped")
+    sums = jb.unconverted_summary(files, "box", "cut to the area").join(boxes, "box").drop("box")
+    return areas.join(shuffled(sums), "aoi_bbox").drop("aoi_bbox")
 
 
 @query("w03_layer_order", ctes("requests") + " SELECT aoi_id, job_id, row_number() OVER (PARTITION BY aoi_id ORDER BY res_m DESC, job_id) AS position FROM requests WHERE res_m>0")
