@@ -27,10 +27,21 @@ def areas(spark, sf):
     return spread(derived(spark, sf, "aoi").select("aoi_id", "bbox"))
 
 
+def area_boxes(spark, sf):
+    """box, bbox: the distinct boxes of the areas; what an estimate reads of an area is its box."""
+    return spread(cut_lineage(areas(spark, sf).select("bbox").distinct().withColumn("box", F.monotonically_increasing_id()), "boxes"))
+
+
+def of_areas(spark, sf, boxes, estimates):
+    """The estimates of ``boxes`` for every area, as aoi_id and their columns."""
+    priced = boxes.join(estimates, "box").drop("box")
+    return areas(spark, sf).join(shuffled(priced), "bbox").select("aoi_id", *[c for c in priced.columns if c != "bbox"])
+
+
 _CHARTS = """ch AS (SELECT *, concat('https://x/z', CAST(item_id%40 AS STRING), '.zip') AS url, CASE WHEN item_id%40%6=0 THEN NULL ELSE 1000000.0*(1+item_id%40) END AS zip_bytes, item_id%4=0 AS extracted, item_id%40%5=0 AS zip_local FROM catalog)"""
 
 
-def chart_hits(spark, sf):
+def chart_hits(spark, sf, boxes):
     """Charts that share forty archives, some cached, some of unknown size (the cache-status join)."""
     cat = derived(spark, sf, "catalog").withColumnRenamed("bbox", "item_bbox").selectExpr("item_id", "item_bbox", "size_bytes AS member_bytes", "item_id % 40 AS z")
     sizes = derived(spark, sf, "catalog").selectExpr("item_id % 40 AS z").distinct().filter("z % 6 <> 0").selectExpr("z", "1000000D * (1 + z) AS zip_bytes")
@@ -39,7 +50,12 @@ def chart_hits(spark, sf):
     state = (cat.join(sizes, "z", "left").join(local, "z", "left").join(done, "item_id", "left")
              .selectExpr("item_id", "item_bbox", "member_bytes", "zip_bytes", "coalesce(zip_local, false) AS zip_local", "coalesce(extracted, false) AS extracted",
                          "concat('https://x/z', z, '.zip') AS url"))
-    return rect_join(areas(spark, sf), state)
+    return rect_join(boxes, state)
+
+
+def chart_prices(spark, sf):
+    b = area_boxes(spark, sf)
+    return of_areas(spark, sf, b, est.envelope(est.chart_estimate(b, chart_hits(spark, sf, b), "box", RATE), ["box"]))
 
 
 @query("j09_cache_status", ctes("catalog") + f", {_CHARTS} SELECT item_id, url, CAST(zip_bytes AS DOUBLE) AS zip_bytes, extracted, zip_local FROM ch")
@@ -59,7 +75,7 @@ e01 AS (SELECT aoi_id, coalesce(get_b,0.0) AS todo, CASE WHEN zip IS NULL THEN 1
 
 @query("a01_a09_chart_estimate", _A01 + f" SELECT aoi_id, {ENV()} FROM e01")
 def a01(spark, sf):
-    return est.envelope(est.chart_estimate(areas(spark, sf), chart_hits(spark, sf), "aoi_id", RATE), ["aoi_id"])
+    return chart_prices(spark, sf)
 
 
 @query("a02_size_cache_merge", """
@@ -144,13 +160,14 @@ def s20(spark, sf):
 hit AS (SELECT a.aoi_id, c.s_suppkey, {FRAC}/((c.east-c.west)*(c.north-c.south)) AS frac FROM aoi a JOIN st0 c ON {HIT})""" + (_FRACEST).replace("FROM st)", """
  FROM (SELECT aoi_id, frac, CASE WHEN s_suppkey%11=0 THEN 20000000.0::DOUBLE ELSE CAST(1000000*(1+s_suppkey%25) AS DOUBLE) END AS size, s_suppkey%3=0 AS cached FROM hit))""") + f" SELECT aoi_id, {ENV()} FROM ef")
 def a04(spark, sf):
-    t = event_tiles_in(spark, sf, areas(spark, sf)).withColumn("k", F.regexp_extract("tile_url", r"/v(\d+)\.tif$", 1).cast("long"))
+    b = area_boxes(spark, sf)
+    t = event_tiles_in(spark, sf, b).withColumn("k", F.regexp_extract("tile_url", r"/v(\d+)\.tif$", 1).cast("long"))
     s = table(spark, sf, "supplier")
     sizes = s.filter("s_suppkey % 11 <> 0").selectExpr("s_suppkey AS k", "double(1000000 * (1 + s_suppkey % 25)) AS size")
     cached = s.filter("s_suppkey % 3 = 0").selectExpr("s_suppkey AS k", "true AS cached")
     parts = (t.join(sizes, "k", "left").join(cached, "k", "left").withColumn("frac", geo.overlap_fraction(F.col("bbox"), F.col("tile_bbox")))
-             .selectExpr("aoi_id", f"coalesce(size, {est.TYPICAL_IMAGE_BYTES}D) AS size", "frac", "coalesce(cached, false) AS cached"))
-    return est.envelope(est.fraction_estimate(areas(spark, sf), parts, "aoi_id", RATE), ["aoi_id"])
+             .selectExpr("box", f"coalesce(size, {est.TYPICAL_IMAGE_BYTES}D) AS size", "frac", "coalesce(cached, false) AS cached"))
+    return of_areas(spark, sf, b, est.envelope(est.fraction_estimate(b, parts, "box", RATE), ["box"]))
 
 
 _CHUNKS = """ex AS (SELECT aoi_id, greatest(west,-98.0::DOUBLE) AS w0, greatest(south,31.0::DOUBLE) AS s0, least(east,-80.0::DOUBLE) AS e0, least(north,38.5::DOUBLE) AS n0 FROM aoi),
@@ -324,7 +341,8 @@ e8 AS (SELECT aoi_id, 0.0 AS todo, 100.0 AS pct, CASE WHEN n IS NOT NULL THEN 0
 
 def library_sizes(spark, sf):
     cat = derived(spark, sf, "catalog").select("item_id", "size_bytes", F.col("bbox").alias("item_bbox"))
-    return est.envelope(est.library_estimate(areas(spark, sf), rect_join(areas(spark, sf), cat), "aoi_id"), ["aoi_id"])
+    b = area_boxes(spark, sf)
+    return of_areas(spark, sf, b, est.envelope(est.library_estimate(b, rect_join(b, cat), "box"), ["box"]))
 
 
 @query("a08_library_estimate", ctes("aoi", "catalog") + f", {_A08} SELECT aoi_id, {ENV()} FROM e8")
@@ -345,7 +363,7 @@ lp AS (SELECT *, CAST(round_even(round(CASE mode WHEN 'original' THEN coalesce(s
 def priced_layers(spark, sf):
     src = registry.sources(spark).selectExpr("source_no", "kind", "resampling", "default_res_m")
     req = derived(spark, sf, "requests").withColumnRenamed("res_m", "wanted")
-    chart = est.envelope(est.chart_estimate(areas(spark, sf), chart_hits(spark, sf), "aoi_id", RATE), ["aoi_id"]).select("aoi_id", "download_mb", "download_seconds")
+    chart = chart_prices(spark, sf).select("aoi_id", "download_mb", "download_seconds")
     j = (req.join(F.broadcast(src), "source_no").join(areas(spark, sf), "aoi_id")
          .join(library_sizes(spark, sf).select("aoi_id", "source_mb", "clipped_mb"), "aoi_id"))
     # Every thirteenth job stands for a source whose estimate failed.

@@ -31,7 +31,7 @@ def by_area(df):
     return {k: sorted(v, key=str) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("name", ["r20_split_layers", "j06_j07_clipped_footprint", "s01_x01_catalog_contract", "s08_library_items_in_area", "s17_catalog_tiles_in_area", "r21_unconverted_layers"])
+@pytest.mark.parametrize("name", ["r20_split_layers", "j06_j07_clipped_footprint", "s01_x01_catalog_contract", "s08_library_items_in_area", "s17_catalog_tiles_in_area", "r21_unconverted_layers", "a01_a09_chart_estimate", "a04_event_imagery_estimate", "a08_library_estimate"])
 def test_boxes_are_joined_once(spark, twice, monkeypatch, name):
     module = __import__(entry.queries()[name].__module__, fromlist=["x"])
     from sparkraster.operators import spatial_join as sj
