@@ -4,12 +4,15 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StreamingQuery
 
 FILE_COLUMNS = ["path", "length", "modificationTime"]
+PIECE = 1 << 20  # pixels a task of ``decode`` holds before it hands them on, but for the last raster
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -49,16 +52,27 @@ def decode(files: DataFrame, decoder: Callable[[bytes], dict], key: str = "item_
     """Rasters from file contents by a caller's decoder, batch by batch.
 
     ``decoder(bytes)`` gives width, height, dtype and bands (a list of flat sequences), or None for a
-    file it cannot read; such files are skipped and do not fail the scan.
+    file it cannot read; such files are skipped and do not fail the scan. Files are read one by one and
+    rasters leave in batches of about ``PIECE`` pixels, however many files a batch of the input holds.
     """
-    kind = files.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k, data in zip(pdf[key], pdf[content]):
-                got = decoder(bytes(data))
-                if got is not None:
-                    out.append((k, got["width"], got["height"], got["dtype"], got["bands"]))
-            yield pd.DataFrame(out, columns=[key, "width", "height", "dtype", "bands"])
-    return files.select(key, content).mapInPandas(run, f"{key} {kind}, width int, height int, dtype string, bands array<array<float>>")
+    schema = pa.schema([(key, to_arrow_type(files.schema[key].dataType)), ("width", pa.int32()), ("height", pa.int32()), ("dtype", pa.string()),
+                        ("bands", pa.list_(pa.list_(pa.float32())))])
+
+    def piece(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type, from_pandas=True) for i, f in enumerate(schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, pixels = [], 0
+        for b in batches:
+            for k, data in zip(*b.columns):
+                got = decoder(data.as_py())
+                if got is None:
+                    continue
+                out.append((k.as_py(), got["width"], got["height"], got["dtype"], [np.asarray(x, np.float32) for x in got["bands"]]))
+                pixels += sum(len(x) for x in out[-1][4])
+                if pixels >= PIECE:
+                    yield piece(out)
+                    out, pixels = [], 0
+        if out:
+            yield piece(out)
+    return files.select(key, content).mapInArrow(run, f"{key} {files.schema[key].dataType.simpleString()}, width int, height int, dtype string, bands array<array<float>>")

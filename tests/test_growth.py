@@ -29,3 +29,29 @@ def test_windows_are_cut_once_for_equal_boxes(spark, twice, monkeypatch, name):
     one, two = (sorted(tuple(r) for r in entry.queries()[name](spark, d).select("aoi_id", "item_id").collect()) for d in (SF, twice))
     assert rows[0] == rows[1]
     assert two == sorted(one + [(a + 12000, i) for a, i in one])
+
+
+def test_decoded_rasters_leave_in_bounded_batches(spark, tmp_path):
+    """A task hands on what it has decoded long before it has read its whole input batch."""
+    from sparkraster.streaming import ingest
+    seen = str(tmp_path / "seen")
+
+    def decoder(data):
+        with open(seen, "a") as f:
+            f.write(".")
+        return {"width": 1000, "height": 400, "dtype": "uint8", "bands": [[float(len(data))] * 400_000, range(3)]}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "60")
+    try:
+        files = spark.range(60).coalesce(1).selectExpr("id AS item_id", "encode(repeat('x', int(id)), 'UTF-8') AS content")
+        got = ingest.decode(files, decoder)
+
+        def sizes(batches):
+            import os
+            import pyarrow as pa
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "decoded": [os.path.getsize(seen)], "ids": [b.column(0).to_pylist()], "first": [[x[0][0] for x in b.column(1).to_pylist()]]})
+        rows = got.select("item_id", "bands").mapInArrow(sizes, "n long, decoded long, ids array<long>, first array<double>").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    assert [i for r in rows for i in r["ids"]] == list(range(60)) and [x for r in rows for x in r["first"]] == list(range(60))
+    assert rows[0]["decoded"] < 60
