@@ -55,3 +55,12 @@ def test_decoded_rasters_leave_in_bounded_batches(spark, tmp_path):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     assert [i for r in rows for i in r["ids"]] == list(range(60)) and [x for r in rows for x in r["first"]] == list(range(60))
     assert rows[0]["decoded"] < 60
+
+
+def test_equal_boxes_are_split_once(spark, twice, monkeypatch):
+    from sparkraster.plans import q_mosaic
+    rows, plain = [], q_mosaic.mo.split_until_fits
+    monkeypatch.setattr(q_mosaic.mo, "split_until_fits", lambda boxes, *a: rows.append((boxes.count(), boxes.rdd.getNumPartitions())) or plain(boxes, *a))
+    one, two = (sorted(tuple(r) for r in q_mosaic.u03(spark, d).collect()) for d in (SF, twice))
+    assert rows[0] == rows[1] and rows[0][1] >= spark.sparkContext.defaultParallelism
+    assert two == sorted(one + [(r[0] + 12000, *r[1:]) for r in one])
