@@ -4,12 +4,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import mosaic as mo
 from ..operators import render as rd
 from ..operators import resample as rs
 from ..session import shared_dir
 from ..sources import tilestore as ts
-from .inputs import ELEV_CTE, elevation_chips, r6, spread
+from .inputs import ELEV_CTE, elevation_chips, r6
 from .q_mosaic import _GRID_CTE, _PX_CTE, _WIN
 from .q_raster import web_base_sql
 from .registry import query
@@ -19,8 +18,7 @@ ZOOM = 6
 
 def web_pixels(spark, sf):
     """The finest zoom of the chips' web pyramid: row, col, v."""
-    px = rs.web_tiles(spread(elevation_chips(spark, sf)), ZOOM).filter("v <> -32767")
-    return mo.composite(mo.with_depth(px).selectExpr("item_id", "item_ord", "gy AS py", "gx AS px", "v", "depth"), []).selectExpr("py AS row", "px AS col", "v")
+    return ts.web_mosaic(elevation_chips(spark, sf), ZOOM)
 
 
 @query("s34_all_zooms", "WITH " + ELEV_CTE + web_base_sql() + "".join(f""",

@@ -33,6 +33,93 @@ def _nan_mean(x: np.ndarray) -> np.ndarray:
     return np.where(n > 0, np.where(known, x, 0.0).sum(axis=(1, 3)) / np.maximum(n, 1), np.nan)
 
 
+def web_mosaic(tiles: DataFrame, zoom: int, block: int = 64, per_share: int = 512) -> DataFrame:
+    """row, col, v of the pixels of a Web-Mercator zoom under lon/lat rasters (item_id, item_ord, bbox, width, height, a, c, e, f, z): the nearest samples of the raster a pixel
+    lies deepest inside, as ``resample.web_tiles`` and ``mosaic.composite`` give them.
+
+    Rasters are dealt by the blocks they touch and painted in numpy, so no candidate pixel becomes a row. A block of n rasters is painted in n / ``per_share``
+    shares, or the square root of n if that is less, which are merged. Latitudes come from Spark, as ``web_tiles`` has them.
+    """
+    half, last = 20037508.342789244, TILE * 2 ** zoom - 1
+    res, radian = 2 * half / (TILE * 2 ** zoom), 3.141592653589793 / half
+
+    def my(lat: str) -> str:
+        return f"(asinh(tan(radians({lat}))) * {half / 3.141592653589793!r}D)"
+    at = ["block_row", "block_col"]
+    rows = (tiles.filter("z IS NOT NULL").withColumn("z", F.expr("transform(z, v -> coalesce(v, -32767D))"))
+            .withColumn("y0", F.expr(f"greatest(0, int(floor(({half}D - {my('f')}) / {res!r}D)))"))
+            .withColumn("y1", F.expr(f"least({last}, int(ceil(({half}D - {my('f + e * height')}) / {res!r}D)) - 1)"))
+            .withColumn("x0", F.expr(f"greatest(0, int(floor((c * {half / 180!r}D + {half}D) / {res!r}D)))"))
+            .withColumn("x1", F.expr(f"least({last}, int(ceil(((c + a * width) * {half / 180!r}D + {half}D) / {res!r}D)) - 1)"))
+            .filter("y0 <= y1 AND x0 <= x1")
+            .withColumn("lat", F.expr(f"transform(sequence(y0, y1), gy -> degrees(atan(sinh(({half}D - (gy + 0.5D) * {res!r}D) * {radian!r}D))))"))
+            .withColumn("block_row", F.expr(f"explode(sequence(int(y0 div {block}), int(y1 div {block})))"))
+            .withColumn("block_col", F.expr(f"explode(sequence(int(x0 div {block}), int(x1 div {block})))")))
+    n = rows.groupBy(*at).agg(F.count("*").alias("_n"))
+    share = F.pmod(F.xxhash64("item_id"), F.ceil(F.least(F.col("_n") / per_share, F.sqrt("_n")))).cast("int")
+    rows = rows.join(n, at).select(*at, share.alias("_share"), "item_ord", *[f"bbox.{k}" for k in ("west", "south", "east", "north")], "width", "height", "a", "c", "e", "f", "y0", "x0", "x1", "lat", "z")
+
+    def paint(state: list[np.ndarray], row: int, col: int, t: dict) -> None:
+        v, depth, order = state
+        top, left = max(t["y0"], row * block), max(t["x0"], col * block)
+        lat = np.asarray(t["lat"])[top - t["y0"]:(row + 1) * block - t["y0"]]
+        lon = ((np.arange(left, min(t["x1"] + 1, (col + 1) * block)) + 0.5) * res - half) * (180 / half)
+        fcol, frow = (lon - t["c"]) / t["a"], (lat - t["f"]) / t["e"]
+        i, j = np.flatnonzero((frow >= 0) & (frow < t["height"])), np.flatnonzero((fcol >= 0) & (fcol < t["width"]))
+        if not (len(i) and len(j)):
+            return
+        lat, lon = lat[i], lon[j]
+        z = np.asarray(t["z"], float).reshape(t["height"], t["width"])[np.floor(frow[i]).astype(int)[:, None], np.floor(fcol[j]).astype(int)]
+        dx = np.minimum(lon - t["west"], t["east"] - lon) / (t["east"] - t["west"])
+        dy = np.minimum(lat - t["south"], t["north"] - lat) / (t["north"] - t["south"])
+        win = (slice(top - row * block + i[0], top - row * block + i[-1] + 1), slice(left - col * block + j[0], left - col * block + j[-1] + 1))
+        put(state, win, z, np.minimum(dx.astype(np.float32)[None, :], dy.astype(np.float32)[:, None]), np.full(z.shape, t["item_ord"]), z != rd.NODATA)
+
+    def put(state: list[np.ndarray], win: tuple, z: np.ndarray, depth: np.ndarray, order: np.ndarray, known: np.ndarray) -> None:
+        better = known & ((depth > state[1][win]) | ((depth == state[1][win]) & (order < state[2][win])))
+        for old, new in zip(state, (z, depth, order)):
+            np.copyto(old[win], new, where=better)
+
+    def blank() -> list[np.ndarray]:
+        return [np.zeros((block, block)), np.full((block, block), -np.inf, np.float32), np.full((block, block), rd.UNSET)]
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = state = None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), *[pa.array([s.tobytes()], pa.binary()) for s in state]], names=[*at, "v", "depth", "ord"])
+        for b in batches:
+            for start in range(0, b.num_rows, 256):
+                for t in b.slice(start, 256).to_pylist():
+                    if (now := (t["block_row"], t["block_col"], t["_share"])) != key:
+                        if key is not None:
+                            yield done()
+                        key, state = now, blank()
+                    paint(state, *now[:2], t)
+        if key is not None:
+            yield done()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = state = None
+
+        def done() -> pa.RecordBatch:
+            y, x = np.nonzero(state[2] != rd.UNSET)
+            return pa.RecordBatch.from_arrays([pa.array((y + key[0] * block).astype(np.int32)), pa.array((x + key[1] * block).astype(np.int32)), pa.array(state[0][y, x])], names=["row", "col", "v"])
+        for b in batches:
+            for i in range(b.num_rows):
+                row, col, *arrays = (c[i].as_py() for c in b.columns)
+                if (row, col) != key:
+                    if key is not None:
+                        yield done()
+                    key, state = (row, col), blank()
+                z, depth, order = (np.frombuffer(x, k).reshape(block, block) for x, k in zip(arrays, (float, np.float32, np.int64)))
+                put(state, (slice(None), slice(None)), z, depth, order, order != rd.UNSET)
+        if key is not None:
+            yield done()
+    parts = rd.dealt(rows, [*at, "_share"], "item_ord").mapInArrow(shares, "block_row int, block_col int, v binary, depth binary, ord binary")
+    return rd.dealt(parts, at).mapInArrow(merge, "row int, col int, v double")
+
+
 def pixel_tiles(pixels: DataFrame, size: int = TILE) -> DataFrame:
     """Pixels (row, col, v) of one zoom to tiles (x, y, data); a tile's pixels arrive sorted, and one tile is held at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,3 +64,24 @@ def test_equal_boxes_are_split_once(spark, twice, monkeypatch):
     one, two = (sorted(tuple(r) for r in q_mosaic.u03(spark, d).collect()) for d in (SF, twice))
     assert rows[0] == rows[1] and rows[0][1] >= spark.sparkContext.defaultParallelism
     assert two == sorted(one + [(r[0] + 12000, *r[1:]) for r in one])
+
+
+def test_web_mosaic_equals_candidate_rows_without_making_them(spark):
+    from sparkraster.functions import geo
+    from sparkraster.operators import mosaic as mo
+    from sparkraster.operators import resample as rs
+    from sparkraster.sources import tilestore as ts
+    k = F.col("id")
+    west, south = -100 + k * 37 % 40 / 10.0, 30 + k * 23 % 30 / 10.0  # several rasters have one box
+    z = F.expr("transform(sequence(0, 63), i -> CASE WHEN (id + i) % 13 = 0 THEN -32767D WHEN (id + i) % 17 = 0 THEN double('nan') WHEN (id + i) % 19 = 0 THEN NULL ELSE id * 100D + i END)")
+    chips = (spark.range(250).withColumn("z", z).withColumn("bbox", geo.make_bbox(west, south, west + 0.4 + k % 5 / 10, south + 0.4 + k % 4 / 10))
+             .selectExpr("id AS item_id", "id AS item_ord", "bbox", "8 AS width", "8 AS height", "(bbox.east - bbox.west) / 8 AS a", "bbox.west AS c", "(bbox.south - bbox.north) / 8 AS e", "bbox.north AS f", "z"))
+    px = rs.web_tiles(chips, 6).filter("v <> -32767").selectExpr("item_id", "item_ord", "bbox", "lon", "lat", "gy AS py", "gx AS px", "v")
+    want = sorted((r["py"], r["px"], str(r["v"])) for r in mo.composite(mo.with_depth(px), []).collect())
+    for per_share in (512, 3):
+        assert sorted((r["row"], r["col"], str(r["v"])) for r in ts.web_mosaic(chips, 6, per_share=per_share).collect()) == want
+
+
+@pytest.mark.parametrize("name", ["s34_web_tile_pyramid"])
+def test_candidate_pixels_are_not_sorted(spark, name):
+    assert "SortAggregate" not in entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
