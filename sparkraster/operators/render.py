@@ -285,6 +285,12 @@ def _columns(b: pa.RecordBatch) -> dict:
     return c
 
 
+def _pieces(b: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes, since columns become Python objects, which take more room than the batch itself."""
+    step = max(1, most * b.num_rows // max(1, b.nbytes))
+    return (b.slice(i, step) for i in range(0, b.num_rows, step))
+
+
 def _tile(c: dict, i: int) -> tuple[dict, np.ndarray]:
     t = {k: v[i] for k, v in c.items() if k != "values"}
     flat, starts, rows = c["values"]
@@ -311,8 +317,7 @@ def _blocks(keys: list[str], schema: pa.Schema, batches: Iterator[pa.RecordBatch
         data = c.data if c.data is not None else np.zeros((0, c.h, c.w))
         return dict(zip(keys, key)) | {"bh": c.h, "bw": c.w, "filled": int((c.ord != UNSET).sum()), "n_bands": len(data), "data": data.tobytes(), "depth": c.depth.tobytes(), "ord": c.ord.tobytes()}
     at = canvas = None
-    for b in batches:
-        c = _columns(b)
+    for c in (_columns(p) for b in batches for p in _pieces(b)):
         for i, key in enumerate(zip(*[c[k] for k in keys])):
             if key != at:
                 if canvas is not None:

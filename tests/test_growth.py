@@ -85,3 +85,21 @@ def test_web_mosaic_equals_candidate_rows_without_making_them(spark):
 @pytest.mark.parametrize("name", ["s34_web_tile_pyramid"])
 def test_candidate_pixels_are_not_sorted(spark, name):
     assert "SortAggregate" not in entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shares_are_merged_in_small_pieces(monkeypatch):
+    """However many shares of a block one batch brings, only a few of them are Python objects at once."""
+    import numpy as np
+    import pyarrow as pa
+    from sparkraster.operators import render as rd
+    seen, plain, rng = [], rd._columns, np.random.default_rng(3)
+    monkeypatch.setattr(rd, "_columns", lambda b: seen.append(b.nbytes) or plain(b))
+    schema = pa.schema([("k", pa.int64()), ("bh", pa.int32()), ("bw", pa.int32()), ("filled", pa.int64()), ("n_bands", pa.int32()), ("data", pa.binary()), ("depth", pa.binary()), ("ord", pa.binary())])
+    v, d = rng.random((300, 64, 64)), rng.random((300, 64, 64)).astype(np.float32)
+    rows = [{"k": i // 200, "bh": 64, "bw": 64, "filled": 4096, "n_bands": 1, "data": v[i].tobytes(), "depth": d[i].tobytes(), "ord": np.full((64, 64), i).tobytes()} for i in range(300)]
+    out = [r for b in rd._merger(["k"], schema)(iter([pa.RecordBatch.from_pylist(rows, schema)])) for r in b.to_pylist()]
+    assert [r["k"] for r in out] == [0, 1] and max(seen) < 5 << 20 and len(seen) > 4
+    for r, part in zip(out, (slice(0, 200), slice(200, 300))):
+        best = d[part].argmax(axis=0)
+        assert (np.frombuffer(r["ord"], np.int64).reshape(64, 64) == best + part.start).all()
+        assert (np.frombuffer(r["data"]).reshape(64, 64) == np.take_along_axis(v[part], best[None], 0)[0]).all()
