@@ -103,3 +103,12 @@ def test_shares_are_merged_in_small_pieces(monkeypatch):
         best = d[part].argmax(axis=0)
         assert (np.frombuffer(r["ord"], np.int64).reshape(64, 64) == best + part.start).all()
         assert (np.frombuffer(r["data"]).reshape(64, 64) == np.take_along_axis(v[part], best[None], 0)[0]).all()
+
+
+def test_charts_are_chosen_before_they_become_pixels(spark, monkeypatch):
+    from sparkraster.plans import q_elevation
+    seen, plain = [], q_elevation.nl.edge_profiles
+    monkeypatch.setattr(q_elevation.nl, "edge_profiles", lambda px, h: seen.append(px) or plain(px, h))
+    q_elevation.s15(spark, SF)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") > plan.rindex("Generate explode(")
