@@ -142,14 +142,17 @@ def aligned(content: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def traits(content: DataFrame) -> DataFrame:
-    """(id, n, x0 .. ): the number of labelled k-mers and a bitmap of them; two texts' bitmaps differ in no more bits than their k-mers do."""
+    """(id, n, x0 .. ): the number of labelled k-mers and a bitmap of them; two texts' bitmaps differ in no more bits than their k-mers do.
+
+    A bit is set if an odd number of k-mers fall on it, so what two texts have in common hides no difference between them.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             flat, ends = t["w"].flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(t["w"].value_lengths().to_numpy(zero_copy_only=False))]
             maps, n = np.zeros((t.num_rows, MAP_WORDS * 64), bool), []
             for i in range(t.num_rows):
                 lab = labelled(kmers(flat[ends[i]:ends[i + 1]]))
-                maps[i, (lab % np.uint64(MAP_WORDS * 64)).astype(int)] = True
+                maps[i] = np.bincount((lab % np.uint64(MAP_WORDS * 64)).astype(int), minlength=MAP_WORDS * 64) % 2
                 n.append(len(lab))
             x = np.packbits(maps, axis=1).view(np.int64).reshape(t.num_rows, MAP_WORDS)
             yield pa.RecordBatch.from_arrays([t["id"], pa.array(n, pa.int32()), *[pa.array(x[:, k]) for k in range(MAP_WORDS)]], names=["id", "n", *[f"x{k}" for k in range(MAP_WORDS)]])

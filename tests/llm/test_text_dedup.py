@@ -170,3 +170,24 @@ def test_document_classes(spark):
     assert sum(r["text"] is None for r in kept) == 2
     assert all(r["doc_id"] == first[of[r["text"]]] for r in kept if r["text"] is not None)
     assert near_dedup.deduplicate(df.filter("false")).count() == 0
+
+
+def test_bitmaps_tell_near_copies_apart_and_keep_every_link(spark):
+    """Copies of one text, each with changes of its own: pairs under the threshold are told apart though they share most words."""
+    rng = random.Random(11)
+    base = [rng.randrange(1 << 60) for _ in range(150)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for at in rng.sample(range(150), i % 6):
+            w[at] = rng.randrange(1 << 60)
+        texts.append((i, w + w[:7] * (i % 2)))
+    content = spark.createDataFrame(texts, "id bigint, w array<bigint>")
+    t = near_dedup.traits(content).cache()
+    a, b = (t.select(*[F.col(c).alias(f"{s}_{c}") for c in t.columns]) for s in "ab")
+    may = {(r[0], r[1]) for r in a.join(b, (F.col("a_id") < F.col("b_id")) & near_dedup.may_link("a_", "b_")).select("a_id", "b_id").collect()}
+    w = [np.array(x) for _, x in texts]
+    links = {(i, j) for i in range(60) for j in range(i + 1, 60) if near_dedup.near(w[i], w[j])}
+    assert 0 < len(links) < 60 * 59 / 4
+    assert links <= may
+    assert len(may - links) <= 60
