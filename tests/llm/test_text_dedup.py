@@ -191,3 +191,22 @@ def test_bitmaps_tell_near_copies_apart_and_keep_every_link(spark):
     assert 0 < len(links) < 60 * 59 / 4
     assert links <= may
     assert len(may - links) <= 60
+
+
+def test_line_bitmaps_tell_near_copies_apart_and_keep_every_link(spark):
+    """Long lines that share most of a text: pairs under the threshold are told apart, all links stay possible."""
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1200))
+    lines = []
+    for i in range(40):
+        x = list(base)
+        for at in rng.sample(range(1200), 5 * (i % 6)):
+            x[at] = "#"
+        lines.append((i, "".join(x)))
+    t = line_dedup.traits(spark.createDataFrame(lines, "id bigint, line string")).cache()
+    a, b = (t.select(*[F.col(c).alias(f"{s}_{c}") for c in t.columns]) for s in "ab")
+    may = {(r[0], r[1]) for r in a.join(b, (F.col("a_id") < F.col("b_id")) & line_dedup.may_link("a_", "b_")).select("a_id", "b_id").collect()}
+    s = [{x[i:i + 8] for i in range(len(x) - 7)} for _, x in lines]
+    links = {(i, j) for i in range(40) for j in range(i + 1, 40) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])}
+    assert links <= may
+    assert 0 < len(links) and len(may) <= 1.25 * len(links)
