@@ -53,6 +53,24 @@ def test_layers_are_painted_once(spark, twice):
     assert q_mosaic.area_shares(spark, twice).count() == q_mosaic.area_shares(spark, SF).count()
 
 
+def test_chips_of_equal_boxes_plan_a_resolution_once(spark, tmp_path, monkeypatch):
+    """With every vector twice, as chips of equal boxes, as many boxes are paired and every area gets the same grid."""
+    for f in os.listdir(SF):
+        if f != "embeddings.parquet":
+            os.symlink(f"{SF}/{f}", tmp_path / f)
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    e.unionByName(e.withColumn("vec_id", F.col("vec_id") + 12000)).write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows, plain = [], q_mosaic.rect_join
+
+    def counted(left, right, *a, **k):
+        rows.append(right.count())
+        return plain(left, right, *a, **k)
+    monkeypatch.setattr(q_mosaic, "rect_join", counted)
+    one, two = (by_area(entry.queries()["a13_planned_resolution"](spark, d)) for d in (SF, str(tmp_path)))
+    assert one == two and one
+    assert rows[0] == rows[1] > 0
+
+
 def test_rasters_that_win_no_pixel_are_not_sampled(monkeypatch):
     def tile(order, west, size):
         return {"crs": "geographic", "mode": "elevation", "resampling": "bilinear", "target_res_m": 1.0, "native_res_m": 1.0, "a": size / 8, "c": west, "e": -size / 8, "f": west + size,
