@@ -56,3 +56,28 @@ def test_columns_of_the_pair_reach_every_row(spark, others):
     out = sj.each_pair(pairs)
     assert sorted(out.columns) == sorted([*others, "l", "r"])
     assert sorted((x["l"], x["r"]) for x in out.collect()) == [(a, b) for a in range(120) for b in range(70)]
+
+
+def test_lists_are_never_broadcast(spark):
+    """The planner takes exploded lists for as small as their file; passed through the driver they can exceed what it holds."""
+    plan = sj.box_pairs(one_box(spark, 1000, "l", "bbox"), one_box(spark, 1000, "r", "item_bbox"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [level" in plan
+    for side in plan.split("BroadcastExchange")[1:]:
+        assert "cells-" in side.split("FileScan", 1)[1].split("\n", 1)[0]
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_clipped_pixels_are_cut_once_for_areas_of_one_box(spark, tmp_path, copies):
+    """No exchange stands above the join of lists, however many areas share a box, and every area gets its pixels."""
+    for f in os.listdir(SF):
+        if f != "customer.parquet":
+            os.symlink(f"{SF}/{f}", tmp_path / f)
+    c = spark.read.parquet(f"{SF}/customer.parquet").filter("c_custkey <= 12")
+    c.crossJoin(spark.range(copies)).withColumn("c_custkey", F.col("c_custkey") + F.col("id") * 12000).drop("id").write.parquet(str(tmp_path / "customer.parquet"))
+    df = entry.queries()["r16_clipped_pixels"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("SortMergeJoin", 1)[0]
+    want = {tuple(r) for r in entry.queries()["r16_clipped_pixels"](spark, SF).filter("aoi_id <= 12").collect()}
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(want) * copies > 0
+    assert {(r[0] % 12000, *r[1:]) for r in got} == want
