@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import geo
+from ..session import cut_lineage
 from .mosaic import NODATA
 
 # Radius of the sphere of Web Mercator, coarsest ratio for bilinear sampling, most sub-pixels along a side.
@@ -272,6 +273,15 @@ def elevation_shares(pairs: DataFrame) -> DataFrame:
             .withColumn("native_res_m", geo.native_res_m(F.lit("geographic"), F.col("a"), geo.center_lat(F.col("bbox")))))
 
 
+def first_of_equal(tiles: DataFrame, values: str = "z") -> DataFrame:
+    """Elevation rasters (item_ord, bbox, ``values``) without those that win no pixel of any layer: of rasters with one box and the same void pixels the first
+    has a mean wherever the others have one, lies as deep there and keeps the tie.
+    """
+    v = F.transform(values, lambda x: F.when(x.isNull(), "n").when((x == NODATA) | F.isnan(x) | (F.abs(x) == float("inf")), "0").otherwise("1"))
+    first = tiles.groupBy("bbox", F.array_join(v, "").alias("_valid")).agg(F.min("item_ord").alias("item_ord")).select("item_ord")
+    return tiles.join(cut_lineage(first, "first-rasters"), "item_ord", "left_semi")
+
+
 def _rows_of(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of an array of lists of lists: the flat values, where each inner list starts, and which inner list each row starts with."""
     inner = lists.flatten()

@@ -191,7 +191,8 @@ def r20_split_layers(spark, sf):
     # Areas of equal boxes are split and painted once, as box ``box``.
     boxes = cut_lineage(areas.select("bbox").distinct().withColumn("box", F.monotonically_increasing_id()), "boxes")
     pieces = mo.split_until_fits(spread(boxes.withColumn("res_m", F.lit(PIECE_RES))), "box", PIECE_PIXELS).select("box", F.concat_ws("/", F.transform("path", lambda i: i.cast("string"))).alias("path"), F.col("bbox").alias("piece_bbox"))
-    chips = elevation_chips(spark, sf)
+    # Each piece is shuffled with the values of its chips: those that win nowhere stay out, and however many chips share a box, few are left.
+    chips = cut_lineage(rd.first_of_equal(elevation_chips(spark, sf)), "chips")
     hits = rect_join(pieces, chips.select("item_id", F.col("bbox").alias("item_bbox")), "piece_bbox").withColumn("grid", geo.make_grid(F.col("piece_bbox"), F.lit(PIECE_RES)))
     shares = rd.elevation_shares(hits.select("box", "path", "grid", "item_id").join(chips, "item_id"))
     sums = rd.block_sums(rd.render_blocks(shares, ["box", "path"], 256), ["box", "path"])

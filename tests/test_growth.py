@@ -112,3 +112,34 @@ def test_charts_are_chosen_before_they_become_pixels(spark, monkeypatch):
     q_elevation.s15(spark, SF)
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("LeftSemi") > plan.rindex("Generate explode(")
+
+
+def test_chips_that_win_nowhere_are_not_shuffled_with_the_pieces(spark, tmp_path, monkeypatch):
+    """Later chips of one box and the same void pixels add no pair, and no layer changes; one with other void pixels stays."""
+    from sparkraster.operators import spatial_join as sj
+    for f in os.listdir(SF):
+        if f != "embeddings.parquet":
+            os.symlink(f"{SF}/{f}", tmp_path / f)
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    later = e.withColumn("vec_id", F.col("vec_id") + 12000 * 13).withColumn("embedding", F.transform("embedding", lambda v: (v / 2).cast("float")))  # a multiple of 13 keeps the void pixels
+    e.unionByName(later).write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows, plain = [], sj.rect_join
+    monkeypatch.setattr(sj, "rect_join", lambda left, right, *a, **k: rows.append(right.count()) or plain(left, right, *a, **k))
+    one, two = (sorted(tuple(r) for r in entry.queries()["r20_split_layers"](spark, d).collect()) for d in (SF, str(tmp_path)))
+    assert rows[0] == rows[1] and one == two
+
+
+def test_first_rasters_of_equal_boxes_give_the_same_mosaic(spark):
+    from sparkraster.functions import geo
+    from sparkraster.operators import render as rd
+    k = F.col("id")
+    z = F.expr("transform(sequence(0, 63), i -> CASE WHEN (id % 5 + i) % 4 = 0 THEN -32767D WHEN id % 11 = 0 AND i < 32 THEN double('nan') ELSE id * 100D + i END)")
+    tiles = (spark.range(120).withColumn("z", z).withColumn("bbox", geo.make_bbox(k % 3 * 0.5, k % 2 * 0.5, k % 3 * 0.5 + 1, k % 2 * 0.5 + 1))
+             .selectExpr("id AS item_id", "id AS item_ord", "bbox", "8 AS width", "8 AS height", "0.125D AS a", "bbox.west AS c", "-0.125D AS e", "bbox.north AS f", "z")
+             .withColumn("grid", geo.make_grid(geo.make_bbox(F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(1.5)), F.lit(9000.0))).withColumn("layer", F.lit(1)))
+    kept = rd.first_of_equal(tiles)
+    assert 0 < kept.count() < 120
+
+    def pixels(df):
+        return sorted((r["py"], r["px"], r["v"], r["item_ord"]) for r in rd.block_pixels(rd.render_blocks(rd.elevation_shares(df), ["layer"], 64), ["layer"], 64, ["v"]).collect())
+    assert pixels(kept) == pixels(tiles) != []
